@@ -1,20 +1,27 @@
 """Queries of this subpackage, and SQL where it can express them."""
 
+from __future__ import annotations
 
+from .ann import op8_ann
 from .bpe import op4_byte_bpe
 from .mixing import OP6_SQL, op6_mixing
 from .pii import op5_pii
 from .quality import op1_quality
 from .simhash import op10_simhash
 from .token_counts import op3_token_counts
+from .topk import op2_topk
+from .topk import SQL as OP2_SQL
 from .toxicity import op7_toxicity
 
 QUERIES = {
     "op1_quality": op1_quality,
+    "op2_topk": op2_topk,
     "op3_token_counts": op3_token_counts,
     "op4_byte_bpe": op4_byte_bpe,
     "op5_pii": op5_pii,
     "op6_mixing": op6_mixing,
     "op7_toxicity": op7_toxicity,
+    "op8_ann": op8_ann,
     "op10_simhash": op10_simhash,
 }
+ORACLE_SQL = {"op2_topk": OP2_SQL, "op6_mixing": OP6_SQL}
