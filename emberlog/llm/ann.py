@@ -167,7 +167,7 @@ def nearest(queries: DataFrame, base: DataFrame, k: int = 20, sure: float = SURE
     b = cells(index.select("cell", F.lit(0.0).alias("most"), F.col("extra").alias("box")), "b_")
     gap = sum((F.pow(F.greatest(F.lit(0.0), F.col(f"q_{lo}") - F.col(f"b_{hi}"), F.col(f"b_{lo}") - F.col(f"q_{hi}")), F.lit(2.0)) for lo, hi in zip(lows, highs)), F.lit(0.0))
     # At most MOST_CELLS rows on either side.
-    pairs = a.join(F.broadcast(b), gap <= (F.col("q_most") + slack) * limit).select(F.col("q_cell").alias("qcell"), F.col("b_cell").alias("cell"))
+    pairs = a.join(F.broadcast(b), (F.col("q_cell") == F.col("b_cell")) | (gap <= (F.col("q_most") + slack) * limit)).select(F.col("q_cell").alias("qcell"), F.col("b_cell").alias("cell"))
     work = known.join(pairs, "qcell").join(index.select("cell", "part", "ids", "mat", "extra"), "cell").select("qids", "qmat", "far", (F.col("part") == F.col("home")).alias("own"), "ids", "mat", "extra")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,7 +179,7 @@ def nearest(queries: DataFrame, base: DataFrame, k: int = 20, sure: float = SURE
                 asked_at, points = project(q_mat, False), project(mat)
                 edge = (np.maximum(0.0, np.maximum(lo - asked_at, asked_at - hi)) ** 2).sum(1)
                 qid, vid, score = [], [], []
-                for i in np.flatnonzero(edge <= (far + slack) * limit):
+                for i in np.flatnonzero(r["own"] | (edge <= (far + slack) * limit)):
                     q, most = q_mat[i], far[i]
                     apart = ((points - asked_at[i]) ** 2).sum(1)
                     if r["own"]:  # already verified whole; its k best are found in any case
