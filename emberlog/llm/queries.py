@@ -8,6 +8,7 @@ from .mixing import OP6_SQL, op6_mixing
 from .pii import op5_pii
 from .quality import op1_quality
 from .simhash import op10_simhash
+from .suffix_dedup import op9_suffix_dedup
 from .token_counts import op3_token_counts
 from .topk import op2_topk
 from .topk import SQL as OP2_SQL
@@ -22,6 +23,7 @@ QUERIES = {
     "op6_mixing": op6_mixing,
     "op7_toxicity": op7_toxicity,
     "op8_ann": op8_ann,
+    "op9_suffix_dedup": op9_suffix_dedup,
     "op10_simhash": op10_simhash,
 }
 ORACLE_SQL = {"op2_topk": OP2_SQL, "op6_mixing": OP6_SQL}
