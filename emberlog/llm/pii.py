@@ -140,6 +140,10 @@ def mask_pii(docs: DataFrame, text_col: str = "text", kinds: tuple[Kind, ...] =
     return find_pii(docs, text_col, name, kinds).withColumn(text_col, F.when(F.size(name) > 0, masked).otherwise(text)).drop(name)
 
 
+def _is(kind: Kind):
+    return lambda x: x["kind"] == kind.name
+
+
 def span_text(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
 
@@ -147,6 +151,6 @@ def span_text(spans: Column) -> Column:
 def op5_pii(spark, sf_dir: str) -> DataFrame:
     """Spans of every document, counted and digested by kind."""
     found = find_pii(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "pii")
-    counts = [F.size(F.filter("pii", lambda x, i=i: x["kind_no"] == i)).cast("long").alias(f"n_{k.name}") for i, k in enumerate(BASE)]
+    counts = [F.size(F.filter("pii", _is(k))).cast("long").alias(f"n_{k.name}") for k in BASE]
     base = F.filter("pii", lambda x: x["kind_no"] < len(BASE))
     return found.select("doc_id", *counts, F.sha2(span_text(base), 256).alias("base_sha256"), span_text(F.col("pii")).alias("spans"))
