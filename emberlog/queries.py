@@ -1,4 +1,696 @@
-"""Queries over the driver's tables, by operator, and SQL for those that it can express."""
+"""Queries over the driver's tables, by operator, and SQL for those that it can express.
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+Records are made of events. The *_roundtrip queries render events as lines or documents
+of a format and read them back with its parser; their SQL takes the values from events.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .functions.normalize import display_timestamp, epoch_ms, parse_severity, severity_rank
+from .operators import analysis, bursts, drilldown, export, filters, navigation, state
+from .plans.ingest import IngestResult
+from .profile import APACHE_COMMON, DEFAULT_PATHS, IIS_W3C, WEB_COMBINED, WINDOWS_EVENTS, Profile
+from .session import prepared
+from .sources.json_sources import ingest_json_documents, ingest_json_lines
+from .sources.registry import discover_attributes, preview, suggest_formats
+from .sources.syslog import ingest_syslog
+from .sources.text_sources import ingest_delimited, ingest_key_value, ingest_regex
+from .sources.w3c import ingest_w3c
+from .sources.xml_source import ingest_xml_documents
+
+ALIASES = {"error": "ERROR", "purchase": "WARN", "signup": "INFO", "click": "DEBUG", "view": "TRACE"}
+WEEK_MS = 7 * analysis.DAY
+
+# The records in SQL; weeks begin on Monday, the fourth day of the epoch.
+REC = """WITH rec AS (SELECT CAST(event_id AS VARCHAR) AS record_id, event_id AS record_number, ts, (epoch_us(ts) // 1000) AS ms,
+  CASE event_type WHEN 'error' THEN 'ERROR' WHEN 'purchase' THEN 'WARN' WHEN 'signup' THEN 'INFO' WHEN 'click' THEN 'DEBUG' WHEN 'view' THEN 'TRACE' END AS severity,
+  CASE event_type WHEN 'error' THEN 4 WHEN 'purchase' THEN 3 WHEN 'signup' THEN 2 WHEN 'click' THEN 1 WHEN 'view' THEN 0 END AS severity_rank,
+  'svc-' || (user_id % 7) AS subsystem, event_type AS event_code, 'user-' || user_id AS entity_id,
+  event_type || ' by user-' || user_id AS message, json_extract_string(props, '$.k') AS k, 'band-' || (user_id % 10) AS band,
+  'week-' || (((epoch_us(ts) // 1000) + 3 * 86400000) // 604800000) AS session_id FROM events) """
+
+
+def events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """events with ts as a UTC time."""
+    return prepared(spark).read.parquet(f"{sf_dir}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of all events, a session for each week."""
+    e = events(spark, sf_dir)
+    severity = parse_severity(F.col("event_type"), ALIASES)
+    week = F.floor((epoch_ms(F.col("ts")) + 3 * analysis.DAY) / WEEK_MS)
+    return e.select(
+        F.concat(F.lit("week-"), week.cast("string")).alias("session_id"), F.col("event_id").cast("string").alias("record_id"), F.col("ts").alias("event_ts"), display_timestamp(F.col("ts")).alias("event_ts_text"),
+        severity.alias("severity"), severity_rank(severity).alias("severity_rank"), F.concat(F.lit("svc-"), (F.col("user_id") % 7).cast("string")).alias("subsystem"), F.col("event_type").alias("event_code"),
+        F.concat(F.lit("user-"), F.col("user_id").cast("string")).alias("entity_id"), F.concat("event_type", F.lit(" by user-"), F.col("user_id").cast("string")).alias("message"),
+        F.create_map(F.lit("k"), F.get_json_object("props", "$.k"), F.lit("band"), F.concat(F.lit("band-"), (F.col("user_id") % 10).cast("string"))).alias("attributes"), F.array().cast("array<string>").alias("structured"),
+        F.col("props").alias("raw_source"), F.lit("/logs/events").alias("source_path"), F.lit("events").alias("source_name"), F.col("event_id").alias("record_number"),
+    )
+
+
+def annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A log of analyst actions on some of the events."""
+    r = records(spark, sf_dir).select("session_id", "record_id", F.col("record_number").alias("n"))
+    act = lambda every, field, value, seq: F.when(F.col("n") % every == 0, F.struct(F.lit(field).alias("field"), (F.lit(value) if isinstance(value, str) else value).alias("value"), F.lit(seq).alias("seq")))
+    acts = F.array_compact(F.array(act(50, "bookmarked", "true", 1), act(100, "bookmarked", "false", 2), act(30, "status", "Open", 1), act(60, "status", "Resolved", 2), act(90, "status", "None", 3), act(45, "note", F.concat(F.lit("note "), F.col("record_id")), 1)))
+    return r.select("session_id", "record_id", F.explode(acts).alias("a")).select("session_id", "record_id", "a.*")
+
+
+STATE = (
+    REC
+    + """, st AS (SELECT *, record_number % 50 = 0 AND record_number % 100 <> 0 AS bookmarked,
+  CASE WHEN record_number % 45 = 0 THEN 'note ' || record_id ELSE '' END AS note,
+  CASE WHEN record_number % 90 = 0 THEN 'None' WHEN record_number % 60 = 0 THEN 'Resolved' WHEN record_number % 30 = 0 THEN 'Open' ELSE 'None' END AS status FROM rec),
+  kept AS (SELECT * FROM st WHERE bookmarked OR note <> '' OR status <> 'None') """
+)
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None, name: str | None = None):
+    def add(f):
+        QUERIES[name or f.__name__] = f
+        if sql:
+            ORACLE_SQL[name or f.__name__] = sql
+        return f
+
+    return add
+
+
+COUNTS = ", ".join(f"count(*) FILTER (WHERE severity = '{s}') AS {s.lower()}" for s in ("TRACE", "DEBUG", "INFO", "WARN", "ERROR", "CRITICAL"))
+ISSUE = "severity IN ('WARN', 'ERROR', 'CRITICAL')"
+
+# Summaries
+
+
+@query(REC + f"SELECT session_id, count(*) AS visible, count(*) AS total, {COUNTS} FROM rec GROUP BY session_id")
+def severity_summary(spark, sf_dir):
+    return analysis.severity_summary(records(spark, sf_dir))
+
+
+@query("""SELECT 'events' AS session_id, 'svc-' || (user_id % 7) AS subsystem, count(*) FILTER (WHERE event_type = 'purchase') AS warnings,
+  count(*) FILTER (WHERE event_type = 'error') AS errors, count(*) AS total FROM events WHERE event_type IN ('purchase', 'error') GROUP BY ALL""")
+def issue_summary(spark, sf_dir):
+    return analysis.issue_summary(ingest_json_lines(json_lines(spark, sf_dir), EVENT_PROFILE).records)
+
+
+def _timeline_sql(step: int, window: str = "") -> str:
+    return REC + f""", b AS (SELECT session_id, min(ms // {step}) AS a, max(ms // {step}) AS z FROM rec GROUP BY session_id),
+  s AS (SELECT session_id, unnest(range({window or 'a, z + 1'})) * {step} AS bucket FROM b),
+  c AS (SELECT session_id, ms // {step} * {step} AS bucket, count(*) AS total, {COUNTS} FROM rec GROUP BY ALL)
+  SELECT s.session_id, s.bucket, strftime(make_timestamp(s.bucket * 1000), '{'%Y-%m-%d' if step >= 86400000 else '%Y-%m-%d %H:%M'}') AS label,
+  {", ".join(f"coalesce({x}, 0) AS {x}" for x in analysis.COUNTERS)} FROM s LEFT JOIN c USING (session_id, bucket)"""
+
+
+@query(_timeline_sql(analysis.DAY))
+def timeline_day(spark, sf_dir):
+    return analysis.timeline(records(spark, sf_dir), analysis.DAY)
+
+
+@query(_timeline_sql(analysis.HOUR, "a + 20, least(z + 1, a + 40)"))
+def timeline_hour_window(spark, sf_dir):
+    return analysis.timeline(records(spark, sf_dir), analysis.HOUR, start_index=20, count=20)
+
+
+@query(_timeline_sql(15 * analysis.MINUTE))
+def timeline_quarter_hours(spark, sf_dir):
+    return analysis.timeline_by_minutes(records(spark, sf_dir), 15)
+
+
+@query(REC + f""", c AS (SELECT session_id, ms // 3600000 AS b, count(*) AS total, {COUNTS} FROM rec GROUP BY ALL)
+  SELECT session_id, max(total) AS max_total, max(greatest(trace, debug, info, warn, error, critical)) AS max_series FROM c GROUP BY session_id""")
+def timeline_scale(spark, sf_dir):
+    return analysis.timeline_scale(records(spark, sf_dir), analysis.HOUR)
+
+
+@query(REC + f""", r AS (SELECT session_id, greatest(1, max(ms) - min(ms) + 1) AS span FROM rec GROUP BY session_id)
+  SELECT session_id, coalesce((SELECT min(s) FROM (SELECT unnest({list(analysis.STEPS)}) AS s) WHERE (span + s - 1) // s <= 20),
+  greatest(1, ((span + 19) // 20 + 86399999) // 86400000) * 86400000)::BIGINT AS interval_ms FROM r""")
+def timeline_auto_interval(spark, sf_dir):
+    return analysis.session_intervals(records(spark, sf_dir))
+
+
+@query(REC + "SELECT session_id, max(ms // 3600000) - min(ms // 3600000) + 1 AS buckets FROM rec GROUP BY session_id")
+def timeline_bucket_count(spark, sf_dir):
+    return analysis.bucket_count(records(spark, sf_dir), analysis.HOUR)
+
+
+@query(REC + """SELECT session_id, bool_or(severity IS NOT NULL) AS has_severity, true AS has_subsystem, bool_or(event_code IS NOT NULL) AS has_event_code,
+  true AS has_entity, true AS has_attributes, bool_or(ms IS NOT NULL) AS has_timestamp, true AS has_message FROM rec GROUP BY session_id""")
+def capabilities(spark, sf_dir):
+    return analysis.capabilities(records(spark, sf_dir))
+
+
+@query(REC + """SELECT DISTINCT session_id, kind, value FROM (SELECT session_id, 'subsystem' AS kind, subsystem AS value FROM rec UNION ALL SELECT session_id, 'event_code', event_code FROM rec
+  UNION ALL SELECT session_id, 'entity_id', entity_id FROM rec UNION ALL SELECT session_id, 'attribute', 'k' FROM rec UNION ALL SELECT session_id, 'attribute', 'band' FROM rec)""")
+def distinct_values(spark, sf_dir):
+    return analysis.distinct_values(records(spark, sf_dir))
+
+
+@query(REC + "SELECT session_id, min(ms) AS first_ms, max(ms) AS last_ms FROM rec GROUP BY session_id")
+def time_range(spark, sf_dir):
+    return analysis.time_range(records(spark, sf_dir))
+
+
+JAN_10, JAN_20 = 1_704_844_800_000, 1_705_708_800_000
+
+
+@query(REC + f"SELECT session_id, greatest(min(ms), {JAN_10}) AS first_ms, least(max(ms), {JAN_20}) AS last_ms FROM rec GROUP BY session_id")
+def effective_range(spark, sf_dir):
+    return analysis.effective_range(records(spark, sf_dir), JAN_10, JAN_20)
+
+
+@query(REC + "SELECT event_code AS value, count(*) AS records FROM rec GROUP BY 1")
+def event_frequencies(spark, sf_dir):
+    return analysis.frequencies(records(spark, sf_dir), "event_code")
+
+
+@query(REC + "SELECT entity_id AS value, count(*) AS records FROM rec GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10")
+def top_entities(spark, sf_dir):
+    return analysis.frequencies(records(spark, sf_dir), "entity_id", 10)
+
+
+@query(REC + "SELECT session_id, subsystem AS value, ms // 86400000 * 86400000 AS bucket, count(*) AS records FROM rec GROUP BY ALL")
+def subsystem_trends(spark, sf_dir):
+    return analysis.trends(records(spark, sf_dir), "subsystem", analysis.DAY)
+
+
+WEEKS = ("week-2818", "week-2819")
+
+
+@query(REC + f"""SELECT entity_id AS value, count(*) FILTER (WHERE session_id = '{WEEKS[0]}') AS records_a, count(*) FILTER (WHERE session_id = '{WEEKS[1]}') AS records_b,
+  CASE WHEN count(*) FILTER (WHERE session_id = '{WEEKS[1]}') = 0 THEN '{WEEKS[0]}' WHEN count(*) FILTER (WHERE session_id = '{WEEKS[0]}') = 0 THEN '{WEEKS[1]}' END AS only_in
+  FROM rec WHERE session_id IN ('{WEEKS[0]}', '{WEEKS[1]}') GROUP BY 1""")
+def compare_sessions(spark, sf_dir):
+    return analysis.compare_sessions(records(spark, sf_dir), *WEEKS, "entity_id")
+
+
+@query(REC + f""", i AS (SELECT session_id, subsystem, record_id, ms FROM rec WHERE {ISSUE}),
+  n AS (SELECT *, CASE WHEN ms - lag(ms) OVER w > 1800000 THEN 1 ELSE 0 END AS new FROM i WINDOW w AS (PARTITION BY session_id, subsystem ORDER BY ms, record_id)),
+  r AS (SELECT *, sum(new) OVER (PARTITION BY session_id, subsystem ORDER BY ms, record_id ROWS UNBOUNDED PRECEDING) AS run FROM n),
+  g AS (SELECT session_id, subsystem, run, min(ms) AS from_ms, max(ms) AS to_ms, count(*) AS issues FROM r GROUP BY ALL HAVING count(*) >= 3)
+  SELECT session_id, subsystem, from_ms, to_ms, issues, row_number() OVER (PARTITION BY session_id, subsystem ORDER BY from_ms) AS burst FROM g""")
+def issue_bursts(spark, sf_dir):
+    return bursts.issue_bursts(records(spark, sf_dir), 1_800_000, 3)
+
+
+# Filters
+
+COMBINED = filters.Criteria(severities=("warn", "ERROR"), subsystems=("svc-1", "svc-2 ", "svc-5"), event_codes=("error", "purchase"), start="2024-01-05T00:00:00Z", end="2024-01-25T12:00:00Z", fields={"band": ("band-1", "band-2", "band-5", "band-8")}, search="USER-")
+COMBINED_SQL = {
+    "severity_match": "severity IN ('WARN', 'ERROR')",
+    "subsystem_match": "subsystem IN ('svc-1', 'svc-2', 'svc-5')",
+    "event_code_match": "event_code IN ('error', 'purchase')",
+    "entity_match": "true",
+    "time_match": "ts >= '2024-01-05' AND ts <= '2024-01-25 12:00:00'",
+    "field_match": "band IN ('band-1', 'band-2', 'band-5', 'band-8')",
+    "search_match": "contains(lower(message), 'user-')",
+    "status_match": "true",
+    "bookmark_match": "true",
+}
+ALL_SQL = " AND ".join(f"({p})" for p in COMBINED_SQL.values())
+SHOWN = "session_id, record_id, severity, subsystem, event_code, entity_id, message, ms"
+
+
+def shown(df: DataFrame) -> DataFrame:
+    return df.select("session_id", "record_id", "severity", "subsystem", "event_code", "entity_id", "message", epoch_ms(F.col("event_ts")).alias("ms"))
+
+
+@query(REC + f"SELECT {SHOWN} FROM rec WHERE {ALL_SQL}")
+def filter_combined(spark, sf_dir):
+    return shown(filters.filter_records(records(spark, sf_dir), COMBINED))
+
+
+@query(REC + f"SELECT {SHOWN} FROM rec WHERE band IN ('band-3', 'band-4') AND k IN ('1', '7', '42')")
+def filter_custom_fields(spark, sf_dir):
+    return shown(filters.filter_records(records(spark, sf_dir), filters.Criteria(fields={"band": ("band-3", "band-4"), "k": ("1", "7", "42")})))
+
+
+@query(REC + f"SELECT {SHOWN} FROM rec WHERE ts >= '2024-01-10' AND ts <= '2024-01-11'")
+def filter_time_range(spark, sf_dir):
+    return shown(filters.filter_records(records(spark, sf_dir), filters.Criteria(start="2024-01-10T00:00:00Z", end="2024-01-11T00:00:00Z")))
+
+
+@query(REC + f"SELECT {SHOWN} FROM rec WHERE entity_id IN ('user-1', 'user-2', 'user-3')")
+def filter_entities(spark, sf_dir):
+    return shown(filters.filter_records(records(spark, sf_dir), filters.Criteria(entity_ids=("user-1", " user-2", "user-3", "user-3"))))
+
+
+@query(REC + f"SELECT {SHOWN} FROM rec WHERE contains(lower(message), 'error by user-1') OR contains(lower(subsystem), 'error by user-1')")
+def search_text(spark, sf_dir):
+    return shown(filters.filter_records(records(spark, sf_dir), filters.Criteria(search=" Error by USER-1")))
+
+
+@query("SELECT doc_id, lang, source FROM documents WHERE contains(lower(text), 'license')")
+def search_documents(spark, sf_dir):
+    """Free text over documents, each as one record."""
+    docs = prepared(spark).read.parquet(f"{sf_dir}/documents.parquet")
+    none = F.lit(None).cast("string")
+    as_records = docs.withColumns({"raw_source": F.col("text"), "message": none, "subsystem": none, "event_code": none, "entity_id": none, "severity": none, "event_ts_text": none, "attributes": F.create_map().cast("map<string,string>"), "structured": F.array().cast("array<string>")})
+    return as_records.where(filters.search_matches("LICENSE")).select("doc_id", "lang", "source")
+
+
+@query(REC + f"SELECT record_id, {', '.join(f'({p}) AS {k}' for k, p in COMBINED_SQL.items())}, ({ALL_SQL}) AS all_match FROM rec")
+def match_flags(spark, sf_dir):
+    return filters.match_flags(records(spark, sf_dir), COMBINED).select("record_id", *filters.FLAGS, "all_match")
+
+
+PRESETS = {"combined": COMBINED, "errors": filters.Criteria(severities=("ERROR",)), "k 7": filters.Criteria(fields={"k": ("7",)}), "all": filters.Criteria()}
+
+
+@query(REC + ", ".join(f", p{i} AS (SELECT session_id, '{n}' AS preset, count(*) FILTER (WHERE {p}) AS visible, count(*) AS total FROM rec GROUP BY session_id)".removeprefix(", " if i else "") for i, (n, p) in enumerate({"combined": ALL_SQL, "errors": "severity = 'ERROR'", "k 7": "k = '7'", "all": "true"}.items())) + " SELECT * FROM p0 UNION ALL SELECT * FROM p1 UNION ALL SELECT * FROM p2 UNION ALL SELECT * FROM p3")
+def preset_counts(spark, sf_dir):
+    return filters.preset_counts(records(spark, sf_dir), PRESETS)
+
+
+@query(REC + "SELECT session_id, count(*) AS total FROM rec GROUP BY session_id")
+def analysis_input(spark, sf_dir):
+    """A filter by bookmarks alone does not narrow summaries."""
+    return filters.analysis_input(records(spark, sf_dir), filters.Criteria(bookmarked_only=True)).groupBy("session_id").agg(F.count("*").alias("total"))
+
+
+@query(REC + f"SELECT {SHOWN} FROM rec WHERE severity IN ('ERROR')")
+def applied_preset(spark, sf_dir):
+    """A preset with an attribute that the records do not have."""
+    r = records(spark, sf_dir)
+    caps = analysis.capabilities(r).agg(*[F.bool_or(c).alias(c) for c in ("has_severity", "has_subsystem", "has_event_code", "has_entity", "has_timestamp")]).first()
+    names = [x[0] for x in analysis.attribute_names(r).limit(1_000).collect()]
+    return shown(filters.filter_records(r, filters.apply_preset(filters.Criteria(severities=("error",), fields={"host": ("a",)}), caps, names)))
+
+
+@query(REC + """SELECT session_id, record_number, strftime(ts, '%Y-%m-%dT%H:%M:%S.') || lpad((ms % 1000)::VARCHAR, 3, '0') || 'Z' AS timestamp, severity AS level, subsystem, event_code, entity_id, message
+  FROM rec WHERE severity = 'ERROR' AND subsystem = 'svc-3' AND contains(lower(message), 'user-2')""")
+def legacy_filter(spark, sf_dir):
+    return filters.legacy_filter(filters.legacy_events(records(spark, sf_dir)), "ERROR", "svc-3", "User-2")
+
+
+# Navigation
+
+NAVIGATE_SQL = (
+    REC
+    + """, n AS (SELECT *, CASE WHEN severity IN ('WARN', 'ERROR', 'CRITICAL') THEN record_id END AS issue FROM rec),
+  o AS (SELECT session_id, record_id, row_number() OVER w AS position, count(*) OVER (PARTITION BY session_id) AS "of", lag(record_id) OVER w AS previous_id, lead(record_id) OVER w AS next_id,
+  last_value(issue IGNORE NULLS) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pi, first_value(issue IGNORE NULLS) OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS ni,
+  first_value(issue IGNORE NULLS) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS fi, last_value(issue IGNORE NULLS) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS li
+  FROM n WINDOW w AS (PARTITION BY session_id ORDER BY {order}, record_number, record_id))
+  SELECT session_id, record_id, position, "of", previous_id, next_id, coalesce(pi, li) AS previous_issue, coalesce(ni, fi) AS next_issue FROM o"""
+)
+
+
+@query(NAVIGATE_SQL.replace("{order}", "ts"))
+def navigate_by_time(spark, sf_dir):
+    return navigation.navigate(records(spark, sf_dir), "event_ts")
+
+
+@query(NAVIGATE_SQL.replace("{order}", "severity_rank"))
+def navigate_by_severity(spark, sf_dir):
+    return navigation.navigate(records(spark, sf_dir), "severity")
+
+
+@query(NAVIGATE_SQL.replace("{order}", "k::DOUBLE"))
+def navigate_by_attribute(spark, sf_dir):
+    return navigation.navigate(records(spark, sf_dir), attribute="k")
+
+
+@query("""SELECT conv_id, turn, lag(role) OVER w AS previous_role, lead(role) OVER w AS next_role, row_number() OVER w AS position, count(*) OVER (PARTITION BY conv_id) AS "of"
+  FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, md5(coalesce(text, '')))""")
+def conversation_positions(spark, sf_dir):
+    """Turns as records of a session for each conversation."""
+    c = prepared(spark).read.parquet(f"{sf_dir}/conversations.parquet")
+    turn = F.struct("turn", "role", F.md5(F.coalesce("text", F.lit("")).cast("binary")))
+    as_records = c.select(F.col("conv_id").cast("string").alias("session_id"), F.col("turn").alias("record_number"), F.to_json(F.struct("role", turn.alias("t"))).alias("record_id"), F.concat("role", F.lit("|"), F.md5(F.coalesce("text", F.lit("")).cast("binary"))).alias("source_path"), F.lit("INFO").alias("severity"), F.lit(2).alias("severity_rank"))
+    found = navigation.navigate(as_records, "record_number")
+    role = lambda c: F.get_json_object(c, "$.role")
+    return found.select(F.col("session_id").cast("long").alias("conv_id"), F.get_json_object("record_id", "$.t.turn").cast("long").alias("turn"), role("previous_id").alias("previous_role"), role("next_id").alias("next_role"), "position", "of")
+
+
+@query(REC + "SELECT session_id, record_id, row_number() OVER (PARTITION BY session_id ORDER BY severity_rank DESC, record_number) AS place FROM rec")
+def sorted_by_severity(spark, sf_dir):
+    """The place of each record in a descending sort, from the order of its keys."""
+    r = records(spark, sf_dir).withColumn("severity_rank", -F.col("severity_rank"))
+    return navigation.navigate(r, "severity").select("session_id", "record_id", F.col("position").alias("place"))
+
+
+# Drill-down
+
+
+@query(REC + f"""SELECT session_id, record_id, subsystem, unnest(['total', CASE WHEN severity = 'WARN' THEN 'warnings' ELSE 'errors' END]) AS cell FROM rec WHERE {ISSUE}""")
+def drill_issue_cells(spark, sf_dir):
+    return drilldown.issue_cells(records(spark, sf_dir)).select("session_id", "record_id", "subsystem", "cell")
+
+
+@query(REC + f"""SELECT session_id, record_id, greatest(ms // 3600000 * 3600000, {JAN_10}) AS from_ms, least(ms // 3600000 * 3600000 + 3599999, {JAN_20}) AS to_ms
+  FROM rec WHERE ms BETWEEN {JAN_10} AND {JAN_20} AND severity = 'ERROR'""")
+def drill_buckets(spark, sf_dir):
+    return drilldown.bucket_records(records(spark, sf_dir), analysis.HOUR, JAN_10, JAN_20, ("ERROR",)).select("session_id", "record_id", "from_ms", "to_ms")
+
+
+@query(STATE + f""", h AS (SELECT *, {', '.join(f'({p}) AS {k}' for k, p in COMBINED_SQL.items())} FROM kept WHERE NOT ({ALL_SQL}))
+  SELECT session_id, record_id, CASE WHEN severity_match OR severity IN ('WARN', 'ERROR') THEN 'WARN,ERROR' ELSE 'WARN,ERROR,' || severity END AS severities,
+  CASE WHEN subsystem_match THEN 'svc-1,svc-2,svc-5' ELSE 'svc-1,svc-2,svc-5,' || subsystem END AS subsystems,
+  epoch_us(least(ts, TIMESTAMP '2024-01-05')) // 1000 AS start_ms, epoch_us(greatest(ts, TIMESTAMP '2024-01-25 12:00:00')) // 1000 AS end_ms,
+  CASE WHEN field_match THEN 'band-1,band-2,band-5,band-8' ELSE 'band-1,band-2,band-5,band-8,' || band END AS bands FROM h""")
+def relax_for_findings(spark, sf_dir):
+    """Criteria widened for each annotated record that they hide."""
+    found = records(spark, sf_dir).join(state.current_state(annotations(spark, sf_dir)), state.KEYS)
+    out = drilldown.relax_for(found, COMBINED)
+    text = lambda c: F.array_join(c, ",")
+    return out.select("session_id", "record_id", text("severities").alias("severities"), text("subsystems").alias("subsystems"), epoch_ms(F.col("start")).alias("start_ms"), epoch_ms(F.col("end")).alias("end_ms"), text(F.try_element_at("fields", F.lit("band"))).alias("bands"))
+
+
+# Analyst state
+
+
+@query(STATE + "SELECT session_id, record_id, bookmarked, note, status FROM kept")
+def current_state(spark, sf_dir):
+    return state.current_state(annotations(spark, sf_dir))
+
+
+@query(STATE + "SELECT session_id, record_id, bookmarked, note, status FROM st")
+def records_with_state(spark, sf_dir):
+    return state.with_state(records(spark, sf_dir), state.current_state(annotations(spark, sf_dir))).select("session_id", "record_id", "bookmarked", "note", "status")
+
+
+@query(STATE + """SELECT session_id, record_id, status, record_number, strftime(ts, '%Y-%m-%dT%H:%M:%S.') || lpad((ms % 1000)::VARCHAR, 3, '0') || 'Z' AS event_ts_text,
+  CASE WHEN note <> '' THEN note ELSE '(No analyst note) — ' || event_code || ' — ' || message END AS text FROM kept WHERE status <> 'None'""")
+def findings_review(spark, sf_dir):
+    return state.findings_review(records(spark, sf_dir), state.current_state(annotations(spark, sf_dir)))
+
+
+@query(STATE + "SELECT session_id, count(*) FILTER (WHERE status = 'Open') AS open, count(*) FILTER (WHERE status = 'Resolved') AS resolved, count(*) FILTER (WHERE status = 'Dismissed') AS dismissed FROM kept GROUP BY session_id")
+def finding_counts(spark, sf_dir):
+    return state.finding_counts(state.current_state(annotations(spark, sf_dir)))
+
+
+@query(STATE + "SELECT session_id, record_id, bookmarked, note, status FROM kept WHERE event_code <> 'view'")
+def prune_state(spark, sf_dir):
+    """After a source is read again without its views."""
+    return state.prune_state(state.current_state(annotations(spark, sf_dir)), records(spark, sf_dir).where("event_code <> 'view'"))
+
+
+@query(STATE + f"SELECT {SHOWN} FROM kept WHERE bookmarked")
+def bookmarked_records(spark, sf_dir):
+    return shown(state.bookmarked_records(records(spark, sf_dir), state.current_state(annotations(spark, sf_dir))))
+
+
+@query(STATE + f"SELECT {SHOWN} FROM st WHERE status IN ('Open') AND severity = 'ERROR'")
+def filter_by_status(spark, sf_dir):
+    joined = state.with_state(records(spark, sf_dir), state.current_state(annotations(spark, sf_dir)))
+    return shown(filters.filter_records(joined, filters.Criteria(severities=("ERROR",), statuses=("Open",))))
+
+
+# Export
+
+
+@query(REC + """SELECT record_number, strftime(ts, '%Y-%m-%dT%H:%M:%S.') || lpad((ms % 1000)::VARCHAR, 3, '0') || 'Z' AS "Timestamp", severity AS "Severity", subsystem AS "Subsystem", event_code AS "Event Code",
+  entity_id AS "Entity ID", message AS "Message", band, k FROM rec""")
+def wide_export_rows(spark, sf_dir):
+    return export.wide(records(spark, sf_dir), keys=("record_number",))
+
+
+@query(REC + "SELECT DISTINCT unnest(['band', 'k']) AS attribute FROM rec")
+def attribute_names(spark, sf_dir):
+    return analysis.attribute_names(records(spark, sf_dir))
+
+
+@query(REC + """SELECT DISTINCT unnest(['Timestamp', 'Severity', 'Subsystem', 'Event Code', 'Entity ID', 'Message', 'band', 'k']) AS "column" FROM rec""")
+def visible_columns(spark, sf_dir):
+    return export.visible_columns(records(spark, sf_dir))
+
+
+@query(REC + "SELECT session_id, record_id, unnest(['band', 'k']) AS attribute, unnest([band, k]) AS value FROM rec")
+def attributes_long_form(spark, sf_dir):
+    return export.long_form(records(spark, sf_dir))
+
+
+@query(REC + """SELECT record_id, 'Timestamp: ' || strftime(ts, '%Y-%m-%dT%H:%M:%S.') || lpad((ms % 1000)::VARCHAR, 3, '0') || 'Z' || chr(10) || 'Severity: ' || severity || chr(10) || 'Subsystem: ' || subsystem || chr(10)
+  || 'Event Code: ' || event_code || chr(10) || 'Entity ID: ' || entity_id || chr(10) || 'Message: ' || message || chr(10) || 'Source: events' || chr(10) || 'Record: ' || record_number || chr(10)
+  || 'band: ' || band || chr(10) || 'k: ' || k AS detail FROM rec""")
+def record_details(spark, sf_dir):
+    return records(spark, sf_dir).select("record_id", export.detail_text().alias("detail"))
+
+
+# Ingest
+
+LINE_SOURCE = ("events", "/logs/part-")
+EVENT_PROFILE = Profile(custom={"k": "props.k"}, severity_aliases=ALIASES)
+FLAT_PROFILE = Profile(custom={"k": "k"}, severity_aliases=ALIASES)
+TS_SQL = "strftime(ts, '%Y-%m-%dT%H:%M:%S.') || lpad(((epoch_us(ts) // 1000) % 1000)::VARCHAR, 3, '0') || 'Z'"
+SEVERITY_SQL = "CASE event_type WHEN 'error' THEN 'ERROR' WHEN 'purchase' THEN 'WARN' WHEN 'signup' THEN 'INFO' WHEN 'click' THEN 'DEBUG' WHEN 'view' THEN 'TRACE' END"
+READ_SQL = f"""SELECT event_id + 2 AS record_number, {SEVERITY_SQL} AS severity, 'svc-' || (user_id % 7) AS subsystem, event_type AS event_code, 'user-' || user_id AS entity_id,
+  'said "' || event_type || '", then left' AS message, (epoch_us(ts) // 1000) AS ms, json_extract_string(props, '$.k') AS k FROM events"""
+
+
+def rendered(spark: SparkSession, sf_dir: str, line: Column, extra: tuple[tuple[int, str], ...] = ()) -> DataFrame:
+    """Lines of four sources, made of events: record_number event_id + 2. extra (number, text) go to every source."""
+    e = events(spark, sf_dir).withColumns({"t": display_timestamp(F.col("ts")), "subsystem": F.concat(F.lit("svc-"), (F.col("user_id") % 7).cast("string")), "entity": F.concat(F.lit("user-"), F.col("user_id").cast("string")), "k": F.get_json_object("props", "$.k")})
+    e = e.withColumn("message", F.concat(F.lit('said "'), "event_type", F.lit('", then left')))
+    part = (F.col("event_id") % 4).cast("string")
+    rows = e.select(F.lit(LINE_SOURCE[0]).alias("session_id"), F.concat(F.lit(LINE_SOURCE[1]), part, F.lit(".log")).alias("source_path"), (F.col("event_id") + 2).alias("record_number"), line.alias("raw_source"))
+    if extra:
+        heads = rows.select("session_id", "source_path").distinct().withColumn("x", F.explode(F.array(*[F.struct(F.lit(n).cast("long").alias("record_number"), F.lit(t).alias("raw_source")) for n, t in extra])))
+        rows = rows.unionByName(heads.select("session_id", "source_path", "x.record_number", "x.raw_source"))
+    return rows.withColumn("source_name", F.element_at(F.split("source_path", "/"), -1))
+
+
+def read_back(result: IngestResult, k: str = "k") -> DataFrame:
+    return result.records.select("record_number", "severity", "subsystem", "event_code", "entity_id", "message", epoch_ms(F.col("event_ts")).alias("ms"), F.try_element_at("attributes", F.lit(k)).alias("k"))
+
+
+def json_of(props: str = "props") -> Column:
+    return F.to_json(F.struct(F.col("t").alias("timestamp"), F.col("event_type").alias("level"), "subsystem", F.col("event_type").alias("eventCode"), F.col("entity").alias("entityId"), "message", F.from_json(props, "k int").alias("props")))
+
+
+def json_lines(spark, sf_dir) -> DataFrame:
+    return rendered(spark, sf_dir, json_of())
+
+
+@query(READ_SQL)
+def jsonl_roundtrip(spark, sf_dir):
+    return read_back(ingest_json_lines(json_lines(spark, sf_dir), EVENT_PROFILE))
+
+
+def documents_of(lines: DataFrame, head: str, joint: str, tail: str) -> DataFrame:
+    """A document for each source and hundred lines, in order."""
+    numbered = lines.withColumn("source_path", F.concat("source_path", F.lit("-"), F.floor(F.col("record_number") / 400).cast("string")))
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("record_number", "raw_source"))), lambda x: x["raw_source"])
+    return numbered.groupBy("session_id", "source_path").agg(F.concat(F.lit(head), F.array_join(parts, joint), F.lit(tail)).alias("document")).withColumn("source_name", F.element_at(F.split("source_path", "/"), -1))
+
+
+@query(READ_SQL.replace("event_id + 2 AS record_number", "'/logs/part-' || (event_id % 4) || '.log-' || ((event_id + 2) // 400) AS source_path, row_number() OVER (PARTITION BY event_id % 4, (event_id + 2) // 400 ORDER BY event_id) AS record_number"))
+def json_documents_roundtrip(spark, sf_dir):
+    docs = documents_of(json_lines(spark, sf_dir), '{"data": {"records": [', ",", "]}}")
+    from dataclasses import replace
+
+    result = ingest_json_documents(docs, replace(EVENT_PROFILE, format_id="structured-json", record_path="data.records"))
+    return result.records.select("source_path", "record_number", "severity", "subsystem", "event_code", "entity_id", "message", epoch_ms(F.col("event_ts")).alias("ms"), F.try_element_at("attributes", F.lit("k")).alias("k"))
+
+
+def quoted(c: str, mark: str = '"', by: str = '""') -> Column:
+    return F.concat(F.lit('"'), F.replace(F.col(c), F.lit(mark), F.lit(by)), F.lit('"'))
+
+
+HEADER = ("timestamp", "level", "subsystem", "eventCode", "entityId", "message", "k")
+
+
+def delimited_lines(spark, sf_dir, d: str) -> DataFrame:
+    return rendered(spark, sf_dir, F.concat_ws(d, "t", "event_type", "subsystem", "event_type", "entity", quoted("message"), "k"), ((1, d.join(HEADER)),))
+
+
+@query(READ_SQL)
+def csv_roundtrip(spark, sf_dir):
+    return read_back(ingest_delimited(delimited_lines(spark, sf_dir, ","), FLAT_PROFILE, ","))
+
+
+@query(READ_SQL)
+def tsv_roundtrip(spark, sf_dir):
+    return read_back(ingest_delimited(delimited_lines(spark, sf_dir, "\t"), FLAT_PROFILE, "\t"))
+
+
+REGEX = r"^(?<timestamp>\S+) \[(?<level>\w+)\] (?<subsystem>\S+) (?<eventCode>\S+) (?<entityId>\S+) k=(?<k>\d+) (?<message>.*)$"
+
+
+@query(READ_SQL)
+def regex_roundtrip(spark, sf_dir):
+    lines = rendered(spark, sf_dir, F.concat_ws(" ", "t", F.concat(F.lit("["), "event_type", F.lit("]")), "subsystem", "event_type", "entity", F.concat(F.lit("k="), "k"), "message"))
+    return read_back(ingest_regex(lines, Profile(format_id="regex-text", custom={"k": "k"}, severity_aliases=ALIASES, pattern=REGEX)))
+
+
+def key_value_line() -> Column:
+    pair = lambda k, c: F.concat(F.lit(f"{k}="), c)
+    return F.concat_ws(" ", pair("timestamp", F.col("t")), pair("level", F.col("event_type")), pair("subsystem", F.col("subsystem")), pair("eventCode", F.col("event_type")), pair("entityId", F.col("entity")), pair("k", F.col("k")), pair("message", quoted("message", '"', '\\"')))
+
+
+@query(READ_SQL)
+def key_value_roundtrip(spark, sf_dir):
+    return read_back(ingest_key_value(rendered(spark, sf_dir, key_value_line()), FLAT_PROFILE))
+
+
+SYSLOG_SQL = "CASE event_type WHEN 'error' THEN 'ERROR' WHEN 'purchase' THEN 'WARN' WHEN 'signup' THEN 'INFO' WHEN 'click' THEN 'DEBUG' WHEN 'view' THEN 'INFO' END"
+
+
+def syslog_priority() -> Column:
+    """Facility 16 and a severity for each kind of event."""
+    code = F.when(F.col("event_type") == "error", 3).when(F.col("event_type") == "purchase", 4).when(F.col("event_type") == "signup", 5).when(F.col("event_type") == "click", 7).otherwise(6)
+    return F.concat(F.lit("<"), (code + 128).cast("string"), F.lit(">"))
+
+
+@query(READ_SQL.replace(SEVERITY_SQL, SYSLOG_SQL).replace("'user-' || user_id AS entity_id", "NULL::VARCHAR AS entity_id"))
+def syslog5424_roundtrip(spark, sf_dir):
+    data = F.concat(F.lit('[meta@32473 k="'), "k", F.lit('" entity="'), "entity", F.lit('"]'))
+    lines = rendered(spark, sf_dir, F.concat_ws(" ", F.concat(syslog_priority(), F.lit("1")), "t", F.lit("host-1"), "subsystem", F.lit("4120"), "event_type", data, "message"))
+    profile = Profile(format_id="syslog", custom={"k": "structuredDataFields.meta@32473.k"})
+    return read_back(ingest_syslog(lines, profile, "2024-02-01"))
+
+
+@query(f"""SELECT event_id + 2 AS record_number, {SYSLOG_SQL} AS severity, 'svc-' || (user_id % 7) AS subsystem, NULL::VARCHAR AS event_code, NULL::VARCHAR AS entity_id,
+  'said "' || event_type || '", then left' AS message, (epoch_us(ts) // 1000) // 1000 * 1000 AS ms, 'host-' || (user_id % 3) AS k FROM events""")
+def syslog3164_roundtrip(spark, sf_dir):
+    stamp = F.concat_ws(" ", F.date_format("ts", "MMM"), F.date_format("ts", "d"), F.date_format("ts", "HH:mm:ss"))
+    lines = rendered(spark, sf_dir, F.concat_ws(" ", F.concat(syslog_priority(), stamp), F.concat(F.lit("host-"), (F.col("user_id") % 3).cast("string")), F.concat("subsystem", F.lit("[77]:")), "message"))
+    return read_back(ingest_syslog(lines, Profile(format_id="syslog"), "2024-02-01"), "hostname")
+
+
+W3C_HEADER = "#Fields: date time cs-method cs-uri-stem cs-uri-query sc-status time-taken"
+
+
+@query("""SELECT event_id + 2 AS record_number, 'GET /' || event_type || CASE WHEN user_id % 2 = 0 THEN '?u=' || user_id ELSE '' END AS message, (epoch_us(ts) // 1000) // 1000 * 1000 AS ms,
+  '200' AS status, json_extract_string(props, '$.k') AS taken FROM events""")
+def w3c_roundtrip(spark, sf_dir):
+    asked = F.when(F.col("user_id") % 2 == 0, F.concat(F.lit("u="), F.col("user_id").cast("string"))).otherwise(F.lit("-"))
+    line = F.concat_ws(" ", F.date_format("ts", "yyyy-MM-dd"), F.date_format("ts", "HH:mm:ss"), F.lit("GET"), F.concat(F.lit("/"), "event_type"), asked, F.lit("200"), "k")
+    got = ingest_w3c(rendered(spark, sf_dir, line, ((0, "#Software: x"), (1, W3C_HEADER))), IIS_W3C).records
+    of = lambda k: F.try_element_at("attributes", F.lit(k))
+    return got.select("record_number", "message", epoch_ms(F.col("event_ts")).alias("ms"), of("HTTP Status").alias("status"), of("Time Taken (ms)").alias("taken"))
+
+
+@query("""SELECT event_id + 2 AS record_number, 'GET /' || event_type || ' HTTP/1.1' AS message, (epoch_us(ts) // 1000) // 1000 * 1000 AS ms, '10.0.0.' || (user_id % 250) AS client, json_extract_string(props, '$.k') AS bytes,
+  CASE WHEN event_id % 2 = 0 THEN 'agent ' || (user_id % 5) END AS agent FROM events""")
+def web_access_roundtrip(spark, sf_dir):
+    """Half of the events as common, half as combined access lines, read by two presets."""
+    base = F.concat(F.lit("10.0.0."), (F.col("user_id") % 250).cast("string"), F.lit(" - - ["), F.date_format("ts", "dd/MMM/yyyy:HH:mm:ss Z"), F.lit('] "GET /'), "event_type", F.lit(' HTTP/1.1" 200 '), "k")
+    both = F.when(F.col("event_id") % 2 == 0, F.concat(base, F.lit(' "-" "agent '), (F.col("user_id") % 5).cast("string"), F.lit('"'))).otherwise(base)
+    lines = rendered(spark, sf_dir, both)
+    of = lambda k: F.try_element_at("attributes", F.lit(k))
+    out = None
+    for profile in (WEB_COMBINED, APACHE_COMMON):
+        got = ingest_regex(lines, profile).records.select("record_number", "message", epoch_ms(F.col("event_ts")).alias("ms"), of("Client Address").alias("client"), of("Response Bytes").alias("bytes"), of("User Agent").alias("agent"))
+        out = got if out is None else out.unionByName(got)
+    return out
+
+
+_S = T.StringType()
+_struct = lambda **f: T.StructType([T.StructField(k, v) for k, v in f.items()])
+WINDOWS_SCHEMA = T.StructType([
+    T.StructField("System", T.StructType([
+        T.StructField("Provider", T.StructType([T.StructField("@Name", _S)])), T.StructField("EventID", _S), T.StructField("Level", _S),
+        T.StructField("TimeCreated", T.StructType([T.StructField("@SystemTime", _S)])), T.StructField("Computer", _S),
+    ])),
+    T.StructField("EventData", _struct(Data=T.ArrayType(T.StructType([T.StructField("@Name", _S), T.StructField("#text", _S)])))),
+    T.StructField("RenderingInfo", _struct(Message=_S)),
+])
+
+
+@query(f"""SELECT '/logs/part-' || (event_id % 4) || '.log-' || ((event_id + 2) // 400) AS source_path, row_number() OVER (PARTITION BY event_id % 4, (event_id + 2) // 400 ORDER BY event_id) AS record_number,
+  CASE event_type WHEN 'error' THEN 'ERROR' WHEN 'purchase' THEN 'WARN' ELSE 'INFO' END AS severity, 'svc-' || (user_id % 7) AS subsystem, '00' || (user_id % 9) AS event_code,
+  'said ' || event_type AS message, (epoch_us(ts) // 1000) AS ms, json_extract_string(props, '$.k') AS k, 'user-' || user_id AS computer FROM events""")
+def xml_roundtrip(spark, sf_dir):
+    """Windows events, their named data and leading zeros kept."""
+    level = F.when(F.col("event_type") == "error", "2").when(F.col("event_type") == "purchase", "3").otherwise("4")
+    element = F.concat(
+        F.lit('<Event xmlns="http://schemas.microsoft.com/win/2004/08/events/event"><System><Provider Name="'), "subsystem", F.lit('"/><EventID>00'), (F.col("user_id") % 9).cast("string"), F.lit("</EventID><Level>"), level,
+        F.lit('</Level><TimeCreated SystemTime="'), "t", F.lit('"/><Computer>'), "entity", F.lit('</Computer></System><EventData><Data Name="k">'), "k",
+        F.lit('</Data><Data Name="x">1</Data><Data Name="x">2</Data></EventData><RenderingInfo><Message>said '), "event_type", F.lit("</Message></RenderingInfo></Event>"),
+    )
+    docs = documents_of(rendered(spark, sf_dir, element), '<?xml version="1.0"?>\n<Events>', "\n", "</Events>")
+    got = ingest_xml_documents(docs, WINDOWS_EVENTS, WINDOWS_SCHEMA).records
+    of = lambda k: F.try_element_at("attributes", F.lit(k))
+    return got.select("source_path", "record_number", "severity", "subsystem", "event_code", "message", epoch_ms(F.col("event_ts")).alias("ms"), of("EventData.NamedData.k").alias("k"), of("Computer").alias("computer"))
+
+
+# Accounting: every tenth line is broken, every eleventh has no severity that is known, every thirteenth no time.
+
+
+def faulty(spark, sf_dir) -> IngestResult:
+    broken = F.when(F.col("event_id") % 20 == 0, F.lit("{oops")).when(F.col("event_id") % 10 == 0, F.lit("[1]"))
+    odd = F.to_json(F.struct(F.when(F.col("event_id") % 13 == 0, F.lit("soon")).otherwise(F.col("t")).alias("timestamp"), F.when(F.col("event_id") % 11 == 0, F.lit("loud")).otherwise(F.col("event_type")).alias("level"), "message"))
+    return ingest_json_lines(rendered(spark, sf_dir, F.coalesce(broken, odd)), Profile(severity_aliases=ALIASES))
+
+
+@query("""SELECT '/logs/part-' || (event_id % 4) || '.log' AS source_path, count(*) AS processed, count(*) FILTER (WHERE event_id % 10 <> 0) AS imported, count(*) FILTER (WHERE event_id % 10 = 0) AS skipped,
+  bool_or(event_id % 10 <> 0 AND (event_id % 11 = 0 OR event_id % 13 = 0)) AS has_warnings, bool_or(event_id % 10 = 0) AS has_errors FROM events GROUP BY 1""")
+def ingest_stats(spark, sf_dir):
+    return faulty(spark, sf_dir).stats.select("source_path", "processed", "imported", "skipped", "has_warnings", "has_errors")
+
+
+@query("""SELECT event_id + 2 AS record_number, CASE WHEN event_id % 20 = 0 THEN 'MALFORMED_JSON' ELSE 'JSON_VALUE_NOT_OBJECT' END AS code, 'Error' AS severity FROM events WHERE event_id % 10 = 0
+  UNION ALL SELECT event_id + 2, 'INVALID_TIMESTAMP', 'Warning' FROM events WHERE event_id % 10 <> 0 AND event_id % 13 = 0
+  UNION ALL SELECT event_id + 2, 'UNMAPPED_SEVERITY', 'Warning' FROM events WHERE event_id % 10 <> 0 AND event_id % 11 = 0""")
+def ingest_diagnostics(spark, sf_dir):
+    return faulty(spark, sf_dir).diagnostics.select("record_number", "code", "severity")
+
+
+HEX16 = "regexp_replace(hex(encode({0})), '(..)', '00\\1', 'g')"
+SIZED = f"printf('%08x', 2 * length({{0}})) || {HEX16}"
+
+
+@query(f"""WITH r AS (SELECT '/logs/part-' || (event_id % 4) || '.log' AS p, event_id + 2 AS n, event_type || ' ' || user_id AS s FROM events)
+  SELECT n AS record_number, sha256(unhex({SIZED.format('p')} || printf('%016x', n) || {SIZED.format('s')})) AS record_id FROM r""")
+def stable_ids(spark, sf_dir):
+    lines = rendered(spark, sf_dir, F.concat_ws(" ", "event_type", F.col("user_id").cast("string")))
+    messy = lines.withColumn("source_path", F.replace("source_path", F.lit("/logs/"), F.lit(" /logs/./x/..\\")))
+    got = ingest_regex(messy, Profile(format_id="regex-text", pattern=r"(?<message>.*)")).records
+    return got.select("record_number", "record_id")
+
+
+@query("""SELECT event_id % 4 AS part, event_id + 2 AS record_number, event_type || ' ' || user_id AS message FROM events
+  QUALIFY row_number() OVER (PARTITION BY event_id % 4 ORDER BY event_id) <= 50""")
+def preview_records(spark, sf_dir):
+    """The first 50 records of each source: that limit is what a preview is."""
+    lines = rendered(spark, sf_dir, F.concat_ws(" ", "event_type", F.col("user_id").cast("string")))
+    first, _ = preview(ingest_regex(lines, Profile(format_id="regex-text", pattern=r"(?<message>.*)")), 50)
+    return first.select(F.regexp_extract("source_name", r"(\d)\.log", 1).cast("long").alias("part"), "record_number", "message")
+
+
+@query("""SELECT '/logs/part-' || (event_id % 4) || '.log' AS source_path, count(*) > 50 AS truncated FROM events GROUP BY 1""")
+def preview_truncated(spark, sf_dir):
+    lines = rendered(spark, sf_dir, F.concat_ws(" ", "event_type", F.col("user_id").cast("string")))
+    return preview(ingest_regex(lines, Profile(format_id="regex-text", pattern=r"(?<message>.*)")), 50)[1].select("source_path", "truncated")
+
+
+@query("SELECT DISTINCT '/logs/part-' || (event_id % 4) || '.log' AS source_path, CASE event_id % 4 WHEN 0 THEN 'json-lines' WHEN 1 THEN 'key-value' WHEN 2 THEN 'syslog' ELSE NULL END AS format_id FROM events")
+def suggested_formats(spark, sf_dir):
+    """Sources of three formats and one of none."""
+    modern = F.concat_ws(" ", F.concat(syslog_priority(), F.lit("1")), "t", F.lit("h a p m - x"))
+    line = F.when(F.col("event_id") % 4 == 0, json_of()).when(F.col("event_id") % 4 == 1, key_value_line()).when(F.col("event_id") % 4 == 2, modern).otherwise(F.col("message"))
+    return suggest_formats(rendered(spark, sf_dir, line)).select("source_path", "format_id")
+
+
+@query("SELECT 'extra.user' AS name WHERE EXISTS (SELECT 1 FROM events) UNION ALL SELECT 'props.k' WHERE EXISTS (SELECT 1 FROM events) UNION ALL SELECT 'tags' WHERE EXISTS (SELECT 1 FROM events)")
+def discovered_attributes(spark, sf_dir):
+    line = F.to_json(F.struct(F.col("t").alias("timestamp"), "message", F.from_json("props", "k int").alias("props"), F.array("event_type").alias("tags"), F.struct(F.col("user_id").alias("user")).alias("extra")))
+    return discover_attributes(ingest_json_lines(rendered(spark, sf_dir, line), Profile()).records, Profile())
+
+
+# Orders as a second source, and pages as lines
+
+
+@query("""SELECT CASE o_orderpriority WHEN '1-URGENT' THEN 'CRITICAL' WHEN '2-HIGH' THEN 'ERROR' WHEN '3-MEDIUM' THEN 'WARN' WHEN '4-NOT SPECIFIED' THEN 'INFO' WHEN '5-LOW' THEN 'DEBUG' END AS severity,
+  o_orderstatus AS event_code, count(*) AS records FROM orders GROUP BY 1, 2""")
+def order_severities(spark, sf_dir):
+    """Order priorities as severity texts, through a profile's aliases."""
+    o = prepared(spark).read.parquet(f"{sf_dir}/orders.parquet")
+    line = F.concat_ws("\t", F.date_format(F.col("o_orderdate").cast("timestamp"), "yyyy-MM-dd HH:mm:ss.SSS"), "o_orderpriority", "o_orderstatus")
+    rows = o.select(F.lit("orders").alias("session_id"), F.lit("/orders.tsv").alias("source_path"), F.lit("orders.tsv").alias("source_name"), (F.col("o_orderkey") + 2).alias("record_number"), line.alias("raw_source"))
+    head = spark.range(1).select(F.lit("orders").alias("session_id"), F.lit("/orders.tsv").alias("source_path"), F.lit("orders.tsv").alias("source_name"), F.lit(-1).cast("long").alias("record_number"), F.lit("at\tpriority\tstatus").alias("raw_source"))
+    aliases = {"1-urgent": "CRITICAL", "2-HIGH": "ERROR", "3-MEDIUM": "WARN", "4-NOT SPECIFIED": "INFO", "5-LOW": "DEBUG"}
+    profile = Profile(format_id="tsv", canonical=DEFAULT_PATHS | {"timestamp": "at", "severity": "priority", "event_code": "status"}, severity_aliases=aliases, timestamp_rules=("yyyy-MM-dd HH:mm:ss.zzz",))
+    return ingest_delimited(rows.unionByName(head), profile, "\t").records.groupBy("severity", "event_code").agg(F.count("*").alias("records"))
