@@ -105,7 +105,7 @@ def nearest(queries: DataFrame, base: DataFrame, k: int = 20, sure: float = SURE
         return mat @ axes[:-1] + last[:, None] * axes[-1]
 
     sample = rows.orderBy(F.xxhash64(F.lit(seed), "id"), "id").limit(SAMPLE_ROWS).toArrow()
-    seen = np.array(sample.column("vec").to_pylist(), np.float64).reshape(-1, dim)
+    seen = np.array(sample.column("vec").to_pylist(), np.float64).reshape(sample.num_rows, dim)
     nodes = kd_splits(project(seen), min(MOST_CELLS, -(-total // CELL_ROWS), max(1, len(seen) // 8)))
 
     def deal(lift: bool):

@@ -89,15 +89,17 @@ def _spans(text: Column, kind: Kind, no: int) -> Column:
         F.regexp_extract_all(text, pattern, F.lit(0)),
         lambda gap, found: F.struct(F.length(gap).cast("bigint").alias("gap"), F.right(gap, F.lit(CONTEXT)).alias("before"), found.alias("found")),
     )
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(f"array<{SPAN}>").alias("spans"))
+    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("tail"), F.array().cast(f"array<{SPAN}>").alias("spans"))
 
     def step(s: Column, x: Column) -> Column:
+        before = F.right(F.concat(s["tail"], x["before"]), F.lit(CONTEXT))
         begin = s["at"] + x["gap"]
         end = begin + F.length(x["found"])
-        near = F.lower(x["before"]).rlike(kind.context)
+        near = F.lower(before).rlike(kind.context)
         span = F.struct(begin.alias("start"), F.lit(no).alias("kind_no"), end.alias("end"), F.lit(kind.name).alias("kind"), x["found"].alias("found"), F.when(near, F.least(F.lit(1.0), F.lit(kind.score + 0.25))).otherwise(F.lit(kind.score)).alias("score"))
         keep = x["found"].isNotNull() & confirmed(kind, x["found"]) & (span["score"] >= kind.least)
-        return F.struct(F.coalesce(end, begin).alias("at"), F.when(keep, F.array_append(s["spans"], span)).otherwise(s["spans"]).alias("spans"))
+        tail = F.right(F.concat(before, F.coalesce(x["found"], F.lit(""))), F.lit(CONTEXT))
+        return F.struct(F.coalesce(end, begin).alias("at"), tail.alias("tail"), F.when(keep, F.array_append(s["spans"], span)).otherwise(s["spans"]).alias("spans"))
 
     found = F.aggregate(pairs, start, step, lambda s: s["spans"])
     return F.when(F.contains(text, F.lit(kind.needs)), found).otherwise(F.array().cast(f"array<{SPAN}>")) if kind.needs else found

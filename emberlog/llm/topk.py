@@ -33,7 +33,8 @@ def products(mat: np.ndarray, q: np.ndarray) -> np.ndarray:
     most = np.abs(mat).max(initial=0) * np.abs(q).max(initial=0) * len(q)
     if most < 2**53:
         return (mat @ q).astype(np.int64)
-    return mat.astype(object) @ q.astype(object)
+    exact = np.vectorize(int, otypes=[object])
+    return exact(mat) @ exact(q) if len(mat) else np.empty(0, np.int64)
 
 
 def candidates(q: np.ndarray, floor: float, mat: np.ndarray, lens: np.ndarray, unit: np.ndarray) -> np.ndarray:
