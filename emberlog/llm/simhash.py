@@ -244,6 +244,16 @@ def wide_links(nodes: DataFrame, radius: int = WIDE_RADIUS) -> DataFrame:
             a.append(rows), b.append(np.full(len(rows), own))
         return new
 
+    def forest(a: list, b: list) -> tuple[np.ndarray, np.ndarray]:
+        """As few of the links as join the same nodes."""
+        if not a:
+            return np.empty(0, "<i8"), np.empty(0, "<i8")
+        nodes, at = np.unique(np.concatenate([*a, *b]), return_inverse=True)
+        half = len(at) // 2
+        label = _spanning(len(nodes), at[:half], at[half:])
+        far = np.flatnonzero(label != np.arange(len(nodes)))
+        return nodes[far], nodes[label[far]]
+
     def batch(t, key, ids, lead, fps) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(np.asarray(t, "<i4")), pa.array(np.asarray(key, "<i8")), pa.array(np.asarray(ids, "<i8")), pa.array(np.asarray(lead, bool)), *(pa.array(np.ascontiguousarray(fps[:, i])) for i in range(BLOCKS))], names=["t", "key", "id", "lead", *FP_COLS])
 
@@ -253,21 +263,21 @@ def wide_links(nodes: DataFrame, radius: int = WIDE_RADIUS) -> DataFrame:
         def flush():
             ids = np.concatenate([h[0] for h in held])
             fps = np.concatenate([h[1] for h in held])
+            a, b = [], []
             for block in range(BLOCKS):
                 for k, m in enumerate(masks):
                     keys = fps[:, block] & m
                     order = np.argsort(keys, kind="stable")
                     starts = np.flatnonzero(np.diff(keys[order], prepend=keys[order[0]] - 1))
                     sizes = np.diff(starts, append=len(order))
-                    a, b, keep = [], [], [order[starts[sizes == 1]]]
+                    keep = [order[starts[sizes == 1]]]
                     for lo, size in zip(starts[sizes > 1], sizes[sizes > 1]):
                         rows = order[lo : lo + size]
                         keep.append(rows[solve(ids[rows], fps[rows], a, b)])
                     keep = np.concatenate(keep)
                     yield batch(np.full(len(keep), block * len(masks) + k), keys[keep], ids[keep], np.ones(len(keep), bool), fps[keep])
-                    if a:
-                        a, b = np.concatenate(a), np.concatenate(b)
-                        yield batch(np.full(len(a), -1), b, a, np.zeros(len(a), bool), np.zeros((len(a), BLOCKS), "<i8"))
+            x, y = forest(a, b)
+            yield batch(np.full(len(x), -1), y, x, np.zeros(len(x), bool), np.zeros((len(x), BLOCKS), "<i8"))
 
         for x in batches:
             held.append((x.column("id").to_numpy(), np.stack([x.column(c).to_numpy() for c in FP_COLS], axis=1)))
@@ -283,7 +293,7 @@ def wide_links(nodes: DataFrame, radius: int = WIDE_RADIUS) -> DataFrame:
         leads_id, leads_fp = np.empty(0, "<i8"), np.empty((0, BLOCKS), "<i8")
 
         def out() -> pa.RecordBatch:
-            x = pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, "<i8"), *a])), pa.array(np.concatenate([np.empty(0, "<i8"), *b]))], names=["a", "b"])
+            x = pa.RecordBatch.from_arrays([pa.array(c) for c in forest(a, b)], names=["a", "b"])
             a.clear(), b.clear()
             return x
 

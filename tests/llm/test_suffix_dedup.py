@@ -59,7 +59,8 @@ def test_equals_brute_force(spark, monkeypatch, batch, group, flush):
 
 
 def test_repeated_and_null_ids(spark):
-    a, b = "lorem ipsum " * 12, "".join(random.Random(1).choice("abcdefghijk") for _ in range(230))
+    rng = random.Random(1)
+    a, b = "lorem ipsum " * 12, "".join(rng.choice("abcdefghijk") for _ in range(230))
     rows = [(5, a + b), (5, a + b), (None, b), (9, b)]
     df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
     got = S.remove_repeats(df).collect()
