@@ -47,7 +47,7 @@ def relax_for(records: DataFrame, criteria: Criteria) -> DataFrame:
 
     def widened(values: tuple[str, ...], column: str, flag: str):
         own = F.array(*map(F.lit, values)).cast("array<string>")
-        more = F.when(F.col(column).isNotNull(), F.array_union(own, F.array(column))).otherwise(F.array().cast("array<string>"))
+        more = F.when(F.trim(column) != "", F.array_union(own, F.array(column))).otherwise(F.array().cast("array<string>"))
         return F.when(F.col(flag), own).otherwise(more)
 
     start, end = (F.to_timestamp(F.lit(t)) if t else F.lit(None).cast("timestamp") for t in (c.start, c.end))

@@ -87,7 +87,7 @@ def ingest_syslog(lines: DataFrame, profile: Profile, reference_date: str) -> In
         pair("syslogFormat", F.lit("RFC 5424")),
         pair("syslogVersion", m(1).try_cast("int").cast("string")),
         *[pair(k, m(i)) for k, i in (("timestamp", 2), ("hostname", 3), ("subsystem", 4), ("processId", 5), ("eventCode", 6), ("structuredData", 7))],
-        pair("message", F.regexp_replace(m(8), "^﻿", "")),
+        pair("message", F.regexp_replace(m(8), "^\ufeff", "")),
     )
     legacy = F.array(
         *common,

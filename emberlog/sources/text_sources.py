@@ -37,8 +37,8 @@ def ingest_delimited(lines: DataFrame, profile: Profile, delimiter: str | None =
     some = not_blank(lines)
     # One header for each source; Spark broadcasts them as long as they are small.
     head = some.groupBy(*SOURCE).agg(F.min_by("raw_source", "record_number").alias("_head"), F.min("record_number").alias("_head_no"))
-    head_ok, head_fields = split_delimited(F.regexp_replace("_head", "^﻿", ""), delimiter)
-    head = head.withColumns({"_head_ok": head_ok, "_names": F.transform(head_fields, F.trim)})
+    head_ok, head_fields = split_delimited(F.regexp_replace("_head", "^\ufeff", ""), delimiter)
+    head = head.withColumns({"_head_ok": head_ok, "_names": F.transform(head_fields, lambda n: F.trim(n))})
     head = head.withColumn(
         "_head_error",
         error_when(
