@@ -50,9 +50,10 @@ def source_rates(docs: DataFrame, weights: DataFrame | None = None, total: int |
     else:
         given = weights.select(F.col("source").alias("_s"), F.col("weight").cast("double").alias("_w")).groupBy("_s").agg(F.sum("_w").alias("_w"))
         found = found.join(given, F.col("_source").eqNullSafe(F.col("_s")), "left").select("_source", "_n", F.greatest(F.coalesce("_w", F.lit(0.0)), F.lit(0.0)).alias("_w"))
-    sums = found.agg(F.sum("_n").alias("_docs"), F.sum("_w").alias("_all"))
-    wanted = F.col("_docs") if total is None else F.lit(total)
-    return found.join(F.broadcast(sums)).select("_source", F.coalesce(wanted * F.col("_w") / F.nullif(F.col("_all"), F.lit(0.0)) / F.col("_n"), F.lit(0.0)).alias("rate"))
+    found = found.cache()
+    n, all_weights = found.agg(F.coalesce(F.sum("_n"), F.lit(0)), F.coalesce(F.sum("_w"), F.lit(0.0))).first()
+    rate = F.lit(float(n if total is None else total)) * F.col("_w") / F.lit(all_weights) / F.col("_n")
+    return found.select("_source", (rate if all_weights > 0 else F.lit(0.0)).alias("rate"))
 
 
 def mix(docs: DataFrame, weights: DataFrame | None = None, total: int | None = None, seed: str = SEED, id_col: str = "doc_id", source_col: str = "source", copy_col: str = "copy_no") -> DataFrame:
@@ -64,9 +65,8 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, total: int | None = N
     gives an empty table. The order is that of a hash partition and, within it, of a
     digest of seed, id and copy number, so that it does not depend on the input's.
     """
-    rates = source_rates(docs, weights, total, source_col).cache()
+    rates = source_rates(docs, weights, total, source_col)
     few = rates.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
-    rates.unpersist()
     row = docs.select(F.struct("*").alias("_row"), F.col(source_col).alias("_of"), F.col(id_col).cast("string").alias("_id"))
     rates = F.broadcast(rates) if few else rates
     counted = row.join(rates, F.col("_of").eqNullSafe(F.col("_source")))

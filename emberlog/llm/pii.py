@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import free_name, table
 
 #: Characters before a span in which context words count.
 CONTEXT = 40
@@ -122,7 +122,7 @@ def mask_pii(docs: DataFrame, text_col: str = "text", kinds: tuple[Kind, ...] =
     Spans that overlap are replaced as one, named by the first. A null text stays null;
     a text without spans stays as it is.
     """
-    name = "_pii_spans"
+    name = free_name(docs, "_pii_spans")
     none = F.array().cast("array<struct<start:bigint,end:bigint,kind:string>>")
 
     def join(out: Column, x: Column) -> Column:

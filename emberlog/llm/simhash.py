@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, small_batches, table, written
+from .common import connected_components, free_name, small_batches, table, written
 
 #: Members of one bucket that a task holds at once; larger buckets are dealt out again.
 BUCKET_ROWS = 65_536
@@ -330,9 +330,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     all others; of rows that are alike in id and text one stays. An empty table gives
     an empty table.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "256")
+    small_batches(docs.sparkSession)
     # A row's key is made of its id and content, so that a second reading finds it again.
     text = F.coalesce(F.col(text_col), F.lit(""))
     key = [F.col(id_col).alias("_k0"), F.xxhash64(text).alias("_k1"), F.xxhash64(F.lit(7), text, F.length(text)).alias("_k2")]
@@ -353,15 +351,16 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     gone = written(rows.select(*keys).join(kept, [rows[k].eqNullSafe(kept[k]) for k in keys], "left_anti").distinct(), "near-gone")
     # Bounded by a count: 24 bytes a key.
     small = gone.count() <= 300_000
-    found = docs.withColumns({"_k1": F.xxhash64(text), "_k2": F.xxhash64(F.lit(7), text, F.length(text))})
+    k1, k2 = free_name(docs, "_k1"), free_name(docs, "_k2")
+    found = docs.withColumns({k1: F.xxhash64(text), k2: F.xxhash64(F.lit(7), text, F.length(text))})
     other = (F.broadcast(gone) if small else gone).select(*[F.col(k).alias(f"_g{k}") for k in keys])
-    stays = found.join(other, found[id_col].eqNullSafe(other["_g_k0"]) & (found["_k1"] == other["_g_k1"]) & (found["_k2"] == other["_g_k2"]), "left_anti")
+    stays = found.join(other, found[id_col].eqNullSafe(other["_g_k0"]) & (found[k1] == other["_g_k1"]) & (found[k2] == other["_g_k2"]), "left_anti")
     repeated = rows.groupBy(*keys).count().where("count > 1").select(*[F.col(k).alias(f"_g{k}") for k in keys])
     if repeated.isEmpty():
-        return stays.drop("_k1", "_k2")
-    match = stays[id_col].eqNullSafe(repeated["_g_k0"]) & (stays["_k1"] == repeated["_g_k1"]) & (stays["_k2"] == repeated["_g_k2"])
+        return stays.drop(k1, k2)
+    match = stays[id_col].eqNullSafe(repeated["_g_k0"]) & (stays[k1] == repeated["_g_k1"]) & (stays[k2] == repeated["_g_k2"])
     ones = stays.join(repeated, match, "left_anti")
-    return ones.union(stays.join(repeated, match, "left_semi").dropDuplicates([id_col, "_k1", "_k2"])).drop("_k1", "_k2")
+    return ones.union(stays.join(repeated, match, "left_semi").dropDuplicates([id_col, k1, k2])).drop(k1, k2)
 
 
 def op10_simhash(spark, sf_dir: str) -> DataFrame:

@@ -116,7 +116,7 @@ def test_near_dedup_keeps_one_of_each_group_and_all_else(spark):
             family[len(rows)] = f
             rows.append((len(rows), " ".join(text), "en"))
     rows += [(3, rows[3][1], "en"), (None, rows[0][1], "en"), (500, None, "xx"), (501, "", "xx")]
-    df = spark.createDataFrame(rows, "doc_id long, text string, _k1x string").repartition(3)
+    df = spark.createDataFrame(rows, "doc_id long, text string, _k1 string").repartition(3)
     got = sorted(r["doc_id"] for r in simhash.near_dedup(df.cache()).collect())
     firsts = sorted(min(i for i in family if family[i] == f) for f in range(20))
     assert got == [*firsts, 500]
