@@ -28,7 +28,9 @@ DIRECTIONS = 10
 SURE = 0.98
 #: The bound of the sample that the tree is split by, and of its cells.
 SAMPLE_ROWS, MOST_CELLS, CELL_ROWS = 20_000, 2_048, 1_024
-BLOCK_ROWS, QUERY_ROWS, STEP = 2_048, 512, 128
+BLOCK_ROWS, QUERY_ROWS, STEP = 2_048, 512, 512
+#: Queries whose bound a task remembers.
+MOST_REACHED = 500_000
 
 
 def chi_square_quantile(p: float, freedom: int) -> float:
@@ -105,6 +107,7 @@ def nearest(queries: DataFrame, base: DataFrame, k: int = 20, sure: float = SURE
         return mat @ axes[:-1] + last[:, None] * axes[-1]
 
     sample = rows.orderBy(F.xxhash64(F.lit(seed), "id"), "id").limit(SAMPLE_ROWS).toArrow()
+    seen_ids = sample.column("id").to_numpy()
     seen = np.array(sample.column("vec").to_pylist(), np.float64).reshape(sample.num_rows, dim)
     nodes = kd_splits(project(seen), min(MOST_CELLS, -(-total // CELL_ROWS), max(1, len(seen) // 8)))
 
@@ -134,15 +137,19 @@ def nearest(queries: DataFrame, base: DataFrame, k: int = 20, sure: float = SURE
     def distances(q: np.ndarray, dots: np.ndarray) -> np.ndarray:
         return np.maximum(0.0, longest + q @ q - 2 * dots)
 
+    sampled = spark.sparkContext.broadcast((seen_ids, seen))
+
+    def kth(ids: np.ndarray, mat: np.ndarray, q_id: int, q: np.ndarray) -> float:
+        d = distances(q, (mat @ q)[ids != q_id])
+        return float(np.partition(d, k - 1)[k - 1]) if len(d) >= k else np.inf
+
     def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Each block of queries with the squared distances of their k-th found in one block of their cell."""
+        """Each block of queries with the squared distances of their k-th found in one block of their cell, or in the sample if that is nearer."""
+        some_ids, some = sampled.value
         for b in batches:
             for r in b.to_pylist():
                 ids, mat = np.frombuffer(r["hids"] or b"", "<i8"), unpack(r["hmat"] or b"", dim)
-                far = []
-                for q_id, q in zip(np.frombuffer(r["ids"], "<i8"), unpack(r["mat"], dim)):
-                    d = np.sort(distances(q, (mat @ q)[ids != q_id]))
-                    far.append(d[k - 1] if len(d) >= k else np.inf)
+                far = [min(kth(ids, mat, q_id, q), kth(some_ids, some, q_id, q)) for q_id, q in zip(np.frombuffer(r["ids"], "<i8"), unpack(r["mat"], dim))]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([r[c]], t) for c, t in (("part", pa.int64()), ("cell", pa.int32()), ("ids", pa.binary()), ("mat", pa.binary()), ("extra", pa.binary()))] + [pa.array([np.array(far, "<f8").tobytes()]), pa.array([float(max(far))], pa.float64()), pa.array([r["home"]], pa.int64())],
                     names=["qpart", "qcell", "qids", "qmat", "qbox", "far", "most", "home"],
@@ -171,7 +178,10 @@ def nearest(queries: DataFrame, base: DataFrame, k: int = 20, sure: float = SURE
     work = known.join(pairs, "qcell").join(index.select("cell", "part", "ids", "mat", "extra"), "cell").select("qids", "qmat", "far", (F.col("part") == F.col("home")).alias("own"), "ids", "mat", "extra")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reached: dict[int, float] = {}  # the k-th distance that this task has found for a query in one block
         for batch in batches:
+            if len(reached) > MOST_REACHED:
+                reached.clear()
             for r in batch.to_pylist():
                 ids, mat = np.frombuffer(r["ids"], "<i8"), unpack(r["mat"], dim)
                 q_ids, q_mat, far = np.frombuffer(r["qids"], "<i8"), unpack(r["qmat"], dim), np.frombuffer(r["far"], "<f8")
@@ -180,7 +190,8 @@ def nearest(queries: DataFrame, base: DataFrame, k: int = 20, sure: float = SURE
                 edge = (np.maximum(0.0, np.maximum(lo - asked_at, asked_at - hi)) ** 2).sum(1)
                 qid, vid, score = [], [], []
                 for i in np.flatnonzero(r["own"] | (edge <= (far + slack) * limit)):
-                    q, most = q_mat[i], far[i]
+                    q, start = q_mat[i], min(far[i], reached.get(int(q_ids[i]), np.inf))
+                    most = start
                     apart = ((points - asked_at[i]) ** 2).sum(1)
                     if r["own"]:  # already verified whole; its k best are found in any case
                         apart = np.zeros(len(apart))
@@ -196,7 +207,10 @@ def nearest(queries: DataFrame, base: DataFrame, k: int = 20, sure: float = SURE
                         got_rows, got_dots = got_rows[top], got_dots[top]
                         if len(top) == k:
                             most = min(most, float(distances(q, got_dots[-1:])[0]))
-                    good = distances(q, got_dots) <= far[i] + slack
+                    if most < start:
+                        reached[int(q_ids[i])] = most
+                    # Its own block's k best stand in any case, so that no query has fewer than k.
+                    good = np.ones(len(got_dots), bool) if r["own"] else distances(q, got_dots) <= start + slack
                     qid += [int(q_ids[i])] * int(good.sum())
                     vid += ids[got_rows[good]].tolist()
                     score += got_dots[good].tolist()

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+ROOT = str(Path(__file__).resolve().parents[2])
 #: Rows in one Arrow batch. Texts may be very long, so batches are small.
 BATCH_ROWS = 256
 
@@ -36,7 +39,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bounds an Arrow batch by rows and by bytes, since one text may have many megabytes."""
+    """Bounds an Arrow batch by rows and by bytes, since one text may have many megabytes.
+
+    Python workers on this machine also get the folder of this library, wherever the
+    driver was started; on a cluster it is installed or sent with --py-files as usual.
+    """
+    paths = spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep)
+    if ROOT not in paths:
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([*filter(None, paths), ROOT])
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
 
