@@ -62,10 +62,12 @@ def navigate(records: DataFrame, column: str | None = None, attribute: str | Non
         F.coalesce(F.first("_first_issue", True).over(behind), F.first("_first_issue", True).over(whole)).alias("_c_next_issue"),
     )
     inside = Window.partitionBy("session_id", "_piece").orderBy(*order)
-    up, down = inside.rowsBetween(Window.unboundedPreceding, -1), inside.rowsBetween(1, Window.unboundedFollowing)
+    # Frames that grow with the row; one that shrinks would be computed anew for each row.
+    up = inside.rowsBetween(Window.unboundedPreceding, -1)
+    down = Window.partitionBy("session_id", "_piece").orderBy(*[F.col(k).desc() for k in order]).rowsBetween(Window.unboundedPreceding, -1)
     local = spread.select(
         "session_id", "_piece", "record_id", F.row_number().over(inside).alias("_at"), F.lag("record_id").over(inside).alias("_prev"), F.lead("record_id").over(inside).alias("_next"),
-        F.last(issue, True).over(up).alias("_prev_issue"), F.first(issue, True).over(down).alias("_next_issue"),
+        F.last(issue, True).over(up).alias("_prev_issue"), F.last(issue, True).over(down).alias("_next_issue"),
     )
     joined = local.join(carried, F.col("session_id").eqNullSafe(F.col("_s")) & (F.col("_piece") == F.col("_p")))
     return joined.select(
