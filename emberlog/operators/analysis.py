@@ -169,3 +169,11 @@ def compare_sessions(records: DataFrame, a: str, b: str, column: str) -> DataFra
     """(value, records_a, records_b, only_in) of a column in two sessions."""
     counts = records.where(F.col("session_id").isin(a, b) & F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count_if(F.col("session_id") == a).alias("records_a"), F.count_if(F.col("session_id") == b).alias("records_b"))
     return counts.withColumn("only_in", F.when(F.col("records_b") == 0, F.lit(a)).when(F.col("records_a") == 0, F.lit(b)))
+
+
+def session_rates(records: DataFrame) -> DataFrame:
+    """(session_id, records, issues, duration_ms, per_minute): per_minute is null where all times are equal."""
+    ms = epoch_ms(F.col("event_ts"))
+    issues = F.count_if(F.col("severity").isin(list(ISSUES)))
+    sums = records.groupBy("session_id").agg(F.count("*").alias("records"), issues.alias("issues"), (F.max(ms) - F.min(ms)).alias("duration_ms"))
+    return sums.withColumn("per_minute", F.col("records") * F.lit(60_000.0) / F.nullif("duration_ms", F.lit(0).cast("long")))

@@ -51,3 +51,9 @@ def detail_text() -> Column:
     by_name = lambda a, b: F.when(F.lower(a["key"]) < F.lower(b["key"]), -1).when(F.lower(a["key"]) > F.lower(b["key"]), 1).when(a["key"] < b["key"], -1).when(a["key"] > b["key"], 1).otherwise(0)
     own = F.transform(F.array_sort(F.map_entries("attributes"), by_name), lambda e: F.concat(e["key"], F.lit(": "), F.coalesce(e["value"], F.lit(""))))
     return F.array_join(F.concat(F.array(*[line(h, F.col(c)) for c, h in HEADERS.items()], line("Source", F.col("source_name")), line("Record", F.col("record_number").cast("string"))), own), "\n")
+
+
+def write_findings(findings: DataFrame, path: str) -> None:
+    """Reviewed findings (see state.findings_review) as CSV files."""
+    names = {"session_id": "Session", "record_number": "Record", "event_ts_text": "Timestamp", "status": "Status", "text": "Finding"}
+    findings.select(*[F.col(c).alias(n) for c, n in names.items()]).write.mode("overwrite").options(**CSV_OPTIONS).csv(path)

@@ -193,6 +193,12 @@ def compare_sessions(spark, sf_dir):
     return analysis.compare_sessions(records(spark, sf_dir), *WEEKS, "entity_id")
 
 
+@query(REC + f"""SELECT session_id, count(*) AS records, count(*) FILTER (WHERE {ISSUE}) AS issues, max(ms) - min(ms) AS duration_ms,
+  count(*) * 60000.0::DOUBLE / nullif(max(ms) - min(ms), 0) AS per_minute FROM rec GROUP BY session_id""")
+def session_rates(spark, sf_dir):
+    return analysis.session_rates(records(spark, sf_dir))
+
+
 @query(REC + f""", i AS (SELECT session_id, subsystem, record_id, ms FROM rec WHERE {ISSUE}),
   n AS (SELECT *, CASE WHEN ms - lag(ms) OVER w > 1800000 THEN 1 ELSE 0 END AS new FROM i WINDOW w AS (PARTITION BY session_id, subsystem ORDER BY ms, record_id)),
   r AS (SELECT *, sum(new) OVER (PARTITION BY session_id, subsystem ORDER BY ms, record_id ROWS UNBOUNDED PRECEDING) AS run FROM n),

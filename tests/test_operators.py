@@ -197,6 +197,15 @@ def test_bursts_and_comparison(spark):
     assert both == {"C": (6, 0, "s"), "N": (0, 1, "t")}
 
 
+def test_rates_and_findings_export(spark, records, tmp_path):
+    r = {x["session_id"]: x for x in analysis.session_rates(frame(spark, [rec(1, at(1), "WARN"), rec(2, at(1, 2), "INFO"), rec(3, at(1), None, session="t")])).collect()}
+    assert tuple(r["s"])[1:] == (2, 1, 120_000, 1.0) and r["t"]["per_minute"] is None
+    now = spark.createDataFrame([("s", "2", False, "look, here", "Open")], "session_id string, record_id string, bookmarked boolean, note string, status string")
+    export.write_findings(state.findings_review(records, now).coalesce(1), f"file://{tmp_path}/f")
+    text = next((tmp_path / "f").glob("part*.csv")).read_text()
+    assert text == 'Session,Record,Timestamp,Status,Finding\ns,2,2026-08-08T10:02:00.000Z,Open,"look, here"\n'
+
+
 def test_normalisation(spark):
     one = lambda c: spark.range(1).select(c).first()[0]
     for text, want in ((" fatal ", "CRITICAL"), ("Information", "INFO"), ("warning", "WARN"), ("notice", None), (None, None)):
