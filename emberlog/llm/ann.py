@@ -187,12 +187,13 @@ def nearest(queries: DataFrame, base: DataFrame, k: int = 20, sure: float = SURE
                 q_ids, q_mat, far = np.frombuffer(r["qids"], "<i8"), unpack(r["qmat"], dim), np.frombuffer(r["far"], "<f8")
                 lo, hi = np.frombuffer(r["extra"], "<f8").reshape(2, directions)
                 asked_at, points = project(q_mat, False), project(mat)
+                between = np.maximum(0.0, (asked_at**2).sum(1)[:, None] + (points**2).sum(1) - 2 * asked_at @ points.T)
                 edge = (np.maximum(0.0, np.maximum(lo - asked_at, asked_at - hi)) ** 2).sum(1)
                 qid, vid, score = [], [], []
                 for i in np.flatnonzero(r["own"] | (edge <= (far + slack) * limit)):
                     q, start = q_mat[i], min(far[i], reached.get(int(q_ids[i]), np.inf))
                     most = start
-                    apart = ((points - asked_at[i]) ** 2).sum(1)
+                    apart = between[i]
                     if r["own"]:  # already verified whole; its k best are found in any case
                         apart = np.zeros(len(apart))
                     rows = np.flatnonzero((apart <= (most + slack) * limit) & (ids != q_ids[i]))
