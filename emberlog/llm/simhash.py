@@ -18,14 +18,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import jaccard
 from .common import connected_components, free_name, small_batches, table, written
 
 #: Members of one bucket that a task holds at once; larger buckets are dealt out again.
 BUCKET_ROWS = 65_536
-#: The wide fingerprint: blocks of bits, bits in each, and the radius that each block's tables cover.
-BLOCKS, BLOCK_BITS, BLOCK_RADIUS = 6, 42, 2
-#: Differing bits of a wide fingerprint up to which two texts are near-duplicates.
-WIDE_RADIUS = 26
 
 
 def covering_masks(bits: int, radius: int) -> list[int]:
@@ -180,29 +177,6 @@ def simhash_components(docs: DataFrame, size: int = 3, id_col: str = "doc_id", t
     return fps.join(of_fp, "fp").select(id_col, "fp", "component_id")
 
 
-# Near-duplicates at a similarity of 0.8 and more.
-
-
-def wide_fingerprint(text: str | None) -> np.ndarray:
-    """BLOCKS numbers of BLOCK_BITS bits: the SimHash of the distinct words."""
-    import xxhash
-
-    own = set(words(text))
-    if not own:
-        return np.zeros(BLOCKS, "<i8")
-    counts = np.zeros(256, np.int64)
-    own = list(own)
-    for i in range(0, len(own), 16_384):
-        h = b"".join([xxhash.xxh3_128_digest(w, 1) + xxhash.xxh3_128_digest(w, 2) for w in own[i : i + 16_384]])
-        counts += np.unpackbits(np.frombuffer(h, np.uint8)).reshape(-1, 256).sum(0, dtype=np.int64)
-    bits = (counts[: BLOCKS * BLOCK_BITS] * 2 > len(own)).reshape(BLOCKS, BLOCK_BITS)
-    return bits @ (np.int64(1) << np.arange(BLOCK_BITS, dtype=np.int64))
-
-
-FP_COLS = [f"f{i}" for i in range(BLOCKS)]
-WIDE_SCHEMA = "t int, key long, id long, lead boolean, " + ", ".join(f"{c} long" for c in FP_COLS)
-
-
 def _lead(fps: np.ndarray, leads: np.ndarray, radius: int) -> tuple[list[int], list[tuple[np.ndarray, np.ndarray]]]:
     """New leaders among fps, and for each of the leads (old, then new) the rows within radius of it."""
     near = lambda x: np.bitwise_count(fps ^ x).sum(1) <= radius
@@ -223,130 +197,67 @@ def _lead(fps: np.ndarray, leads: np.ndarray, radius: int) -> tuple[list[int], l
     return new, links
 
 
-def wide_links(nodes: DataFrame, radius: int = WIDE_RADIUS) -> DataFrame:
-    """Links (a, b) between nodes(id, f0..) whose wide fingerprints differ in at most radius bits.
-
-    Every pair within BLOCKS * (BLOCK_RADIUS + 1) - 1 bits shares a bucket, as one of its
-    blocks is within BLOCK_RADIUS; pairs further apart, up to radius, mostly do. In a
-    bucket the rows follow leaders: a row within radius of no leader becomes one, and
-    each row is linked to every leader within radius. Partitions do this before
-    anything is shuffled and send on only their leaders, so a large group of near copies
-    is a few rows of each partition by then.
-    """
-    masks = covering_masks(BLOCK_BITS, BLOCK_RADIUS)
-
-    def solve(ids, fps, a, b):
-        new, links = _lead(fps, np.empty((0, BLOCKS), "<i8"), radius)
-        for no, rows in links:
-            own = ids[new[no]]
-            rows = ids[rows]
-            rows = rows[rows != own]
-            a.append(rows), b.append(np.full(len(rows), own))
-        return new
-
-    def forest(a: list, b: list) -> tuple[np.ndarray, np.ndarray]:
-        """As few of the links as join the same nodes."""
-        if not a:
-            return np.empty(0, "<i8"), np.empty(0, "<i8")
-        nodes, at = np.unique(np.concatenate([*a, *b]), return_inverse=True)
-        half = len(at) // 2
-        label = _spanning(len(nodes), at[:half], at[half:])
-        far = np.flatnonzero(label != np.arange(len(nodes)))
-        return nodes[far], nodes[label[far]]
-
-    def batch(t, key, ids, lead, fps) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.asarray(t, "<i4")), pa.array(np.asarray(key, "<i8")), pa.array(np.asarray(ids, "<i8")), pa.array(np.asarray(lead, bool)), *(pa.array(np.ascontiguousarray(fps[:, i])) for i in range(BLOCKS))], names=["t", "key", "id", "lead", *FP_COLS])
-
-    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = [], 0
-
-        def flush():
-            ids = np.concatenate([h[0] for h in held])
-            fps = np.concatenate([h[1] for h in held])
-            a, b = [], []
-            for block in range(BLOCKS):
-                for k, m in enumerate(masks):
-                    keys = fps[:, block] & m
-                    order = np.argsort(keys, kind="stable")
-                    starts = np.flatnonzero(np.diff(keys[order], prepend=keys[order[0]] - 1))
-                    sizes = np.diff(starts, append=len(order))
-                    keep = [order[starts[sizes == 1]]]
-                    for lo, size in zip(starts[sizes > 1], sizes[sizes > 1]):
-                        rows = order[lo : lo + size]
-                        keep.append(rows[solve(ids[rows], fps[rows], a, b)])
-                    keep = np.concatenate(keep)
-                    yield batch(np.full(len(keep), block * len(masks) + k), keys[keep], ids[keep], np.ones(len(keep), bool), fps[keep])
-            x, y = forest(a, b)
-            yield batch(np.full(len(x), -1), y, x, np.zeros(len(x), bool), np.zeros((len(x), BLOCKS), "<i8"))
-
-        for x in batches:
-            held.append((x.column("id").to_numpy(), np.stack([x.column(c).to_numpy() for c in FP_COLS], axis=1)))
-            n += x.num_rows
-            if n >= 16_384:
-                yield from flush()
-                held, n = [], 0
-        if n:
-            yield from flush()
-
-    def buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, b = [], []
-        leads_id, leads_fp = np.empty(0, "<i8"), np.empty((0, BLOCKS), "<i8")
-
-        def out() -> pa.RecordBatch:
-            x = pa.RecordBatch.from_arrays([pa.array(c) for c in forest(a, b)], names=["a", "b"])
-            a.clear(), b.clear()
-            return x
-
-        for (t, key), cols, _, first in _groups(batches, BUCKET_ROWS):
-            if t < 0:  # links that a partition has found
-                a.append(cols["id"]), b.append(cols["key"])
-            else:
-                if first:
-                    leads_id, leads_fp = leads_id[:0], leads_fp[:0]
-                if len(cols["id"]) > 1 or not first:
-                    fps = np.stack([cols[c] for c in FP_COLS], axis=1)
-                    new, links = _lead(fps, leads_fp, radius)
-                    leads_id, leads_fp = np.concatenate([leads_id, cols["id"][new]]), np.concatenate([leads_fp, fps[new]])
-                    for no, rows in links:
-                        rows = cols["id"][rows]
-                        rows = rows[rows != leads_id[no]]
-                        a.append(rows), b.append(np.full(len(rows), leads_id[no]))
-                else:
-                    leads_id, leads_fp = cols["id"], np.stack([cols[c] for c in FP_COLS], axis=1)
-            if len(a) >= 10_000:
-                yield out()
-        yield out()
-
-    small = nodes.select("id", *FP_COLS)
-    spread = small.mapInArrow(local, WIDE_SCHEMA).repartition("t", "key").sortWithinPartitions("t", "key", "id")
-    return spread.mapInArrow(buckets, "a long, b long").distinct()
+# Near-duplicates at a similarity of 0.8 and more.
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without near-duplicates: of each group of linked texts, the row with the smallest id stays.
 
-    The columns and the rows that stay are not changed. Texts are linked as wide_links()
-    says. Texts without words, null ones included, are one group. A null id comes after
+    The columns and the rows that stay are not changed. Texts are linked if their sets of
+    five-word shingles have a Jaccard similarity of 0.8 or more, as jaccard.py finds and
+    confirms them; a group is what such links join. Texts of fewer words are one shingle.
+    Texts without words, null ones included, are one group. A null id comes after
     all others; of rows that are alike in id and text one stays. An empty table gives
     an empty table.
     """
-    small_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    small_batches(spark)
     # A row's key is made of its id and content, so that a second reading finds it again.
     text = F.coalesce(F.col(text_col), F.lit(""))
-    key = [F.col(id_col).alias("_k0"), F.xxhash64(text).alias("_k1"), F.xxhash64(F.lit(7), text, F.length(text)).alias("_k2")]
+    content = [F.xxhash64(text), F.xxhash64(F.lit(7), text, F.length(text))]
     keys = ["_k0", "_k1", "_k2"]
-    schema = docs.select(*key, *[F.lit(0).cast("long").alias(c) for c in FP_COLS]).schema
+    keyed = docs.select(F.col(id_col).alias("_k0"), content[0].alias("_k1"), content[1].alias("_k2"), text.alias("_text"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+        memo = jaccard.WordHashes()
         for b in batches:
-            fps = np.array([wide_fingerprint(t) for t in b.column("_text").to_pylist()], "<i8").reshape(-1, BLOCKS)
-            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keys), *(pa.array(np.ascontiguousarray(fps[:, i])) for i in range(BLOCKS))], names=[*keys, *FP_COLS])
+            yield [jaccard.shingle_set(words(t), memo) for t in b.column("_text").to_pylist()]
+
+    order = spark.sparkContext.broadcast(jaccard.common_shingles(keyed.select("_text"), sets))
 
-    rows = written(docs.select(*key, text.alias("_text")).mapInArrow(run, schema), "near-rows")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo = jaccard.WordHashes()
+        for b in batches:
+            own = [jaccard.shingle_set(words(t), memo) for t in b.column("_text").to_pylist()]
+            first = [jaccard.prefix(x, *order.value).view("<i8") for x in own]
+            ends = np.cumsum([0, *map(len, first)]).astype(np.int32)
+            prefixes = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, "<i8"), *first])))
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keys), pa.array([jaccard.set_id(x) for x in own], pa.int64()), pa.array([len(x) for x in own], pa.int64()), prefixes], names=[*keys, "id", "size", "prefix"])
+
+    schema = keyed.select(*keys, *[F.lit(0).cast("long").alias(c) for c in ("id", "size")], F.array(F.lit(0).cast("long")).alias("prefix")).schema
+    rows = written(keyed.mapInArrow(run, schema), "near-rows")
     first = F.min(F.struct(F.col("_k0").isNull().alias("z"), *keys)).alias("least")
-    nodes = written(rows.groupBy(*FP_COLS).agg(first).withColumn("id", F.monotonically_increasing_id()), "near-nodes")
-    comps = connected_components(wide_links(nodes))
-    placed = nodes.select("id", "least").join(comps, nodes["id"] == comps["node"], "left").groupBy(F.coalesce("component", "id")).agg(F.min("least").alias("least"))
+    nodes = written(rows.groupBy("id").agg(first), "near-nodes")
+
+    def sets_of(ids: DataFrame) -> DataFrame:
+        """(id, shingles, bins, size) of ids, from the text of one row of each."""
+        wanted = written(nodes.join(ids, "id").select("id", *[F.col(f"least.{k}").alias(f"_w{k}") for k in keys]), "near-wanted")
+        few = wanted.count() <= 300_000
+
+        def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            memo = jaccard.WordHashes()
+            for b in batches:
+                own = [jaccard.shingle_set(words(t), memo) for t in b.column("_text").to_pylist()]
+                bins = [np.bincount((x % np.uint64(jaccard.BINS)).astype(np.int64), minlength=jaccard.BINS).astype("<i4").tobytes() for x in own]
+                yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([x.tobytes() for x in own], pa.binary()), pa.array(bins, pa.binary()), pa.array([len(x) for x in own], pa.int64())], names=["id", "shingles", "bins", "size"])
+
+        same = [keyed[k].eqNullSafe(F.col(f"_w{k}")) for k in keys]
+        texts = keyed.join(F.broadcast(wanted) if few else wanted, [same[0], F.col("_k1") == F.col("_w_k1"), F.col("_k2") == F.col("_w_k2")]).select("id", "_text")
+        return written(texts.mapInArrow(one, "id long, shingles binary, bins binary, size long").dropDuplicates(["id"]), "near-sets")
+
+    entries = rows.select("id", "size", F.posexplode("prefix").alias("pos", "key")).select("key", "id", "size", F.col("pos").cast("long").alias("pos"))
+    comps = connected_components(jaccard.similar_links(entries, sets_of))
+    placed = nodes.join(comps, nodes["id"] == comps["node"], "left").groupBy(F.coalesce("component", "id")).agg(F.min("least").alias("least"))
     kept = placed.select("least.*").drop("z")
     gone = written(rows.select(*keys).join(kept, [rows[k].eqNullSafe(kept[k]) for k in keys], "left_anti").distinct(), "near-gone")
     # Bounded by a count: 24 bytes a key.
