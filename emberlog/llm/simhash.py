@@ -239,6 +239,9 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     first = F.min(F.struct(F.col("_k0").isNull().alias("z"), *keys)).alias("least")
     nodes = written(rows.groupBy("id").agg(first), "near-nodes")
 
+    repeats = rows.groupBy(*keys).count().where("count > 1")
+    again = not repeats.isEmpty()
+
     def sets_of(ids: DataFrame) -> DataFrame:
         """(id, shingles, bins, size) of ids, from the text of one row of each."""
         wanted = written(nodes.join(ids, "id").select("id", *[F.col(f"least.{k}").alias(f"_w{k}") for k in keys]), "near-wanted")
@@ -251,11 +254,12 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 bins = [np.bincount((x % np.uint64(jaccard.BINS)).astype(np.int64), minlength=jaccard.BINS).astype("<i4").tobytes() for x in own]
                 yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([x.tobytes() for x in own], pa.binary()), pa.array(bins, pa.binary()), pa.array([len(x) for x in own], pa.int64())], names=["id", "shingles", "bins", "size"])
 
-        same = [keyed[k].eqNullSafe(F.col(f"_w{k}")) for k in keys]
-        texts = keyed.join(F.broadcast(wanted) if few else wanted, [same[0], F.col("_k1") == F.col("_w_k1"), F.col("_k2") == F.col("_w_k2")]).select("id", "_text")
-        return written(texts.mapInArrow(one, "id long, shingles binary, bins binary, size long").dropDuplicates(["id"]), "near-sets")
+        same = [F.col(k).eqNullSafe(F.col(f"_w{k}")) for k in keys]
+        source = keyed.dropDuplicates(keys) if again else keyed
+        texts = source.join(F.broadcast(wanted) if few else wanted, [same[0], F.col("_k1") == F.col("_w_k1"), F.col("_k2") == F.col("_w_k2")]).select("id", "_text")
+        return written(texts.mapInArrow(one, "id long, shingles binary, bins binary, size long"), "near-sets")
 
-    entries = rows.select("id", "size", F.posexplode("prefix").alias("pos", "key")).select("key", "id", "size", F.col("pos").cast("long").alias("pos"))
+    entries = rows.select("id", "size", F.posexplode("prefix").alias("pos", "key")).select("key", "id", (F.shiftleft("size", 32) + F.col("pos")).alias("at"))
     comps = connected_components(jaccard.similar_links(entries, sets_of))
     placed = nodes.join(comps, nodes["id"] == comps["node"], "left").groupBy(F.coalesce("component", "id")).agg(F.min("least").alias("least"))
     kept = placed.select("least.*").drop("z")
@@ -266,8 +270,8 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     found = docs.withColumns({k1: F.xxhash64(text), k2: F.xxhash64(F.lit(7), text, F.length(text))})
     other = (F.broadcast(gone) if small else gone).select(*[F.col(k).alias(f"_g{k}") for k in keys])
     stays = found.join(other, found[id_col].eqNullSafe(other["_g_k0"]) & (found[k1] == other["_g_k1"]) & (found[k2] == other["_g_k2"]), "left_anti")
-    repeated = rows.groupBy(*keys).count().where("count > 1").select(*[F.col(k).alias(f"_g{k}") for k in keys])
-    if repeated.isEmpty():
+    repeated = repeats.select(*[F.col(k).alias(f"_g{k}") for k in keys])
+    if not again:
         return stays.drop(k1, k2)
     match = stays[id_col].eqNullSafe(repeated["_g_k0"]) & (stays[k1] == repeated["_g_k1"]) & (stays[k2] == repeated["_g_k2"])
     ones = stays.join(repeated, match, "left_anti")
