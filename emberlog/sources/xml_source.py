@@ -17,8 +17,6 @@ from ..session import prepared
 from .lines import source_name
 
 OPTIONS = {"attributePrefix": "@", "valueTag": "#text", "inferSchema": "false", "ignoreNamespace": "false", "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
-#: Elements that a schema is learned from where none is given.
-SCHEMA_SAMPLE = 1_000
 
 
 def element_name(profile: Profile, root: str = "") -> str:
@@ -45,11 +43,11 @@ def read_elements(spark: SparkSession, paths: str | list[str], tag: str, session
     )
 
 
-def learn_schema(elements: DataFrame, tag: str, sample: int = SCHEMA_SAMPLE) -> T.StructType:
-    """The merged schema of the first sample elements, strings only. A schema given by the caller has no such bound."""
+def learn_schema(elements: DataFrame, tag: str) -> T.StructType:
+    """The merged schema of all elements, strings only, learned by one job over them."""
     spark = elements.sparkSession
-    rows = [r[0] for r in elements.select("raw_source").limit(sample).collect()]
-    return spark.read.options(rowTag=tag, **OPTIONS).xml(spark.sparkContext.parallelize(rows, 1)).schema if rows else T.StructType()
+    rows = elements.select("raw_source")
+    return T.StructType() if rows.isEmpty() else spark.read.options(rowTag=tag, **OPTIONS).xml(rows.rdd.map(lambda r: r[0])).schema
 
 
 def _leaves(kind: T.DataType, value: Column, path: str, out: list[tuple[str, Column, bool]]) -> None:

@@ -1,0 +1,8 @@
+from emberlog.sources.xml_source import learn_schema
+
+
+def test_a_field_of_the_last_element_only_is_in_the_schema(spark):
+    texts = [(f"<e><m>{i}</m></e>",) for i in range(1_500)] + [("<e late='1'><rare>x</rare></e>",)]
+    elements = spark.createDataFrame(texts, "raw_source string").coalesce(1)
+    assert {f.name for f in learn_schema(elements, "e").fields} >= {"m", "@late", "rare"}
+    assert not learn_schema(elements.where("false"), "e").fields
