@@ -177,26 +177,6 @@ def simhash_components(docs: DataFrame, size: int = 3, id_col: str = "doc_id", t
     return fps.join(of_fp, "fp").select(id_col, "fp", "component_id")
 
 
-def _lead(fps: np.ndarray, leads: np.ndarray, radius: int) -> tuple[list[int], list[tuple[np.ndarray, np.ndarray]]]:
-    """New leaders among fps, and for each of the leads (old, then new) the rows within radius of it."""
-    near = lambda x: np.bitwise_count(fps ^ x).sum(1) <= radius
-    links = []
-    free = np.ones(len(fps), bool)
-    for i, x in enumerate(leads):
-        if (hit := near(x)).any():
-            links.append((i, np.flatnonzero(hit)))
-            free &= ~hit
-    new: list[int] = []
-    while free.any():
-        first = int(free.argmax())
-        hit = near(fps[first])
-        hit[first] = True
-        links.append((len(leads) + len(new), np.flatnonzero(hit)))
-        new.append(first)
-        free &= ~hit
-    return new, links
-
-
 # Near-duplicates at a similarity of 0.8 and more.
 
 
@@ -204,8 +184,10 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """docs without near-duplicates: of each group of linked texts, the row with the smallest id stays.
 
     The columns and the rows that stay are not changed. Texts are linked if their sets of
-    five-word shingles have a Jaccard similarity of 0.8 or more, as jaccard.py finds and
-    confirms them; a group is what such links join. Texts of fewer words are one shingle.
+    five-word shingles have a Jaccard similarity of 0.8 or more; a group is what such links
+    join. Pairs are found by covering tables of the sets' SimHash, and, since no radius that
+    tables can cover reaches 0.8, by common shingles of their prefixes as well; each is
+    confirmed by the whole sets, see jaccard.py. Texts of fewer words are one shingle.
     Texts without words, null ones included, are one group. A null id comes after
     all others; of rows that are alike in id and text one stays. An empty table gives
     an empty table.
@@ -227,14 +209,24 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = jaccard.WordHashes()
+        seen: set[int] = set()  # sets that this task has sent on; a set that is sent again does no harm
         for b in batches:
             own = [jaccard.shingle_set(words(t), memo) for t in b.column("_text").to_pylist()]
-            first = [jaccard.prefix(x, *order.value).view("<i8") for x in own]
+            ids = [jaccard.set_id(x) for x in own]
+            if len(seen) > 1_000_000:
+                seen.clear()
+            new = [not (i in seen or seen.add(i)) for i in ids]
+            first = [jaccard.prefix(x, *order.value).view("<i8") if n else np.empty(0, "<i8") for x, n in zip(own, new)]
             ends = np.cumsum([0, *map(len, first)]).astype(np.int32)
             prefixes = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, "<i8"), *first])))
-            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keys), pa.array([jaccard.set_id(x) for x in own], pa.int64()), pa.array([len(x) for x in own], pa.int64()), prefixes], names=[*keys, "id", "size", "prefix"])
-
-    schema = keyed.select(*keys, *[F.lit(0).cast("long").alias(c) for c in ("id", "size")], F.array(F.lit(0).cast("long")).alias("prefix")).schema
+            fp = pa.array([np.uint64(majority(x)).view(np.int64) if n else None for x, n in zip(own, new)], pa.int64())
+            bins = pa.array([jaccard.sketch(x) if n else None for x, n in zip(own, new)], pa.binary())
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keys), pa.array(ids, pa.int64()), pa.array([len(x) for x in own], pa.int64()), fp, bins, prefixes], names=[*keys, "id", "size", "fp", "bins", "prefix"])
+
+    long = F.lit(0).cast("long")
+    schema = keyed.select(*keys, long.alias("id"), long.alias("size"), long.alias("fp"), F.lit(b"").alias("bins"), F.array(long).alias("prefix")).schema
+    for f in schema.fields[len(keys) :]:
+        f.nullable = True
     rows = written(keyed.mapInArrow(run, schema), "near-rows")
     first = F.min(F.struct(F.col("_k0").isNull().alias("z"), *keys)).alias("least")
     nodes = written(rows.groupBy("id").agg(first), "near-nodes")
@@ -243,24 +235,33 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     again = not repeats.isEmpty()
 
     def sets_of(ids: DataFrame) -> DataFrame:
-        """(id, shingles, bins, size) of ids, from the text of one row of each."""
+        """(id, shingles) of ids, from the text of one row of each."""
         wanted = written(nodes.join(ids, "id").select("id", *[F.col(f"least.{k}").alias(f"_w{k}") for k in keys]), "near-wanted")
         few = wanted.count() <= 300_000
 
         def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             memo = jaccard.WordHashes()
             for b in batches:
-                own = [jaccard.shingle_set(words(t), memo) for t in b.column("_text").to_pylist()]
-                bins = [np.bincount((x % np.uint64(jaccard.BINS)).astype(np.int64), minlength=jaccard.BINS).astype("<i4").tobytes() for x in own]
-                yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([x.tobytes() for x in own], pa.binary()), pa.array(bins, pa.binary()), pa.array([len(x) for x in own], pa.int64())], names=["id", "shingles", "bins", "size"])
+                yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([jaccard.shingle_set(words(t), memo).tobytes() for t in b.column("_text").to_pylist()], pa.binary())], names=["id", "shingles"])
 
         same = [F.col(k).eqNullSafe(F.col(f"_w{k}")) for k in keys]
-        source = keyed.dropDuplicates(keys) if again else keyed
-        texts = source.join(F.broadcast(wanted) if few else wanted, [same[0], F.col("_k1") == F.col("_w_k1"), F.col("_k2") == F.col("_w_k2")]).select("id", "_text")
-        return written(texts.mapInArrow(one, "id long, shingles binary, bins binary, size long"), "near-sets")
+        texts = keyed.join(F.broadcast(wanted) if few else wanted, [same[0], F.col("_k1") == F.col("_w_k1"), F.col("_k2") == F.col("_w_k2")]).select("id", "_text")
+        texts = texts.groupBy("id").agg(F.first("_text").alias("_text")) if again else texts
+        return written(texts.mapInArrow(one, "id long, shingles binary"), "near-sets")
+
+    sketches = rows.where("bins is not null").select("id", "size", "fp", "bins")
+    # Texts that share a fingerprint go with the least of them, and this one with those of fingerprints that are near.
+    of_fp = written(sketches.groupBy("fp").agg(F.min("id").alias("lead")), "near-fps")
+    near = links_within_two(of_fp.select("fp"))
+    far = near.join(of_fp.select(F.col("fp").alias("a"), F.col("lead").alias("ia")), "a").join(of_fp.select(F.col("fp").alias("b"), F.col("lead").alias("ib")), "b").select("ia", "ib")
+    alike = sketches.join(of_fp, "fp").where("id <> lead").select("id", "lead").union(far).toDF("a", "b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    once = sketches.select("id", "size", "bins")
+    if rows.rdd.getNumPartitions() > 1:  # two tasks may have sent the same set
+        once = once.groupBy("id").agg(F.first("size").alias("size"), F.first("bins").alias("bins"))
+    once = written(once, "near-sketches")
 
     entries = rows.select("id", "size", F.posexplode("prefix").alias("pos", "key")).select("key", "id", (F.shiftleft("size", 32) + F.col("pos")).alias("at"))
-    comps = connected_components(jaccard.similar_links(entries, sets_of))
+    comps = connected_components(jaccard.similar_links(entries, once, sets_of, alike))
     placed = nodes.join(comps, nodes["id"] == comps["node"], "left").groupBy(F.coalesce("component", "id")).agg(F.min("least").alias("least"))
     kept = placed.select("least.*").drop("z")
     gone = written(rows.select(*keys).join(kept, [rows[k].eqNullSafe(kept[k]) for k in keys], "left_anti").distinct(), "near-gone")

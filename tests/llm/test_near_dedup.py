@@ -75,7 +75,6 @@ def test_texts_of_the_same_words_in_another_order_stay(spark):
 def test_drifting_copies_are_the_same_for_one_and_many_partitions(spark, monkeypatch, small):
     monkeypatch.setattr(jaccard, "SMALL_BUCKET", small)
     monkeypatch.setattr(jaccard, "BLOCK", 8)
-    monkeypatch.setattr(jaccard, "LEADERS", 2)
     monkeypatch.setattr(jaccard, "NEAREST", (1,))
     rng = random.Random(8)
     rows = []
@@ -104,3 +103,32 @@ def test_a_prefix_of_each_similar_pair_shares_a_shingle():
         counts = rng.integers(2, 50, len(common))
         if 5 * len(np.intersect1d(x, y)) >= 4 * len(np.union1d(x, y)):
             assert len(np.intersect1d(jaccard.prefix(x, common, counts), jaccard.prefix(y, common, counts)))
+
+
+def test_sketches_never_rule_out_a_similar_pair():
+    rng = np.random.default_rng(2)
+    for n in (3, 60, 129, 700, 5000):
+        for _ in range(30):
+            both = rng.integers(1, 1 << 62, n).astype("<u8")
+            x, y = np.unique(both), np.unique(np.concatenate([both[int(rng.integers(0, n // 8 + 1)) :], rng.integers(1, 1 << 62, n // 16).astype("<u8")]))
+            a, b = (np.frombuffer(jaccard.sketch(s), np.uint8).astype(int) for s in (x, y))
+            bins = min(len(a), len(b))
+            apart = len(np.setxor1d(x, y))
+            assert np.abs(jaccard.folded(a, bins) - jaccard.folded(b, bins)).sum() <= apart
+            if 5 * len(np.intersect1d(x, y)) >= 4 * len(np.union1d(x, y)):
+                assert 9 * apart <= len(x) + len(y) and jaccard.sizes_match(len(x), len(y))
+
+
+def test_hot_bucket_of_many_sizes_equals_brute_force(spark, monkeypatch):
+    """Texts of very different lengths share a passage; blocks hold sketches of several sizes."""
+    monkeypatch.setattr(jaccard, "SMALL_BUCKET", 2)
+    monkeypatch.setattr(jaccard, "BLOCK", 16)
+    rng = random.Random(3)
+    passage = [f"p{i}" for i in range(150)]
+    rows = []
+    for i in range(90):
+        own = passage + [f"w{rng.randrange(9000)}" for _ in range(rng.choice([5, 20, 30, 36, 60, 400]))]
+        rows.append((i, " ".join(own)))
+    want = brute_kept(rows)
+    assert 5 < len(want) < 80
+    assert kept(spark, rows, 5) == want
