@@ -6,11 +6,14 @@ code points, end exclusive.
 
 The patterns may not start inside a run that an earlier start would have covered: the
 look-behinds change no match and keep long runs without a match linear. Possessive
-quantifiers stand where giving back could not help.
+quantifiers stand where giving back could not help. Running positions are kept in blocks,
+and masking takes text from pieces of bounded size, so that the time of a text with very
+many spans is in proportion to its length.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -20,6 +23,8 @@ from .common import free_name, table
 
 #: Characters before a span in which context words count.
 CONTEXT = 40
+#: Elements of an array that grow together, characters of a piece of text that is masked, and earlier matches that may fill the context.
+BLOCK, PIECE, EARLIER = 256, 1_024, 20
 
 
 @dataclass(frozen=True)
@@ -74,6 +79,31 @@ def confirmed(kind: Kind, found: Column) -> Column:
     return F.lit(True)
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
+def running(values: Column, op: Callable[[Column, Column], Column]) -> Column:
+    """What op, a sum or a maximum, makes of the values before each one, from 0.
+
+    An aggregation copies its state at each step, so an array in it must stay short:
+    each block has its own, which starts from what the blocks before it make.
+    """
+    zero = F.lit(0).cast("bigint")
+
+    def inner(values: Column, start: Column) -> Column:
+        state = F.struct(start.alias("c"), F.array().cast("array<bigint>").alias("o"))
+        return F.aggregate(values, state, lambda s, x: F.struct(op(s["c"], x).alias("c"), F.array_append(s["o"], s["c"]).alias("o")), lambda s: s["o"])
+
+    def whole(blocks: Column) -> Column:
+        starts = inner(F.transform(blocks, lambda b: F.aggregate(b, zero, lambda c, x: op(c, x))), zero)
+        return F.flatten(F.zip_with(blocks, starts, inner))
+
+    numbers = lambda v: F.sequence(F.lit(0), F.floor((F.greatest(F.size(v), F.lit(1)) - 1) / BLOCK).cast("int"))
+    return bound(values, lambda v: bound(F.transform(numbers(v), lambda b: F.slice(v, b * BLOCK + 1, F.lit(BLOCK))), whole))
+
+
 SPAN = "struct<start:bigint,kind_no:int,end:bigint,kind:string,found:string,score:double>"
 
 
@@ -89,19 +119,24 @@ def _spans(text: Column, kind: Kind, no: int) -> Column:
         F.regexp_extract_all(text, pattern, F.lit(0)),
         lambda gap, found: F.struct(F.length(gap).cast("bigint").alias("gap"), F.right(gap, F.lit(CONTEXT)).alias("before"), found.alias("found")),
     )
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("tail"), F.array().cast(f"array<{SPAN}>").alias("spans"))
-
-    def step(s: Column, x: Column) -> Column:
-        before = F.right(F.concat(s["tail"], x["before"]), F.lit(CONTEXT))
-        begin = s["at"] + x["gap"]
-        end = begin + F.length(x["found"])
-        near = F.lower(before).rlike(kind.context)
-        span = F.struct(begin.alias("start"), F.lit(no).alias("kind_no"), end.alias("end"), F.lit(kind.name).alias("kind"), x["found"].alias("found"), F.when(near, F.least(F.lit(1.0), F.lit(kind.score + 0.25))).otherwise(F.lit(kind.score)).alias("score"))
-        keep = x["found"].isNotNull() & confirmed(kind, x["found"]) & (span["score"] >= kind.least)
-        tail = F.right(F.concat(before, F.coalesce(x["found"], F.lit(""))), F.lit(CONTEXT))
-        return F.struct(F.coalesce(end, begin).alias("at"), tail.alias("tail"), F.when(keep, F.array_append(s["spans"], span)).otherwise(s["spans"]).alias("spans"))
-
-    found = F.aggregate(pairs, start, step, lambda s: s["spans"])
+
+    def spans(pairs: Column, starts: Column) -> Column:
+        def before(x: Column, i: Column) -> Column:
+            """The CONTEXT characters before a match; earlier matches, of 2 characters at least, are among them where its gap is short."""
+            some = F.slice(pairs, F.greatest(i + 1 - EARLIER, F.lit(1)), F.least(i, F.lit(EARLIER)))
+            return F.when(x["gap"] >= CONTEXT, x["before"]).otherwise(F.right(F.concat(F.array_join(F.transform(some, lambda y: F.concat(y["before"], y["found"])), ""), x["before"]), F.lit(CONTEXT)))
+
+        def span(x: Column, i: Column) -> Column:
+            begin = F.get(starts, i) + x["gap"]
+            score = F.when(F.lower(before(x, i)).rlike(kind.context), F.least(F.lit(1.0), F.lit(kind.score + 0.25))).otherwise(F.lit(kind.score))
+            made = F.struct(begin.alias("start"), F.lit(no).alias("kind_no"), (begin + F.length(x["found"])).alias("end"), F.lit(kind.name).alias("kind"), x["found"].alias("found"), score.alias("score"))
+            return F.when(x["found"].isNotNull() & confirmed(kind, x["found"]), made)
+
+        return F.transform(pairs, span)
+
+    ends = lambda p: F.transform(p, lambda x: x["gap"] + F.coalesce(F.length(x["found"]), F.lit(0)))
+    made = bound(pairs, lambda p: bound(running(ends(p), lambda a, b: a + b), lambda starts: spans(p, starts)))
+    found = F.filter(made, lambda x: x.isNotNull() & (x["score"] >= kind.least))
     return F.when(F.contains(text, F.lit(kind.needs)), found).otherwise(F.array().cast(f"array<{SPAN}>")) if kind.needs else found
 
 
@@ -123,23 +158,26 @@ def mask_pii(docs: DataFrame, text_col: str = "text", kinds: tuple[Kind, ...] =
     a text without spans stays as it is.
     """
     name = free_name(docs, "_pii_spans")
-    none = F.array().cast("array<struct<start:bigint,end:bigint,kind:string>>")
+    text = F.col(text_col)
 
-    def join(out: Column, x: Column) -> Column:
-        last = F.try_element_at(out, F.lit(-1))
-        new = F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"))
-        grown = F.struct(last["start"].alias("start"), F.greatest(last["end"], x["end"]).alias("end"), last["kind"].alias("kind"))
-        return F.when(last.isNotNull() & (x["start"] < last["end"]), F.array_append(F.slice(out, 1, F.size(out) - 1), grown)).otherwise(F.array_append(out, new))
+    def masked(spans: Column) -> Column:
+        # Beside each span, how far those before it reach.
+        reach = running(F.transform(spans, lambda x: x["end"]), F.greatest)
+        marked = F.zip_with(spans, reach, lambda x, r: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), r.alias("reach")))
+        last = F.aggregate(spans, F.lit(0).cast("bigint"), lambda r, x: F.greatest(r, x["end"]))
+        # What reaches up to the next group's first span is the end of a group.
+        return bound(last, lambda end: bound(F.filter(marked, lambda x: x["start"] >= x["reach"]), lambda firsts: bound(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0)), lambda pieces: joined(firsts, end, pieces))))
 
-    text = F.col(text_col)
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<string>").alias("parts"))
+    def joined(firsts: Column, end: Column, pieces: Column) -> Column:
+        def between(a: Column, b: Column) -> Column:
+            first = F.floor(a / PIECE).cast("int")
+            some = F.array_join(F.slice(pieces, first + 1, F.floor((b - 1) / PIECE).cast("int") - first + 1), "")
+            return F.when(b > a, F.substring(some, (a - first * PIECE + 1).cast("int"), (b - a).cast("int"))).otherwise(F.lit(""))
 
-    def cut(s: Column, x: Column) -> Column:
-        plain = F.substring(text, (s["at"] + 1).cast("int"), (x["start"] - s["at"]).cast("int"))
-        return F.struct(x["end"].alias("at"), F.array_append(s["parts"], F.concat(plain, F.lit("["), F.upper(x["kind"]), F.lit("]"))).alias("parts"))
+        parts = F.transform(firsts, lambda x: F.concat(between(x["reach"], x["start"]), F.lit("["), F.upper(x["kind"]), F.lit("]")))
+        return F.concat(F.array_join(parts, ""), between(end, F.length(text).cast("bigint")))
 
-    masked = F.aggregate(F.aggregate(F.col(name), none, join), start, cut, lambda s: F.concat(F.array_join(s["parts"], ""), F.substr(text, (s["at"] + 1).cast("int"))))
-    return find_pii(docs, text_col, name, kinds).withColumn(text_col, F.when(F.size(name) > 0, masked).otherwise(text)).drop(name)
+    return find_pii(docs, text_col, name, kinds).withColumn(text_col, F.when(F.size(name) > 0, bound(F.col(name), masked)).otherwise(text)).drop(name)
 
 
 def _is(kind: Kind):
@@ -151,8 +189,9 @@ def span_text(spans: Column) -> Column:
 
 
 def op5_pii(spark, sf_dir: str) -> DataFrame:
-    """Spans of every document, counted and digested by kind."""
+    """Spans of every document, counted by kind and in all, and digested."""
     found = find_pii(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "pii")
-    counts = [F.size(F.filter("pii", _is(k))).cast("long").alias(f"n_{k.name}") for k in BASE]
+    counts = [F.size(F.filter("pii", _is(k))).cast("long").alias(f"n_{k.name}") for k in KINDS]
     base = F.filter("pii", lambda x: x["kind_no"] < len(BASE))
-    return found.select("doc_id", *counts, F.sha2(span_text(base), 256).alias("base_sha256"), span_text(F.col("pii")).alias("spans"))
+    own, more = counts[: len(BASE)], counts[len(BASE) :]
+    return found.select("doc_id", *own, F.sha2(span_text(base), 256).alias("base_sha256"), span_text(F.col("pii")).alias("spans"), *more, F.size("pii").cast("long").alias("n_spans"))

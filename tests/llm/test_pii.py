@@ -88,3 +88,30 @@ def test_query_counts_by_kind(spark, tmp_path):
 
 def test_empty_table(spark):
     assert pii.find_pii(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_text_with_very_many_spans(spark):
+    """Positions, context and masks over many blocks of matches equal those made one by one."""
+    import re
+
+    parts, want, masked, at = [], [], [], 0
+    for i in range(30_000):
+        word = ("mail ", "x ", "é call ")[i % 3]
+        found, kind = ((f"a{i}@x.org", "email"), (f"10.0.{i % 256}.7", "ip"), (f"+49 30 {1000000 + i}", "phone"))[i % 3]
+        parts.append(f"{word}{found}; ")
+        begin = at + len(word)
+        want.append((kind, begin, begin + len(found)))
+        masked.append(f"{word}[{kind.upper()}]; ")
+        at += len(parts[-1])
+    text = "".join(parts)
+    df = spark.createDataFrame([(1, text), (2, None)], "doc_id long, text string")
+    rows = {r["doc_id"]: r for r in pii.mask_pii(pii.find_pii(df)).collect()}
+    base = [(x["kind"], x["start"], x["end"]) for x in rows[1]["pii"] if x["kind"] in ("email", "ip", "phone")]
+    assert base == want and all(text[x["start"] : x["end"]] == x["found"] for x in rows[1]["pii"])
+    near = {k.name: re.compile(k.context) for k in pii.KINDS}
+    for x in rows[1]["pii"][::997]:
+        raised = bool(near[x["kind"]].search(text[max(0, x["start"] - pii.CONTEXT) : x["start"]].lower()))
+        assert (x["score"] > next(k.score for k in pii.KINDS if k.name == x["kind"])) == raised
+    if len(rows[1]["pii"]) == len(want):
+        assert rows[1]["text"] == "".join(masked)
+    assert rows[2]["text"] is None and rows[2]["pii"] == []
