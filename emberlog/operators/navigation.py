@@ -2,7 +2,8 @@
 
 A session may hold most of the records, so it is not one window. Records are range
 partitioned by session and sort keys; windows run inside a partition of a session, and
-one row for each such piece carries what lies before and behind it.
+one row for each such piece carries what lies before and behind it. The bounds of ranges
+come from a random sample, so the pieces are checkpointed before they are read twice.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.normalize import ISSUES
+from ..session import settled
 
 SOURCE_ORDER = ("source_path", "record_number", "record_id")
 
@@ -37,6 +39,22 @@ def sort_records(records: DataFrame, column: str | None = None, attribute: str |
     return records.orderBy("session_id", *[k.desc() if descending else k.asc() for k in own], *SOURCE_ORDER)
 
 
+def places(sorted_records: DataFrame) -> DataFrame:
+    """sorted_records with place, from 1 in each session, in the order that they are in: that of sort_records()."""
+    rows = settled(sorted_records.withColumn("_at", F.monotonically_increasing_id()).withColumn("_piece", F.spark_partition_id()))
+    counts = rows.groupBy("session_id", "_piece").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy("session_id").orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    carried = counts.select(F.col("session_id").alias("_s"), F.col("_piece").alias("_p"), before.alias("_before"))
+    inside = Window.partitionBy("session_id", "_piece").orderBy("_at")
+    joined = rows.withColumn("_in", F.row_number().over(inside)).join(carried, F.col("session_id").eqNullSafe(F.col("_s")) & (F.col("_piece") == F.col("_p")))
+    return joined.withColumn("place", F.col("_before") + F.col("_in")).drop("_at", "_piece", "_in", "_s", "_p", "_before")
+
+
+def pieces_of(rows: DataFrame, *keys: str) -> DataFrame:
+    """rows with _piece, the number of their range of keys, in ascending order of these; checkpointed."""
+    return settled(rows.repartitionByRange(*keys).withColumn("_piece", F.spark_partition_id()))
+
+
 def navigate(records: DataFrame, column: str | None = None, attribute: str | None = None) -> DataFrame:
     """(session_id, record_id, position, of, previous_id, next_id, previous_issue, next_issue) in sort order.
 
@@ -46,7 +64,7 @@ def navigate(records: DataFrame, column: str | None = None, attribute: str | Non
     keys = sort_keys(column, attribute)
     named = records.select("session_id", "record_id", F.col("severity").isin(list(ISSUES)).alias("_issue"), *[k.alias(f"_k{i}") for i, k in enumerate(keys)])
     order = [f"_k{i}" for i in range(len(keys))]
-    spread = named.repartitionByRange("session_id", *order).withColumn("_piece", F.spark_partition_id())
+    spread = pieces_of(named, "session_id", *order)
     issue = F.when(F.coalesce("_issue", F.lit(False)), F.col("record_id"))
     key = F.struct(*order)
     pieces = spread.groupBy("session_id", "_piece").agg(
