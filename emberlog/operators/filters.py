@@ -108,6 +108,15 @@ def analysis_input(records: DataFrame, criteria: Criteria, include_state: bool =
     return filter_records(records, criteria) if active else records
 
 
+def known_fields(records: DataFrame, criteria: Criteria) -> list[str]:
+    """The attributes among the criteria's fields that any record has; at most as many names as there are criteria come to the driver."""
+    asked = list(criteria.clean().fields)
+    if not asked:
+        return []
+    row = records.agg(*[F.coalesce(F.bool_or(F.map_contains_key(F.col("attributes"), F.lit(k))), F.lit(False)).alias(f"_{i}") for i, k in enumerate(asked)]).first()
+    return [k for k, has in zip(asked, row) if has]
+
+
 def apply_preset(criteria: Criteria, capabilities: Row | dict, attribute_names: Iterable[str]) -> Criteria:
     """A preset without the criteria whose column has no data, and without unknown attributes."""
     has = capabilities.asDict() if isinstance(capabilities, Row) else capabilities

@@ -12,7 +12,8 @@ A parser gives one row for each processed source record:
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Callable
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,13 +26,23 @@ NOTE = "struct<code:string,message:string,severity:string>"
 RECORD_COLUMNS = ("session_id", "record_id", "event_ts", "event_ts_text", "severity", "severity_rank", "subsystem", "event_code", "entity_id", "message", "attributes", "structured", "raw_source", "source_path", "source_name", "record_number")
 
 
-@dataclass(frozen=True)
 class IngestResult:
-    """records, diagnostics (code, message, severity and source), and one row of stats for each source."""
+    """records, diagnostics (code, message, severity and source), and one row of stats for each source.
 
-    records: DataFrame
-    diagnostics: DataFrame
-    stats: DataFrame
+    The latter two are planned when they are first asked for.
+    """
+
+    def __init__(self, records: DataFrame, diagnostics: Callable[[], DataFrame], stats: Callable[[], DataFrame]):
+        self.records = records
+        self._diagnostics, self._stats = diagnostics, stats
+
+    @cached_property
+    def diagnostics(self) -> DataFrame:
+        return self._diagnostics()
+
+    @cached_property
+    def stats(self) -> DataFrame:
+        return self._stats()
 
 
 def note(code: str, message: Column | str, severity: str = "Warning") -> Column:
@@ -106,36 +117,52 @@ def map_records(parsed: DataFrame, profile: Profile) -> DataFrame:
     )
 
 
+def parsed_once(parsed: DataFrame) -> DataFrame:
+    """The columns of a parser's rows, made by a generator.
+
+    Without it a filter on a record's columns would move below the parser's expressions,
+    each use with a copy of them.
+    """
+    made = F.struct(*[F.col(c) for c in ("error", "notes", "fields", "lists", "others")])
+    return parsed.select(*SOURCE, "record_number", "raw_source", F.inline(F.array(made)))
+
+
 def finish(parsed: DataFrame, profile: Profile, sources: DataFrame | None = None) -> IngestResult:
-    """Splits parsed rows. sources(session_id, source_path, source_name, code, message, severity) are notes on whole sources; those of level Error reject the source's rows before they get here."""
-    made = map_records(parsed, profile)
+    """Splits parsed rows, which are parsed once whatever is asked of them. sources(session_id, source_path, source_name, code, message, severity) are notes on whole sources; those of level Error reject the source's rows before they get here."""
+    made = map_records(parsed_once(parsed), profile)
     records = made.where("error is null").select(*RECORD_COLUMNS)
-    place = [*SOURCE, "record_number"]
-    found = made.select(*place, F.explode(F.concat(F.array_compact(F.array(F.when(F.col("error").isNotNull(), F.struct(F.col("error.code"), F.col("error.message"), F.lit("Error").alias("severity"))))), "notes")).alias("d")).select(*place, "d.*")
-    if sources is not None:
-        found = found.unionByName(sources.select(*SOURCE, F.lit(None).cast("long").alias("record_number"), "code", "message", "severity"))
-    counted = made.groupBy(*SOURCE).agg(
-        F.count("*").alias("processed"),
-        F.count_if(F.col("error").isNull()).alias("imported"),
-        F.bool_or((F.size("notes") > 0) & F.exists("notes", lambda n: n["severity"] == "Warning")).alias("_warn"),
-        F.bool_or(F.col("error").isNotNull()).alias("_bad"),
-    )
-    if sources is not None:
-        levels = sources.groupBy(*SOURCE).agg(F.bool_or(F.col("severity") == "Warning").alias("_sw"), F.bool_or(F.col("severity") == "Error").alias("_se"))
-        counted = counted.join(levels, list(SOURCE), "full")
-    else:
-        counted = counted.withColumns({"_sw": F.lit(False), "_se": F.lit(False)})
-    no = lambda c: F.coalesce(F.col(c), F.lit(False))
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0).cast("long"))
-    stats = counted.select(
-        *SOURCE,
-        zero("processed").alias("processed"),
-        zero("imported").alias("imported"),
-        F.greatest(F.lit(0).cast("long"), zero("processed") - zero("imported")).alias("skipped"),
-        (no("_warn") | no("_sw")).alias("has_warnings"),
-        (no("_bad") | no("_se")).alias("has_errors"),
-    )
-    return IngestResult(records, found, stats)
+
+    def diagnostics() -> DataFrame:
+        place = [*SOURCE, "record_number"]
+        found = made.select(*place, F.explode(F.concat(F.array_compact(F.array(F.when(F.col("error").isNotNull(), F.struct(F.col("error.code"), F.col("error.message"), F.lit("Error").alias("severity"))))), "notes")).alias("d")).select(*place, "d.*")
+        if sources is not None:
+            found = found.unionByName(sources.select(*SOURCE, F.lit(None).cast("long").alias("record_number"), "code", "message", "severity"))
+        return found
+
+    def stats() -> DataFrame:
+        counted = made.groupBy(*SOURCE).agg(
+            F.count("*").alias("processed"),
+            F.count_if(F.col("error").isNull()).alias("imported"),
+            F.bool_or((F.size("notes") > 0) & F.exists("notes", lambda n: n["severity"] == "Warning")).alias("_warn"),
+            F.bool_or(F.col("error").isNotNull()).alias("_bad"),
+        )
+        if sources is not None:
+            levels = sources.groupBy(*SOURCE).agg(F.bool_or(F.col("severity") == "Warning").alias("_sw"), F.bool_or(F.col("severity") == "Error").alias("_se"))
+            counted = counted.join(levels, list(SOURCE), "full")
+        else:
+            counted = counted.withColumns({"_sw": F.lit(False), "_se": F.lit(False)})
+        no = lambda c: F.coalesce(F.col(c), F.lit(False))
+        zero = lambda c: F.coalesce(F.col(c), F.lit(0).cast("long"))
+        return counted.select(
+            *SOURCE,
+            zero("processed").alias("processed"),
+            zero("imported").alias("imported"),
+            F.greatest(F.lit(0).cast("long"), zero("processed") - zero("imported")).alias("skipped"),
+            (no("_warn") | no("_sw")).alias("has_warnings"),
+            (no("_bad") | no("_se")).alias("has_errors"),
+        )
+
+    return IngestResult(records, diagnostics, stats)
 
 
 def write_result(result: IngestResult, path: str, mode: str = "overwrite") -> None:

@@ -16,7 +16,7 @@ from .functions.normalize import display_timestamp, epoch_ms, parse_severity, se
 from .operators import analysis, bursts, drilldown, export, filters, navigation, state
 from .plans.ingest import IngestResult
 from .profile import APACHE_COMMON, DEFAULT_PATHS, IIS_W3C, WEB_COMBINED, WINDOWS_EVENTS, Profile
-from .session import prepared
+from .session import prepared, spread_out
 from .sources.json_sources import ingest_json_documents, ingest_json_lines
 from .sources.registry import discover_attributes, preview, suggest_formats
 from .sources.syslog import ingest_syslog
@@ -288,8 +288,8 @@ def applied_preset(spark, sf_dir):
     """A preset with an attribute that the records do not have."""
     r = records(spark, sf_dir)
     caps = analysis.capabilities(r).agg(*[F.bool_or(c).alias(c) for c in ("has_severity", "has_subsystem", "has_event_code", "has_entity", "has_timestamp")]).first()
-    names = [x[0] for x in analysis.attribute_names(r).limit(1_000).collect()]
-    return shown(filters.filter_records(r, filters.apply_preset(filters.Criteria(severities=("error",), fields={"host": ("a",)}), caps, names)))
+    criteria = filters.Criteria(severities=("error",), fields={"host": ("a",)})
+    return shown(filters.filter_records(r, filters.apply_preset(criteria, caps, filters.known_fields(r, criteria))))
 
 
 @query(REC + """SELECT session_id, record_number, strftime(ts, '%Y-%m-%dT%H:%M:%S.') || lpad((ms % 1000)::VARCHAR, 3, '0') || 'Z' AS timestamp, severity AS level, subsystem, event_code, entity_id, message
@@ -340,9 +340,9 @@ def conversation_positions(spark, sf_dir):
 
 @query(REC + "SELECT session_id, record_id, row_number() OVER (PARTITION BY session_id ORDER BY severity_rank DESC, record_number) AS place FROM rec")
 def sorted_by_severity(spark, sf_dir):
-    """The place of each record in a descending sort, from the order of its keys."""
-    r = records(spark, sf_dir).withColumn("severity_rank", -F.col("severity_rank"))
-    return navigation.navigate(r, "severity").select("session_id", "record_id", F.col("position").alias("place"))
+    """The place of each record in a descending sort."""
+    sorted_rows = navigation.sort_records(records(spark, sf_dir), "severity", descending=True).select("session_id", "record_id")
+    return navigation.places(sorted_rows)
 
 
 # Drill-down
@@ -457,7 +457,7 @@ READ_SQL = f"""SELECT event_id + 2 AS record_number, {SEVERITY_SQL} AS severity,
 
 def rendered(spark: SparkSession, sf_dir: str, line: Column, extra: tuple[tuple[int, str], ...] = ()) -> DataFrame:
     """Lines of four sources, made of events: record_number event_id + 2. extra (number, text) go to every source."""
-    e = events(spark, sf_dir).withColumns({"t": display_timestamp(F.col("ts")), "subsystem": F.concat(F.lit("svc-"), (F.col("user_id") % 7).cast("string")), "entity": F.concat(F.lit("user-"), F.col("user_id").cast("string")), "k": F.get_json_object("props", "$.k")})
+    e = spread_out(events(spark, sf_dir)).withColumns({"t": display_timestamp(F.col("ts")), "subsystem": F.concat(F.lit("svc-"), (F.col("user_id") % 7).cast("string")), "entity": F.concat(F.lit("user-"), F.col("user_id").cast("string")), "k": F.get_json_object("props", "$.k")})
     e = e.withColumn("message", F.concat(F.lit('said "'), "event_type", F.lit('", then left')))
     part = (F.col("event_id") % 4).cast("string")
     rows = e.select(F.lit(LINE_SOURCE[0]).alias("session_id"), F.concat(F.lit(LINE_SOURCE[1]), part, F.lit(".log")).alias("source_path"), (F.col("event_id") + 2).alias("record_number"), line.alias("raw_source"))

@@ -9,10 +9,6 @@ from ..plans.ingest import SOURCE, IngestResult, error_when, finish, no_notes
 from ..profile import Profile
 from .lines import not_blank
 
-#: Levels of nested objects that are flattened; deeper ones stay JSON text.
-LEVELS = 6
-_ENTRIES = "array<struct<k:string,v:variant>>"
-
 
 def as_object(v: Column) -> Column:
     """The members of a variant that is an object, else null."""
@@ -23,18 +19,27 @@ def _members(m: Column, prefix: Column | None = None) -> Column:
     return F.transform(F.map_entries(m), lambda e: F.struct((F.concat(prefix, F.lit("."), e["key"]) if prefix is not None else e["key"]).alias("k"), e["value"].alias("v")))
 
 
-def flat_members(v: Column, levels: int = LEVELS) -> Column:
-    """Members of an object as (dotted name, value); objects in it give their own members, lists stay."""
-    out = _members(as_object(v))
-    for _ in range(levels):
-        out = F.flatten(F.transform(out, lambda e: F.coalesce(_members(as_object(e["v"]), e["k"]), F.array(e))))
-    return out
+def flat_members(v: Column, text: Column) -> Column:
+    """Members of an object as (dotted name, value); objects in it give their own members, at any depth, lists stay.
+
+    No object is deeper than its text has opening braces; an object without others takes no step.
+    """
+
+    def deeper(members: Column) -> Column:
+        return F.flatten(F.transform(members, lambda e: F.coalesce(_members(as_object(e["v"]), e["k"]), F.array(e))))
+
+    def step(members: Column, _: Column) -> Column:
+        return F.when(F.exists(members, lambda e: as_object(e["v"]).isNotNull()), deeper(members)).otherwise(members)
+
+    braces = F.length(text) - F.length(F.replace(text, F.lit("{"), F.lit("")))
+    first = _members(as_object(v))
+    return F.when(braces < 2, first).otherwise(F.aggregate(F.sequence(F.lit(2), braces), deeper(first), step))
 
 
 def with_fields(df: DataFrame, value: str, profile: Profile) -> DataFrame:
     """Adds fields, lists and others for a variant column that holds objects."""
     text_paths = [x for p in profile.canonical.values() if p.strip() for x in (p.strip(), p.strip() + ".#text")]
-    members = df.withColumn("_members", flat_members(F.col(value)))
+    members = df.withColumn("_members", flat_members(F.col(value), F.col("raw_source")))
     is_list = lambda v: v.try_cast("array<variant>").isNotNull() | as_object(v).isNotNull()
     out = members.withColumns(
         {

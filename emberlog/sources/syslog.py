@@ -65,7 +65,13 @@ def ingest_syslog(lines: DataFrame, profile: Profile, reference_date: str) -> In
     some = not_blank(lines).withColumn("_pri", priority(raw))
     some = some.withColumn("_modern", raw.rlike(MODERN) & F.col("_pri").isNotNull() & (F.regexp_extract(raw, MODERN, 1).try_cast("int") > 0))
     some = some.withColumn("_legacy", ~F.col("_modern") & raw.rlike(LEGACY) & F.col("_pri").isNotNull())
-    m = lambda i: F.regexp_extract(raw, MODERN, i)
+    # Of a modern line: the six words of its header by one split, then structured data, and what is left.
+    words = F.split(raw, " ", 7)
+    word = lambda i: F.get(F.col("_words"), F.lit(i))
+    some = some.withColumn("_words", F.when(F.col("_modern"), words))
+    data = F.when(word(6).startswith("-"), F.lit("-")).otherwise(F.regexp_extract(word(6), rf"^(?:{_ELEMENT})++", 0))
+    some = some.withColumn("_sd", data)
+    rest = F.substr(word(6), F.length("_sd") + 2)
     old = lambda i: F.regexp_extract(raw, LEGACY, i)
     month = lookup({x: str(i + 1) for i, x in enumerate(MONTHS)}, old(1)).cast("int")
     some = some.withColumn("_date", F.when(F.col("_legacy"), nearest_year(month, old(2).try_cast("int"), F.lit(reference_date).cast("date"))))
@@ -75,7 +81,7 @@ def ingest_syslog(lines: DataFrame, profile: Profile, reference_date: str) -> In
         (F.col("_pri").isNull(), "SYSLOG_RECORD_MALFORMED", "the line does not begin with a valid priority"),
         (~F.col("_modern") & ~F.col("_legacy"), "SYSLOG_RECORD_MALFORMED", "the line is neither an RFC 5424 nor an RFC 3164 record"),
     )
-    some = some.withColumns({"error": error, "_sd": F.when(F.col("_modern"), m(7)), "_rest": F.when(F.col("_legacy"), old(5))})
+    some = some.withColumns({"error": error, "_rest": F.when(F.col("_legacy"), old(5))})
     some = some.withColumn("_params", F.when(F.col("_sd") != "-", structured_data(F.col("_sd"))))
     tagged = F.col("_rest").rlike(TAGGED)
     tag = lambda i: F.regexp_extract("_rest", TAGGED, i)
@@ -85,9 +91,10 @@ def ingest_syslog(lines: DataFrame, profile: Profile, reference_date: str) -> In
     modern = F.array(
         *common,
         pair("syslogFormat", F.lit("RFC 5424")),
-        pair("syslogVersion", m(1).try_cast("int").cast("string")),
-        *[pair(k, m(i)) for k, i in (("timestamp", 2), ("hostname", 3), ("subsystem", 4), ("processId", 5), ("eventCode", 6), ("structuredData", 7))],
-        pair("message", F.regexp_replace(m(8), "^\ufeff", "")),
+        pair("syslogVersion", F.regexp_extract(word(0), "[0-9]+$", 0).try_cast("int").cast("string")),
+        *[pair(k, word(i)) for k, i in (("timestamp", 1), ("hostname", 2), ("subsystem", 3), ("processId", 4), ("eventCode", 5))],
+        pair("structuredData", F.col("_sd")),
+        pair("message", F.regexp_replace(rest, "^\ufeff", "")),
     )
     legacy = F.array(
         *common,

@@ -7,9 +7,11 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.normalize import lookup
 from ..plans.ingest import SOURCE, IngestResult, error_when, finish, no_notes, note
 from ..profile import Profile, java_to_python, problems
-from .lines import not_blank
+from ..session import settled
+from .lines import MOST_SPLITS, not_blank
 
 
 def _with_text_columns(df: DataFrame) -> DataFrame:
@@ -20,11 +22,11 @@ def _with_text_columns(df: DataFrame) -> DataFrame:
 def split_delimited(line: Column, delimiter: str) -> tuple[Column, Column]:
     """Whether a line is well formed, and its fields. A quote may only open a field, "" stands for one inside, nothing may follow its end."""
     d = re.escape(delimiter)
-    field = rf'(?:"(?:[^"]|"")*+"|[^"{d}](?:[^"{d}])*+|)'
-    valid = line.rlike(rf"^{field}(?:{d}{field})*+$")
-    # Each match is a delimiter and a field, so the line gets one in front.
+    field = rf'(?:"(?:[^"]|"")*+"|[^"{d}]++|)'
+    # Each match is a delimiter and a field, so the line gets one in front. What no match covers is not well formed.
     found = F.regexp_extract_all(F.concat(F.lit(delimiter), line), F.lit(rf"{d}({field})"), F.lit(1))
-    return valid, F.transform(found, lambda f: F.when(f.startswith('"'), F.replace(F.substr(f, F.lit(2), F.length(f) - 2), F.lit('""'), F.lit('"'))).otherwise(f))
+    plain = F.transform(found, lambda f: F.when(f.startswith('"'), F.replace(F.substr(f, F.lit(2), F.length(f) - 2), F.lit('""'), F.lit('"'))).otherwise(f))
+    return F.array_join(found, delimiter) == line, F.when(F.contains(line, F.lit('"')), plain).otherwise(found)
 
 
 def ingest_delimited(lines: DataFrame, profile: Profile, delimiter: str | None = None) -> IngestResult:
@@ -35,7 +37,6 @@ def ingest_delimited(lines: DataFrame, profile: Profile, delimiter: str | None =
     """
     delimiter = delimiter or ("\t" if profile.format_id == "tsv" else ",")
     some = not_blank(lines)
-    # One header for each source; Spark broadcasts them as long as they are small.
     head = some.groupBy(*SOURCE).agg(F.min_by("raw_source", "record_number").alias("_head"), F.min("record_number").alias("_head_no"))
     head_ok, head_fields = split_delimited(F.regexp_replace("_head", "^\ufeff", ""), delimiter)
     head = head.withColumns({"_head_ok": head_ok, "_names": F.transform(head_fields, lambda n: F.trim(n))})
@@ -47,12 +48,15 @@ def ingest_delimited(lines: DataFrame, profile: Profile, delimiter: str | None =
             (F.size(F.array_distinct(F.transform("_names", F.lower))) < F.size("_names"), "DUPLICATE_DELIMITED_HEADER", "a header name is repeated"),
         ),
     )
+    # One row for each source, found once.
+    head = settled(head)
+    few = head.count() <= MOST_SPLITS
     empty = lines.groupBy(*SOURCE).agg(F.bool_or(F.col("raw_source").rlike(r"\S")).alias("_any")).where("not _any")
     sources = head.where("_head_error is not null").select(*SOURCE, F.col("_head_error.code").alias("code"), F.col("_head_error.message").alias("message"), F.lit("Error").alias("severity")).unionByName(
         empty.select(*SOURCE, F.lit("DELIMITED_HEADER_REQUIRED").alias("code"), F.lit("the source has no header").alias("message"), F.lit("Error").alias("severity"))
     )
     good = head.where("_head_error is null").select(*[F.col(c).alias(f"_h_{c}") for c in SOURCE], "_head_no", "_names")
-    rows = some.join(good, [some[c] == good[f"_h_{c}"] for c in SOURCE]).where("record_number > _head_no")
+    rows = some.join(F.broadcast(good) if few else good, [some[c] == good[f"_h_{c}"] for c in SOURCE]).where("record_number > _head_no")
     valid, fields = split_delimited(F.col("raw_source"), delimiter)
     rows = rows.withColumns({"_ok": valid, "_fields": fields})
     counts = F.concat(F.size("_fields").cast("string"), F.lit(" columns under a header of "), F.size("_names").cast("string"))
@@ -69,8 +73,8 @@ def capture_names(pattern: str) -> list[tuple[str, int]]:
 def ingest_regex(lines: DataFrame, profile: Profile) -> IngestResult:
     """Lines that profile.pattern describes as a whole; each named capture is a field.
 
-    A capture that took no part, or is empty, gives no field. A bad pattern raises
-    ValueError before anything runs.
+    A capture that took no part gives no field, one that is empty gives an empty text. A
+    bad pattern raises ValueError before anything runs.
     """
     if found := problems(profile):
         raise ValueError("; ".join(found))
@@ -80,26 +84,32 @@ def ingest_regex(lines: DataFrame, profile: Profile) -> IngestResult:
     whole = rf"^(?:{bare})$"
     some = not_blank(lines)
     error = error_when((~F.col("raw_source").rlike(whole), "REGEX_RECORD_NO_MATCH", "the line does not match the pattern"))
-    pairs = F.array(*[F.struct(F.lit(n).alias("k"), F.regexp_extract("raw_source", whole, i).alias("v")) for n, i in names])
-    fields = F.when(F.col("error").isNull(), F.map_from_entries(F.filter(pairs, lambda x: x["v"] != "")))
+
+    def capture(i: int) -> Column:
+        """Behind the match a reference to an empty capture matches, one to a capture that took no part does not."""
+        found = F.regexp_extract("raw_source", whole, i)
+        return F.when((found != "") | F.col("raw_source").rlike(rf"(?>{whole})\{i}"), found)
+
+    pairs = F.array(*[F.struct(F.lit(n).alias("k"), capture(i).alias("v")) for n, i in names])
+    fields = F.when(F.col("error").isNull(), F.map_from_entries(F.filter(pairs, lambda x: x["v"].isNotNull())))
     return finish(_with_text_columns(some.withColumns({"error": error, "notes": no_notes()}).withColumn("fields", fields)), profile)
 
 
 PAIR = r'([^=\s]++)=("(?:[^"\\]|\\.)*+"(?=\s|$)|(?!")\S*+)'
+KEY_VALUE_LINE = rf"^\s*+(?:{PAIR}(?:\s++|$))++$"
 
 
 def unescape(text: Column) -> Column:
     """\\" \\\\ \\n \\r \\t as what they stand for; other escapes stay as they are."""
-    held = F.replace(text, F.lit("\\\\"), F.lit("\u0001"))
-    for mark, plain in (('\\"', '"'), ("\\n", "\n"), ("\\r", "\r"), ("\\t", "\t")):
-        held = F.replace(held, F.lit(mark), F.lit(plain))
-    return F.replace(held, F.lit("\u0001"), F.lit("\\"))
+    stands_for = {'\\"': '"', "\\\\": "\\", "\\n": "\n", "\\r": "\r", "\\t": "\t"}
+    parts = F.regexp_extract_all(text, F.lit(r"(?s)[^\\]++|\\.|\\"), F.lit(0))
+    return F.when(F.contains(text, F.lit("\\")), F.array_join(F.transform(parts, lambda p: F.coalesce(lookup(stands_for, p), p)), "")).otherwise(text)
 
 
 def ingest_key_value(lines: DataFrame, profile: Profile) -> IngestResult:
     """key=value and key="value" fields. The last of repeated keys wins, with a warning; any other token rejects the line."""
     some = not_blank(lines)
-    valid = F.col("raw_source").rlike(rf"^\s*+(?:{PAIR}(?:\s++|$))++$")
+    valid = F.col("raw_source").rlike(KEY_VALUE_LINE)
     keys = F.regexp_extract_all("raw_source", F.lit(PAIR), F.lit(1))
     values = F.regexp_extract_all("raw_source", F.lit(PAIR), F.lit(2))
     some = some.withColumns({"_ok": valid, "_keys": keys, "_values": values})

@@ -57,7 +57,9 @@ def ingest_w3c(lines: DataFrame, profile: Profile, few_directives: bool | None =
     none = F.array().cast("array<string>")
     rows = rows.withColumns({"fields": fields, "lists": none, "others": none, "notes": no_notes()})
     out = finish(rows, profile)
-    found = out.diagnostics.unionByName(empty)
-    bad = empty.select(*SOURCE).distinct().withColumn("_e", F.lit(True))
-    stats = out.stats.join(bad, list(SOURCE), "left").withColumn("has_errors", F.col("has_errors") | F.coalesce("_e", F.lit(False))).drop("_e")
-    return IngestResult(out.records, found, stats)
+
+    def stats() -> DataFrame:
+        bad = empty.select(*SOURCE).distinct().withColumn("_e", F.lit(True))
+        return out.stats.join(bad, list(SOURCE), "left").withColumn("has_errors", F.col("has_errors") | F.coalesce("_e", F.lit(False))).drop("_e")
+
+    return IngestResult(out.records, lambda: out.diagnostics.unionByName(empty), stats)

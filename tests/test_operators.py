@@ -231,3 +231,27 @@ def test_live_timeline(spark, tmp_path):
     assert got == [(0, 2, 2), (1, 1, 1), (3, 1, 1), (30, 1, 1)]
     with pytest.raises(ValueError):
         live.follow_records(lines, Profile(format_id="csv"))
+
+
+@pytest.mark.parametrize("reuse", ["true", "false"])
+def test_positions_do_not_depend_on_the_plan(spark, reuse):
+    """Pieces stay as they are, whether Spark reuses an exchange or samples its ranges anew."""
+    rows = spark.range(20_000).select((F.col("id") % 3).cast("string").alias("session_id"), F.col("id").cast("string").alias("record_id"), F.timestamp_millis(F.xxhash64("id") % 500_000).alias("event_ts"), F.when(F.col("id") % 97 == 0, "ERROR").otherwise("INFO").alias("severity"), F.when(F.col("id") % 97 == 0, 4).otherwise(2).alias("severity_rank"), F.lit("p").alias("source_path"), F.col("id").alias("record_number"))
+    spark.conf.set("spark.sql.exchange.reuse", reuse)
+    spark.conf.set("spark.sql.adaptive.enabled", reuse)
+    try:
+        found = navigation.navigate(rows, "event_ts")
+        assert found.select("session_id", "position").distinct().count() == 20_000
+        assert found.agg(F.max("position"), F.max("of")).first() == (6667, 6667)
+        placed = navigation.places(navigation.sort_records(rows, "severity", descending=True))
+        assert placed.select("session_id", "place").distinct().count() == 20_000
+        assert placed.where("severity = 'ERROR'").groupBy("session_id").agg((F.max("place") == F.count("*")).alias("first")).where("first").count() == 3
+    finally:
+        spark.conf.unset("spark.sql.exchange.reuse")
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_bursts_go_on_over_pieces(spark):
+    issues = spark.range(3_000).select(F.lit("s").alias("session_id"), F.when(F.col("id") % 2 == 0, "a").alias("subsystem"), F.col("id").cast("string").alias("record_id"), F.lit("ERROR").alias("severity"), F.timestamp_millis(F.col("id") * 10 + F.floor(F.col("id") / 1_000) * 100_000).alias("event_ts"))
+    got = sorted((str(r["subsystem"]), r["burst"], r["issues"]) for r in bursts.issue_bursts(issues.repartition(7), 1_000, 3).collect())
+    assert got == [(k, b, 500) for k in ("None", "a") for b in (1, 2, 3)]

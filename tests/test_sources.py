@@ -239,3 +239,29 @@ def test_overwriting_replaces_only_the_sessions_that_are_there(spark, tmp_path):
     write_result(ingest_json_lines(both, Profile()), path)
     write_result(ingest_json_lines(lines(spark, '{"message":"new"}'), Profile()), path)
     assert sorted((r["session_id"], r["message"]) for r in spark.read.parquet(f"{path}/records").collect()) == [("s", "new"), ("t", "b")]
+
+
+def test_json_of_any_depth(spark):
+    deep = {"leaf": 1}
+    for i in range(12):
+        deep = {f"l{i}": deep, "s": i}
+    p = Profile(canonical={"message": ".".join([f"l{i}" for i in reversed(range(12))] + ["leaf"])}, custom={"whole": "l11.l10"})
+    row = ingest_json_lines(lines(spark, json.dumps(deep), '{"a": "{{{"}', '{"o": {}, "p": [{"q": 1}]}'), p).records.orderBy("record_number").collect()
+    assert row[0]["attributes"]["s"] == "11" and "l9" in row[0]["attributes"]["whole"] and row[0]["message"] is None  # a number is no text
+    assert row[1]["attributes"] == {"a": "{{{"}
+    assert row[2]["attributes"] == {"p": '[{"q":1}]'}
+    path = "l11." + ".".join(f"l{i}" for i in reversed(range(11))) + ".leaf"
+    flat = ingest_json_lines(lines(spark, json.dumps(deep)), Profile(canonical={})).records.first()["attributes"]
+    assert flat[path] == "1" and flat["l11.l10.s"] == "9" and len(flat) == 13
+
+
+def test_empty_captures_are_kept_and_absent_ones_are_not(spark):
+    p = Profile(format_id="regex-text", canonical={"message": "m"}, pattern=r"(?<m>\w+):(?<x>\d*)(?:;(?<y>\d*))?")
+    got = [r["attributes"] for r in ingest_regex(lines(spark, "a:1;2", "a:;", "a:"), p).records.orderBy("record_number").collect()]
+    assert got == [{"x": "1", "y": "2"}, {"x": "", "y": ""}, {"x": ""}]
+
+
+def test_escapes_and_control_characters(spark):
+    raw = 'k="a\u0001b" e="\\\\n \\n \\" \\q"'
+    got = ingest_key_value(lines(spark, raw), Profile(format_id="key-value")).records.first()["attributes"]
+    assert got == {"k": "a\u0001b", "e": '\\n \n " \\q'}
