@@ -67,12 +67,8 @@ def test_machine_learns_pairs_that_no_weight_shows():
     found = [toxicity.toxicity_terms(t, memo) for t in texts]
     starts = np.concatenate([[0], np.cumsum([len(x) for x, _ in found])])
     terms, vals = np.concatenate([x for x, _ in found]), np.concatenate([v for _, v in found])
-    keep = toxicity.telling_terms
-    try:
-        toxicity.telling_terms = lambda y, t, r, b: np.unique(t)
-        model = toxicity.fit(np.array(label), starts, terms, vals)
-    finally:
-        toxicity.telling_terms = keep
+    model = toxicity.fit(np.array(label), starts, terms, vals)
+    assert 2 <= len(model.w) < 20
     assert auc(label, model.score(starts, terms, vals)) > 0.95
     linear = toxicity.Machine(model.at, model.b, model.w, np.zeros_like(model.v))
     assert auc(label, linear.score(starts, terms, vals)) < 0.7
@@ -103,3 +99,69 @@ def test_query_on_held_out_documents(spark, tmp_path):
 def test_row_sums():
     v = np.arange(6.0)
     assert row_sums(v, np.array([0, 0, 2, 6])).tolist() == [0, 1, 14]
+
+
+def machine_score(model, terms, values):
+    """The machine's sum over pairs, one by one."""
+    known = [(model.at[t], x) for t, x in zip(terms, values) if model.at[t] >= 0]
+    z = model.b + sum(model.w[i] * x for i, x in known)
+    for a, (i, x) in enumerate(known):
+        for j, y in known[a + 1 :]:
+            z += float(model.v[i] @ model.v[j]) * x * y
+    return 1 / (1 + np.exp(-z))
+
+
+def test_machine_scores_equal_brute_force():
+    rng = np.random.default_rng(3)
+    at = np.full(1 << 10, -1, np.int32)
+    at[:40] = rng.permutation(40)
+    model = toxicity.Machine(at, -0.3, rng.normal(size=40), rng.normal(size=(40, toxicity.FACTORS)) / 3)
+    rows = [(rng.choice(80, n, replace=False).astype(np.int32), rng.random(n).astype(np.float32)) for n in (0, 1, 2, 9, 30)]
+    starts = np.cumsum([0, *(len(t) for t, _ in rows)])
+    got = model.score(starts, np.concatenate([t for t, _ in rows]), np.concatenate([v for _, v in rows]))
+    assert np.allclose(got, [machine_score(model, t, v) for t, v in rows], atol=1e-9)
+
+
+def test_gradient_of_the_machine_equals_differences():
+    rng = np.random.default_rng(4)
+    ptr = np.array([0, 3, 3, 8, 12])
+    i, x, y = rng.integers(0, 6, 12), rng.random(12), np.array([1, 0, 1, 0])
+    p = [np.array([0.2]), rng.normal(size=6), rng.normal(size=(6, 3))]
+    _, g = toxicity.loss_and_gradient(p, i, x, ptr, y, 0.1)
+    for k in range(3):
+        for at in np.ndindex(p[k].shape):
+            moved = []
+            for e in (1e-5, -1e-5):
+                q = [a.copy() for a in p]
+                q[k][at] += e
+                loss, _ = toxicity.loss_and_gradient(q, i, x, ptr, y, 0.1)
+                # The constant is not held back.
+                moved.append(loss)
+            assert abs((moved[0] - moved[1]) / 2e-5 - g[k][at]) < 1e-6
+
+
+def test_ordinal_fit_reaches_the_likelihood_of_a_plain_one():
+    """A slow fit of the same likelihood by plain steps along differences finds nothing better."""
+    rng = np.random.default_rng(6)
+    n, dims = 400, 4
+    x = rng.random((n, dims))
+    grade = np.digitize(x @ np.array([3.0, -2.0, 1.0, 0.0]) + rng.logistic(size=n) * 0.5, [0.5, 1.5])
+    starts, terms, values = np.arange(0, n * dims + 1, dims), np.tile(np.arange(dims), n), x.ravel()
+
+    def loss(w, theta):
+        s = x @ w
+        f = lambda t: 1 / (1 + np.exp(-(t - s)))
+        ends = np.stack([np.zeros(n), *(f(t) for t in theta), np.ones(n)], 1)
+        prob = ends[np.arange(n), grade + 1] - ends[np.arange(n), grade]
+        return -np.log(np.maximum(prob, 1e-12)).mean() + 0.5 * 1e-5 * (w @ w)
+
+    model = quality.fit(grade, starts, terms, values, bits=2, steps=1_500)
+    assert list(model.theta) == sorted(model.theta)
+    best = loss(model.weights, model.theta)
+    p = np.concatenate([np.zeros(dims), [0.0, 1.0]])
+    for _ in range(1_500):
+        g = np.array([(loss((p + e)[:dims], (p + e)[dims:]) - loss((p - e)[:dims], (p - e)[dims:])) / 2e-5 for e in 1e-5 * np.eye(len(p))])
+        p = p - 1.0 * g
+    assert best <= loss(p[:dims], p[dims:]) + 1e-3
+    tails = model.tails(starts, terms, values)
+    assert np.allclose(tails, 1 / (1 + np.exp(-((x @ model.weights)[:, None] - model.theta))))
