@@ -15,8 +15,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import new_path, small_batches, table
+from .common import new_path, small_batches, table, written
 
+#: A digest that more than one of so many rows have is hot; so there are fewer hot ones than this.
+MOST_HOT = 10_000
 CACHE_SCHEMA = "digest binary, n_tokens long, tokenizer string"
 
 
@@ -80,11 +82,13 @@ def token_counts(docs: DataFrame, model: str, cache_path: str, limit: int = 4096
     distinct = base.groupBy("digest").agg(F.first("_text").alias("_text"))
     misses = distinct.join(stored().select("digest"), "digest", "left_anti")
     misses.mapInArrow(count, "digest binary, n_tokens long").withColumn("tokenizer", F.lit(version)).write.mode("append").parquet(cache_path)
-    return (
-        base.select("_id", "digest", F.octet_length("_text").cast("long").alias("n_bytes"))
-        .join(stored(), "digest", "left")
-        .select(F.col("_id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
-    )
+    # One text may be that of a third of all rows. Such texts are few, and their counts go to all tasks.
+    rows = written(base.select("_id", "digest", F.octet_length("_text").cast("long").alias("n_bytes")), "token-rows")
+    total = rows.count()
+    hot = written(rows.groupBy("digest").count().where(F.col("count") * MOST_HOT > total).select("digest").join(stored(), "digest"), "token-hot")
+    by_hot = rows.join(F.broadcast(hot), "digest")
+    by_digest = rows.join(F.broadcast(hot.select("digest")), "digest", "left_anti").join(stored(), "digest", "left")
+    return by_hot.unionByName(by_digest).select(F.col("_id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 
 def op3_token_counts(spark, sf_dir: str) -> DataFrame:
