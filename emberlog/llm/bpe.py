@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import small_batches, written
 
 CHUNK_CHARS, OVERLAP_CHARS = 65_536, 4_096
 #: The longest look of the pattern past the end of a match, in characters.
@@ -84,8 +84,8 @@ def encode(docs: DataFrame, vocab: str, pattern: str, id_col: str = "doc_id", te
     docs = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     short = _encode_rows(docs.where(F.length("_text") <= chunk_chars), vocab, pattern, ["_id"])
 
-    # The row number tells long texts apart, be their ids null or repeated.
-    long = docs.where(F.length("_text") > chunk_chars).withColumn("_row", F.monotonically_increasing_id())
+    # The row number tells long texts apart, be their ids null or repeated; it is written once, since a second reading may give others.
+    long = written(docs.where(F.length("_text") > chunk_chars).withColumn("_row", F.monotonically_increasing_id()), "bpe-long")
     n_chunks = F.ceil(F.length("_text") / chunk_chars).cast("int")
     chunks = (
         long.withColumn("_k", F.explode(F.sequence(F.lit(0), n_chunks - 1)))
