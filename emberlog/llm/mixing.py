@@ -9,8 +9,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import table
+from .common import table, written
 
 #: Sources up to this number are broadcast: a name and two numbers each.
 BROADCAST_SOURCES = 10_000
@@ -50,7 +51,7 @@ def source_rates(docs: DataFrame, weights: DataFrame | None = None, total: int |
     else:
         given = weights.select(F.col("source").alias("_s"), F.col("weight").cast("double").alias("_w")).groupBy("_s").agg(F.sum("_w").alias("_w"))
         found = found.join(given, F.col("_source").eqNullSafe(F.col("_s")), "left").select("_source", "_n", F.greatest(F.coalesce("_w", F.lit(0.0)), F.lit(0.0)).alias("_w"))
-    found = found.cache()
+    found = written(found, "mix-sources")
     n, all_weights = found.agg(F.coalesce(F.sum("_n"), F.lit(0)), F.coalesce(F.sum("_w"), F.lit(0.0))).first()
     rate = F.lit(float(n if total is None else total)) * F.col("_w") / F.lit(all_weights) / F.col("_n")
     return found.select("_source", (rate if all_weights > 0 else F.lit(0.0)).alias("rate"))
@@ -63,7 +64,8 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, total: int | None = N
     the same count. A null id or source counts as a value of its own; texts are not
     looked at, so null, empty and very long ones are treated alike. An empty table
     gives an empty table. The order is that of a hash partition and, within it, of a
-    digest of seed, id and copy number, so that it does not depend on the input's.
+    digest of seed, id, copy number and the row's plain columns, so that it does not depend
+    on the input's. A rate of a million makes a million copies of a row in its task.
     """
     rates = source_rates(docs, weights, total, source_col)
     few = rates.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
@@ -71,9 +73,11 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, total: int | None = N
     rates = F.broadcast(rates) if few else rates
     counted = row.join(rates, F.col("_of").eqNullSafe(F.col("_source")))
     copies = counted.withColumn("_count", poisson(uniform(F.lit(seed), "_id"), F.col("rate"))).where("_count > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_count").cast("int"))))
-    order = F.xxhash64(F.lit(seed), F.col("_id"), F.col("_copy"))
+    # Of rows that share an id, or have none, the plain columns tell where they go.
+    plain = [F.col("_row").getField(f.name) for f in docs.schema if isinstance(f.dataType, T.AtomicType) and f.dataType != T.VariantType()]
+    order = F.xxhash64(F.lit(seed), F.col("_id"), F.col("_copy"), *plain)
     dealt = copies.withColumn("_order", order).repartition("_order").sortWithinPartitions(F.xxhash64(F.lit(f"{seed}|within"), F.col("_order")))
-    return dealt.select("_row.*", F.col("_copy").alias(copy_col)) if copy_col not in docs.columns else dealt.select("_row.*", "_copy").drop(copy_col).withColumnRenamed("_copy", copy_col)
+    return dealt.select(*[F.col("_row").getField(c).alias(c) for c in docs.columns if c.lower() != copy_col.lower()], F.col("_copy").alias(copy_col))
 
 
 def op6_mixing(spark, sf_dir: str) -> DataFrame:
