@@ -4,9 +4,10 @@ A component that makes all vectors equally long turns the largest inner product
 smallest distance. Vectors are projected on a few Gaussian directions; the squared
 projected distance of two vectors, over their squared distance, has a chi-square
 distribution. A kd-tree of the projections, split by a bounded sample, deals all rows to
-cells. A query takes projected neighbours in order and verifies each; it stops when the
-next one, if it were nearer than the k-th found, would be that far with little
-probability. Its own cell gives the first bound, which chooses the other cells.
+cells. A query takes projected neighbours ring by ring and verifies each; it stops when the
+next ones, if they were nearer than the k-th found, would be that far with little
+probability. Its own cell gives the first bound, which chooses the other cells. Queries of
+a block go through a block of vectors together, by products of matrices.
 """
 
 from __future__ import annotations
@@ -20,15 +21,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import small_batches, table, written
-from .topk import best
 from .vectors import blocks, rows_of, unpack, usual_size, valid
 
-DIRECTIONS = 10
+DIRECTIONS = 16
 #: Chance that a true neighbour is within the projected radius at which a query stops.
-SURE = 0.98
+SURE = 0.95
+#: Share of that radius that a query looks at first.
+FIRST_RING = 0.5
 #: The bound of the sample that the tree is split by, and of its cells.
 SAMPLE_ROWS, MOST_CELLS, CELL_ROWS = 20_000, 2_048, 1_024
-BLOCK_ROWS, QUERY_ROWS, STEP = 2_048, 512, 512
+BLOCK_ROWS, QUERY_ROWS = 2_048, 512
 #: Queries whose bound a task remembers.
 MOST_REACHED = 500_000
 
@@ -81,6 +83,19 @@ def cell_of(points: np.ndarray, nodes: list[tuple[int, float, int, int]]) -> np.
     return out
 
 
+def top_of_rows(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places (row, column) of the k highest finite scores of each row; of those that are alike but for rounding the first columns."""
+    if scores.shape[1] > k:
+        cut = -np.partition(-scores, k - 1, axis=1)[:, k - 1 : k]
+        margin = 1e-12 * np.maximum(1.0, np.abs(np.where(np.isfinite(cut), cut, 0.0)))
+        above, tied = scores > cut + margin, np.abs(scores - np.where(np.isfinite(cut), cut, np.nan)) <= margin
+        pick = above | (tied & (np.cumsum(tied, axis=1) <= k - above.sum(1)[:, None]))
+        pick = np.where(np.isfinite(cut), pick, np.isfinite(scores))
+    else:
+        pick = np.isfinite(scores)
+    return np.nonzero(pick)
+
+
 def nearest(queries: DataFrame, base: DataFrame, k: int = 20, sure: float = SURE, directions: int = DIRECTIONS, id_col: str = "vec_id", vec_col: str = "embedding", seed: int = 11) -> DataFrame:
     """(query_id, rank, vec_id, score): about the k largest inner products of each query with other rows of base.
 
@@ -135,13 +150,17 @@ def nearest(queries: DataFrame, base: DataFrame, k: int = 20, sure: float = SURE
     slack = 1e-9 * max(longest, 1e-300)
 
     def distances(q: np.ndarray, dots: np.ndarray) -> np.ndarray:
-        return np.maximum(0.0, longest + q @ q - 2 * dots)
+        """Of each query (row) to the vectors (columns) that it has these products with."""
+        return np.maximum(0.0, longest + (q * q).sum(1)[:, None] - 2 * dots)
 
     sampled = spark.sparkContext.broadcast((seen_ids, seen))
 
-    def kth(ids: np.ndarray, mat: np.ndarray, q_id: int, q: np.ndarray) -> float:
-        d = distances(q, (mat @ q)[ids != q_id])
-        return float(np.partition(d, k - 1)[k - 1]) if len(d) >= k else np.inf
+    def kth(ids: np.ndarray, mat: np.ndarray, q_ids: np.ndarray, q: np.ndarray) -> np.ndarray:
+        if len(ids) < k:
+            return np.full(len(q), np.inf)
+        d = distances(q, q @ mat.T)
+        d[q_ids[:, None] == ids] = np.inf
+        return np.partition(d, k - 1, axis=1)[:, k - 1]
 
     def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Each block of queries with the squared distances of their k-th found in one block of their cell, or in the sample if that is nearer."""
@@ -149,9 +168,10 @@ def nearest(queries: DataFrame, base: DataFrame, k: int = 20, sure: float = SURE
         for b in batches:
             for r in b.to_pylist():
                 ids, mat = np.frombuffer(r["hids"] or b"", "<i8"), unpack(r["hmat"] or b"", dim)
-                far = [min(kth(ids, mat, q_id, q), kth(some_ids, some, q_id, q)) for q_id, q in zip(np.frombuffer(r["ids"], "<i8"), unpack(r["mat"], dim))]
+                asked_for = np.frombuffer(r["ids"], "<i8"), unpack(r["mat"], dim)
+                far = np.minimum(kth(ids, mat, *asked_for), kth(some_ids, some, *asked_for))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([r[c]], t) for c, t in (("part", pa.int64()), ("cell", pa.int32()), ("ids", pa.binary()), ("mat", pa.binary()), ("extra", pa.binary()))] + [pa.array([np.array(far, "<f8").tobytes()]), pa.array([float(max(far))], pa.float64()), pa.array([r["home"]], pa.int64())],
+                    [pa.array([r[c]], t) for c, t in (("part", pa.int64()), ("cell", pa.int32()), ("ids", pa.binary()), ("mat", pa.binary()), ("extra", pa.binary()))] + [pa.array([far.astype("<f8").tobytes()]), pa.array([float(far.max())], pa.float64()), pa.array([r["home"]], pa.int64())],
                     names=["qpart", "qcell", "qids", "qmat", "qbox", "far", "most", "home"],
                 )
 
@@ -189,32 +209,30 @@ def nearest(queries: DataFrame, base: DataFrame, k: int = 20, sure: float = SURE
                 asked_at, points = project(q_mat, False), project(mat)
                 between = np.maximum(0.0, (asked_at**2).sum(1)[:, None] + (points**2).sum(1) - 2 * asked_at @ points.T)
                 edge = (np.maximum(0.0, np.maximum(lo - asked_at, asked_at - hi)) ** 2).sum(1)
-                qid, vid, score = [], [], []
-                for i in np.flatnonzero(r["own"] | (edge <= (far + slack) * limit)):
-                    q, start = q_mat[i], min(far[i], reached.get(int(q_ids[i]), np.inf))
-                    most = start
-                    apart = between[i]
-                    if r["own"]:  # already verified whole; its k best are found in any case
-                        apart = np.zeros(len(apart))
-                    rows = np.flatnonzero((apart <= (most + slack) * limit) & (ids != q_ids[i]))
-                    rows = rows[np.argsort(apart[rows], kind="stable")]
-                    got_rows, got_dots = np.empty(0, int), np.empty(0)
-                    for at in range(0, len(rows), STEP):
-                        if apart[rows[at]] > (most + slack) * limit:
-                            break
-                        step = rows[at : at + STEP]
-                        got_rows, got_dots = np.concatenate([got_rows, step]), np.concatenate([got_dots, mat[step] @ q])
-                        top = best(got_dots, ids[got_rows], k)
-                        got_rows, got_dots = got_rows[top], got_dots[top]
-                        if len(top) == k:
-                            most = min(most, float(distances(q, got_dots[-1:])[0]))
-                    if most < start:
-                        reached[int(q_ids[i])] = most
+                own = bool(r["own"])
+                start = np.minimum(far, [reached.get(i, np.inf) for i in q_ids.tolist()])
+                rows = np.arange(len(q_ids)) if own else np.flatnonzero(edge <= (start + slack) * limit)
+                q_ids, q_mat, start, between = q_ids[rows], q_mat[rows], start[rows], between[rows]
+                other = q_ids[:, None] != ids
+                dots = q_mat @ mat.T
+                most = start.copy()
+                seen = np.zeros(dots.shape, bool)
+                for ring in (FIRST_RING, 1.0):
                     # Its own block's k best stand in any case, so that no query has fewer than k.
-                    good = np.ones(len(got_dots), bool) if r["own"] else distances(q, got_dots) <= start + slack
-                    qid += [int(q_ids[i])] * int(good.sum())
-                    vid += ids[got_rows[good]].tolist()
-                    score += got_dots[good].tolist()
+                    seen |= other & (np.full(dots.shape, own) | (between <= ring * (most + slack)[:, None] * limit))
+                    if seen.shape[1] >= k:
+                        found = np.where(seen, dots, -np.inf)
+                        cut = -np.partition(-found, k - 1, axis=1)[:, k - 1]
+                        full = np.isfinite(cut)
+                        most[full] = np.minimum(most[full], distances(q_mat[full], cut[full, None])[:, 0])
+                if not own:
+                    seen &= distances(q_mat, dots) <= (start + slack)[:, None]
+                at = top_of_rows(np.where(seen, dots, -np.inf), k)
+                better = np.flatnonzero(most < start)
+                reached.update(zip(q_ids[better].tolist(), most[better].tolist()))
+                qid, vid = q_ids[at[0]], ids[at[1]]
+                # One way of summing for all, so that equal vectors have equal scores.
+                score = (q_mat[at[0]] * mat[at[1]]).sum(1)
                 yield pa.RecordBatch.from_arrays([pa.array(qid, pa.int64()), pa.array(vid, pa.int64()), pa.array(score, pa.float64())], names=["query_id", "vec_id", "score"])
 
     found = work.mapInArrow(search, "query_id long, vec_id long, score double")
