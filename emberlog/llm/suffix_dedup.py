@@ -5,18 +5,21 @@ in it, its anchor. Equal strings have equal anchors, so a shuffle by anchor brin
 together. The strings that share one occurrence of an anchor are one window of text.
 
 1. Windows are dealt by anchor as hashes. Windows that are alike as a whole keep only
-   their earliest, partly before the shuffle; the others are covered by it.
-2. Anchors with windows that differ get the windows' text, by a second pass with a
-   filter of fixed size. Tasks take whole groups and sort the suffixes of their windows
-   in two stages: those smaller than their successors directly, the others by scans of
-   the buckets of first bytes. Adjacent common prefixes of 100 bytes and more show the
-   repeats, of which the earliest stays.
+   their earliest, partly before the shuffle; the others are covered by it. Alike means
+   equal in two hashes of 64 bits: among n windows the chance of one error is n^2 / 2^129.
+2. Anchors with windows that differ get the windows' text. Tasks take whole groups and
+   sort the suffixes of their windows in two stages: those smaller than their successors
+   directly, the others by scans of the buckets of first bytes. Adjacent common prefixes
+   of 100 bytes and more show the repeats, of which the earliest stays.
+3. Anchors with more windows than a group may have are dealt once more, their windows cut
+   by the smallest hash of longer strings. The last level has strings of 100 bytes, whose
+   equals are alike as a whole, so every group becomes small enough to sort.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
@@ -26,10 +29,10 @@ from pyspark.sql import functions as F
 from .common import small_batches, table, written
 
 LENGTH, ANCHOR = 100, 32
-#: Bits of the filter that tells which windows the second pass sends: 32 MB, whatever the input.
-FILTER_BITS = 28
-#: Windows that a task sorts at once, and those of one anchor from which digests are dealt out instead.
-BATCH_WINDOWS, GROUP_WINDOWS = 16_384, 100_000
+#: Bytes of the strings that deal windows at each level; the last deals whole strings.
+ANCHORS = (ANCHOR, 64, 88, LENGTH)
+#: Windows that a task sorts at once, and those from which an anchor's windows go to the next level.
+BATCH_WINDOWS, GROUP_WINDOWS = 16_384, 2_048
 #: Rows of anchors that a partition compares before the shuffle.
 FLUSH_ROWS = 400_000
 SEGMENT = 1 << 20
@@ -211,10 +214,6 @@ def repeats(wins: list[bytes], uid: np.ndarray, lo: np.ndarray, length: int = LE
     return of[again], order[again] - starts[of[again]]
 
 
-def _spots(uid: np.ndarray, at: np.ndarray) -> np.ndarray:
-    return _mix(_mix(uid.view("<u8")) ^ at.view("<u8")) & np.uint64((1 << FILTER_BITS) - 1)
-
-
 def _ordered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(_uid long, _id, _text): _uid is in the order of ids; it is the id where that is a number, never null and never repeated."""
     rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
@@ -240,27 +239,28 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     small_batches(spark)
     rows = _ordered(docs, id_col, text_col)
 
-    def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def anchors(batches: Iterator[pa.RecordBatch], anchor: int) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
 
         def flush() -> pa.RecordBatch:
-            h, w, uid, lo, size = (np.concatenate(x) for x in zip(*held))
+            h, w, uid, of, lo, size = (np.concatenate(x) for x in zip(*held))
             order = np.lexsort((lo, uid, w, h))
-            h, w, uid, lo, size = h[order], w[order], uid[order], lo[order], size[order]
+            h, w, uid, of, lo, size = h[order], w[order], uid[order], of[order], lo[order], size[order]
             first = np.concatenate([[True], (h[1:] != h[:-1]) | (w[1:] != w[:-1])])
             c_uid, c_lo, c_hi = merged(uid[~first], lo[~first], (lo + size)[~first])
             none = np.zeros(len(c_uid), np.uint64)
             at = np.concatenate([(lo << 32 | size)[first], c_lo << 32 | (c_hi - c_lo)])
             return pa.RecordBatch.from_arrays(
-                [pa.array(x) for x in (np.concatenate([h[first], _mix(c_uid.view("<u8"))]).view("<i8"), np.concatenate([w[first], none]).view("<i8"), np.concatenate([uid[first], c_uid]), at, np.arange(len(at)) >= first.sum())],
-                names=["h", "w", "uid", "at", "covered"],
+                [pa.array(x) for x in (np.concatenate([h[first], _mix(c_uid.view("<u8"))]).view("<i8"), np.concatenate([w[first], none]).view("<i8"), np.concatenate([uid[first], c_uid]), np.concatenate([of[first], np.zeros(len(c_uid), np.int64)]), at, np.arange(len(at)) >= first.sum())],
+                names=["h", "w", "uid", "of", "at", "covered"],
             )
 
         for b in batches:
-            for uid, t in zip(b.column("_uid").to_pylist(), b.column("_text").to_pylist()):
-                h, w, lo, size = windows(t.encode())
+            for uid, above, start, raw in zip(*(b.column(c).to_pylist() for c in ("uid", "h", "lo", "raw"))):
+                h, w, lo, size = windows(raw, anchor=anchor)
                 if len(h):
-                    held.append((h, w, np.full(len(h), uid, np.int64), lo, size))
+                    h = _mix(h ^ np.uint64(above & (2**64 - 1))) if above else h
+                    held.append((h, w, np.full(len(h), uid, np.int64), np.full(len(h), start, np.int64), lo + start, size))
                     n += len(h)
                 if n >= FLUSH_ROWS:
                     yield flush()
@@ -269,127 +269,100 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             yield flush()
 
     def group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Marks windows that an equal one covers, and the earliest ones of anchors that have several."""
+        """Marks windows that an equal one covers, and the earliest ones of anchors that have several; large: more than a group may have."""
+
+        def rows_out(covered: np.ndarray, need: np.ndarray, large: np.ndarray) -> pa.RecordBatch:
+            both = np.concatenate([covered, need])
+            is_large = np.concatenate([np.zeros(len(covered), bool), large])
+            return pa.RecordBatch.from_arrays([*(pa.array(both[:, i]) for i in range(4)), pa.array(np.arange(len(both)) < len(covered)), pa.array(is_large)], names=["h", "uid", "of", "at", "covered", "large"])
+
         last = None  # (h, w) of the row before
-        pending = np.empty((0, 2), np.int64)  # the only earliest window of an anchor so far
-        several = False
+        pending = np.empty((0, 4), np.int64)  # earliest windows of the last anchor, as long as they may be a group
+        going_large = False
         for b in batches:
             covered = b.column("covered").to_numpy(zero_copy_only=False)
-            h, w, uid, at = (b.column(c).to_numpy() for c in ("h", "w", "uid", "at"))
-            out = [np.stack([uid[covered], at[covered]], 1)]
-            h, w, uid, at = h[~covered], w[~covered], uid[~covered], at[~covered]
-            need = np.empty((0, 2), np.int64)
+            w, rows_in = b.column("w").to_numpy(), np.stack([b.column(c).to_numpy() for c in ("h", "uid", "of", "at")], 1)
+            done = [rows_in[covered]]
+            w, rows_in = w[~covered], rows_in[~covered]
+            h = rows_in[:, 0]
+            need, large = pending[:0], np.empty(0, bool)
             if len(h):
                 ph = np.concatenate([[h[0] - 1 if last is None else last[0]], h[:-1]])
                 pw = np.concatenate([[0 if last is None else last[1]], w[:-1]])
                 new = (h != ph) | (w != pw)
-                out.append(np.stack([uid[~new], at[~new]], 1))
-                going = last is not None and h[0] == last[0]
-                held = pending if going else pending[:0]
-                rep_h = np.concatenate([np.full(len(held), h[0]), h[new]])
-                rep = np.concatenate([held, np.stack([uid[new], at[new]], 1)])
-                _, place, count = np.unique(rep_h, return_inverse=True, return_counts=True)
-                many = count[place] > 1
-                if going and several:
-                    many |= rep_h == h[0]
-                need = rep[many]
-                tail = rep_h == h[-1]
-                several = bool(many[tail].any()) or (several and going and h[-1] == h[0])
-                pending = rep[tail][:0] if several else rep[tail]
+                done.append(rows_in[~new])
+                was = last[0] if last is not None and going_large else None
+                rep = np.concatenate([pending, rows_in[new]])
+                _, place, count = np.unique(rep[:, 0], return_inverse=True, return_counts=True)
+                count = count[place]
+                if was is not None:
+                    count[rep[:, 0] == was] += GROUP_WINDOWS
+                large = count > GROUP_WINDOWS
+                tail = rep[:, 0] == h[-1]
+                going_large = bool(large[tail].any()) or was == h[-1]
+                keep = tail & ~large
+                pending = rep[keep]
+                out = (count > 1) & ~keep
+                need, large = rep[out], large[out]
                 last = (h[-1], w[-1])
-            done = np.concatenate(out)
-            both = np.concatenate([done, need])
-            yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array(np.arange(len(both)) < len(done))], names=["uid", "at", "covered"])
-
-    dealt = rows.select("_uid", "_text").mapInArrow(anchors, "h long, w long, uid long, at long, covered boolean")
-    marks = written(dealt.repartition("h").sortWithinPartitions("h", "w", "uid", "at").mapInArrow(group, "uid long, at long, covered boolean"), "suffix-marks")
-
-    def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            spot = _spots(b.column("uid").to_numpy(), b.column("at").to_numpy())
-            yield pa.RecordBatch.from_arrays([pa.array((spot >> np.uint64(6)).astype(np.int64)), pa.array((np.uint64(1) << (spot & np.uint64(63))).view("<i8"))], names=["word", "bits"])
-
-    words = marks.where("not covered").select("uid", "at").mapInArrow(bits, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
-    table_of = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
-    table_of[words.column("word").to_numpy()] = words.column("bits").to_numpy().view("<u8")
-    wanted = spark.sparkContext.broadcast(table_of)
+            yield rows_out(np.concatenate(done), need, large)
+        if len(pending) > 1:
+            yield rows_out(pending[:0], pending, np.zeros(len(pending), bool))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = wanted.value
+        """The text of the windows that need it."""
         for b in batches:
-            hs, uids, ats, wins = [], [], [], []
-            for uid, t in zip(b.column("_uid").to_pylist(), b.column("_text").to_pylist()):
-                raw = t.encode()
-                h, _, lo, size = windows(raw)
-                if not len(h):
-                    continue
-                at = lo << 32 | size
-                spot = _spots(np.full(len(at), uid, np.int64), at)
-                hit = np.flatnonzero((seen[(spot >> np.uint64(6)).astype(np.int64)] >> (spot & np.uint64(63))) & np.uint64(1))
-                hs.append(h[hit].view("<i8")), uids.append(np.full(len(hit), uid, np.int64)), ats.append(at[hit])
-                wins += [raw[a : a + s] for a, s in zip(lo[hit].tolist(), size[hit].tolist())]
-            if wins:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hs)), pa.array(np.concatenate(uids)), pa.array(np.concatenate(ats)), pa.array(wins, pa.binary())], names=["h", "uid", "at", "win"])
+            for uid, start, raw, need in zip(*(b.column(c).to_pylist() for c in ("uid", "lo", "raw")), b.column("need")):
+                part = need.values
+                at = part.field("at").to_numpy()
+                lo, size = at >> 32, at & 0xFFFFFFFF
+                wins = [raw[a : a + n] for a, n in zip((lo - start).tolist(), size.tolist())]
+                yield pa.RecordBatch.from_arrays([part.field("h"), pa.array(np.full(len(at), uid, np.int64)), pa.array(lo), part.field("large"), pa.array(wins, pa.binary())], names=["h", "uid", "lo", "large", "raw"])
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Stretches covered, or digests (d1, d2) of the strings of a group that is too large for one task."""
+        """Stretches that repeat, by whole groups."""
 
-        def rows_out(uid, at, d1=None, d2=None) -> pa.RecordBatch:
-            none = pa.nulls(len(uid), pa.int64())
-            return pa.RecordBatch.from_arrays([pa.array(uid), pa.array(at), none if d1 is None else pa.array(d1), none if d2 is None else pa.array(d2)], names=["uid", "at", "d1", "d2"])
-
-        def sort(h, uid, at, wins) -> pa.RecordBatch:
-            n = np.unique(h, return_inverse=True, return_counts=True)
-            some = np.flatnonzero(n[2][n[1]] > 1)
-            uid, lo = uid[some], at[some] >> 32
-            no, start = repeats([wins[i] for i in some], uid, lo) if len(some) else (np.empty(0, int),) * 2
+        def sort(h, uid, lo, wins) -> pa.RecordBatch:
+            no, start = repeats(wins, uid, lo)
             place = lo[no] + start
             m_uid, m_lo, m_hi = merged(uid[no], place, place + LENGTH)
-            return rows_out(m_uid, m_lo << 32 | (m_hi - m_lo))
+            return pa.RecordBatch.from_arrays([pa.array(m_uid), pa.array(m_lo << 32 | (m_hi - m_lo))], names=["uid", "at"])
 
-        def digests(uid, at, wins) -> Iterator[pa.RecordBatch]:
-            for u, a, win in zip(uid.tolist(), (at >> 32).tolist(), wins):
-                value = _VALUE[np.frombuffer(win, np.uint8)]
-                lo = np.arange(len(win) - LENGTH + 1)
-                d = [_mix(_stretch(_sums(value, base), lo, lo + LENGTH, base)).view("<i8") for base in (_B1, _B3)]
-                yield rows_out(np.full(len(lo), u), (lo + a) << 32 | LENGTH, *d)
+        def joined(held):
+            return *(np.concatenate([x[i] for x in held]) for i in range(3)), [w for x in held for w in x[3]]
 
-        held, n, large = [], 0, None
+        held, n = [], 0
         for b in batches:
             if not b.num_rows:
                 continue
-            h, uid, at, wins = b.column("h").to_numpy(), b.column("uid").to_numpy(), b.column("at").to_numpy(), b.column("win").to_pylist()
-            if large is not None:  # the group goes on
-                more = int(np.argmax(h != large)) if (h != large).any() else len(h)
-                yield from digests(uid[:more], at[:more], wins[:more])
-                h, uid, at, wins = h[more:], uid[more:], at[more:], wins[more:]
-                if not len(h):
-                    continue
-                large = None
-            held.append((h, uid, at, wins))
-            n += len(h)
+            held.append((b.column("h").to_numpy(), b.column("uid").to_numpy(), b.column("lo").to_numpy(), b.column("raw").to_pylist()))
+            n += b.num_rows
             if n < BATCH_WINDOWS:
                 continue
-            h, uid, at = (np.concatenate([x[i] for x in held]) for i in range(3))
-            wins = [w for x in held for w in x[3]]
+            h, uid, lo, wins = joined(held)
             cut = int(np.searchsorted(h, h[-1]))  # the last group may go on
             if cut:
-                yield sort(h[:cut], uid[:cut], at[:cut], wins[:cut])
-            held, n = [(h[cut:], uid[cut:], at[cut:], wins[cut:])], len(h) - cut
-            if n >= GROUP_WINDOWS:
-                large = h[-1]
-                yield from digests(uid[cut:], at[cut:], wins[cut:])
-                held, n = [], 0
+                yield sort(h[:cut], uid[:cut], lo[:cut], wins[:cut])
+            held, n = [(h[cut:], uid[cut:], lo[cut:], wins[cut:])], len(h) - cut
         if n:
-            h, uid, at = (np.concatenate([x[i] for x in held]) for i in range(3))
-            yield sort(h, uid, at, [w for x in held for w in x[3]])
-
-    sent = rows.select("_uid", "_text").mapInArrow(send, "h long, uid long, at long, win binary")
-    solved = written(sent.repartition("h").sortWithinPartitions("h", "uid", "at").mapInArrow(solve, "uid long, at long, d1 long, d2 long"), "suffix-solved")
-    rest = solved.where("d1 is not null")
-    earliest = rest.groupBy("d1", "d2").agg(F.min(F.struct("uid", "at")).alias("m"))
-    again = rest.join(earliest, ["d1", "d2"]).where((F.col("uid") != F.col("m.uid")) | (F.col("at") != F.col("m.at")))
-    covered = marks.where("covered").select("uid", "at").union(solved.where("d1 is null").select("uid", "at")).union(again.select("uid", "at"))
+            yield sort(*joined(held))
+
+    # Whole texts first, then the windows of anchors that are too large; lo: where a row's bytes start in its text.
+    source = rows.select(F.col("_uid").alias("uid"), F.lit(0).cast("long").alias("h"), F.lit(0).cast("long").alias("lo"), F.col("_text").cast("binary").alias("raw"))
+    covered = None
+    for anchor in ANCHORS:
+        dealt = source.mapInArrow(partial(anchors, anchor=anchor), "h long, w long, uid long, of long, at long, covered boolean")
+        marks = written(dealt.repartition("h").sortWithinPartitions("h", "w", "uid", "at").mapInArrow(group, "h long, uid long, of long, at long, covered boolean, large boolean"), "suffix-marks")
+        # As many for a row as its bytes have windows, about one in 35 bytes.
+        need = marks.where("not covered").groupBy("uid", F.col("of").alias("lo")).agg(F.collect_list(F.struct("at", "h", "large")).alias("need"))
+        sent = written(source.drop("h").join(need.hint("shuffle_hash"), ["uid", "lo"]).mapInArrow(send, "h long, uid long, lo long, large boolean, raw binary"), "suffix-windows")
+        small = sent.where("not large").select("h", "uid", "lo", "raw")
+        solved = written(small.repartition("h").sortWithinPartitions("h", "uid", "lo").mapInArrow(solve, "uid long, at long"), "suffix-solved")
+        found = marks.where("covered").select("uid", "at").union(solved)
+        covered = found if covered is None else covered.union(found)
+        source = sent.where("large").select("uid", "h", "lo", "raw")
+        if source.isEmpty():
+            break
     per_doc = covered.groupBy("uid").agg(F.collect_list("at").alias("ats")).select(F.col("uid").alias("_uid"), "ats")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

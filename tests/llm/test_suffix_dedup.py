@@ -43,7 +43,7 @@ def make_rows():
 
 @pytest.mark.parametrize("batch,group,flush", [(16_384, 100_000, 400_000), (40, 60, 50), (2, 3, 5)])
 def test_equals_brute_force(spark, monkeypatch, batch, group, flush):
-    """Also with batches so small that groups go over several, and anchors' groups so large that digests are dealt out."""
+    """Also with batches so small that groups go over several, and anchors' groups so large that they are dealt by further levels."""
     monkeypatch.setattr(S, "BATCH_WINDOWS", batch)
     monkeypatch.setattr(S, "GROUP_WINDOWS", group)
     monkeypatch.setattr(S, "FLUSH_ROWS", flush)
@@ -58,6 +58,22 @@ def test_equals_brute_force(spark, monkeypatch, batch, group, flush):
         assert bytes(got[i]["kept"]) == want[k][0]
 
 
+@pytest.mark.parametrize("common", [40, 70, 95, 130])
+def test_a_hot_anchor_is_dealt_by_further_levels(spark, monkeypatch, common):
+    """One passage in every row, among text that differs or that a few rows share: groups stay small, nothing is lost."""
+    monkeypatch.setattr(S, "GROUP_WINDOWS", 8)
+    rng = random.Random(common)
+    passage = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    hot, near = passage(common), [passage(60) for _ in range(5)]
+    rows = [(i, (rng.choice(near) if i % 3 else passage(50)) + hot + (rng.choice(near) if i % 2 else passage(70))) for i in range(90)]
+    want = brute(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3).cache()
+    got = {r["doc_id"]: r for r in S.remove_repeats(df).collect()}
+    for k, (i, _) in enumerate(rows):
+        assert [(s["start"], s["end"]) for s in got[i]["spans"]] == want[k][1], i
+        assert bytes(got[i]["kept"]) == want[k][0]
+
+
 def test_repeated_and_null_ids(spark):
     rng = random.Random(1)
     a, b = "lorem ipsum " * 12, "".join(rng.choice("abcdefghijk") for _ in range(230))
