@@ -26,17 +26,29 @@ FOCUS, COORDINATE_FROM = 6, 0.5
 #: Query blocks whose number and bound, 16 bytes each, are broadcast.
 MOST_BROADCAST = 500_000
 _SLACK = 1e-9
+_LONG, _DOUBLE = np.iinfo(np.int64), np.finfo(np.float64)
 
 
 def products(mat: np.ndarray, q: np.ndarray) -> np.ndarray:
     """Exact integer products: in doubles where all sums stay below 2^53, else in Python's integers."""
-    most = np.abs(mat).max(initial=0) * np.abs(q).max(initial=0) * len(q)
+    with np.errstate(over="ignore"):
+        most = np.abs(mat).max(initial=0) * np.abs(q).max(initial=0) * len(q)
     if most < 2**53:
         return (mat @ q).astype(np.int64)
     exact = np.vectorize(int, otypes=[object])
     return exact(mat) @ exact(q) if len(mat) else np.empty(0, np.int64)
 
 
+def in_range(found: np.ndarray) -> np.ndarray:
+    """Products as longs; those beyond the range of a long become the largest or smallest."""
+    return found if found.dtype == np.int64 else np.array([min(max(x, _LONG.min), _LONG.max) for x in found], np.int64)
+
+
+def below(x: int) -> float:
+    """A double that is x or less: a long may have no double of its own."""
+    return float(x) if abs(x) < 2**53 else float(np.nextafter(float(x), -np.inf))
+
+
 def candidates(q: np.ndarray, floor: float, mat: np.ndarray, lens: np.ndarray, unit: np.ndarray) -> np.ndarray:
     """Rows of a bucket (longest first) that may have a product of floor or more with q."""
     length = float(np.sqrt(q @ q))
@@ -72,14 +84,15 @@ def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
         near = np.flatnonzero(scores >= cut)
     else:
         near = np.arange(len(scores))
-    order = np.lexsort((ids[near].astype(np.int64), -scores[near].astype(np.float64) if scores.dtype != object else [-s for s in scores[near]]))
+    order = np.lexsort((ids[near], ~scores[near]))
     return near[order][:k]
 
 
 def top_products(queries: DataFrame, base: DataFrame, k: int = 5, scale: float = 256.0, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): the k largest integer products of each query with other rows of base.
 
-    Components x count as floor(scale * x). Rows of the query's own id are no candidates;
+    Components x count as floor(scale * x), the largest double at most. Products are
+    exact; those beyond the range of a long count as the largest or smallest long. Rows of the query's own id are no candidates;
     ties go to smaller ids; fewer candidates give fewer rows. Vectors that are null, hold
     null or non-finite components, or have another number of components than most, take
     no part, nor do null ids. Other columns are ignored. An empty table gives an empty one.
@@ -88,8 +101,13 @@ def top_products(queries: DataFrame, base: DataFrame, k: int = 5, scale: float =
     small_batches(spark)
     dim = usual_size(base, vec_col)
 
+    def whole(x):
+        # floor() gives a long; from 2^53 on a double is whole anyway.
+        y = F.least(F.greatest(x * scale, F.lit(float(_DOUBLE.min))), F.lit(float(_DOUBLE.max)))
+        return F.when(F.abs(y) < 2**53, F.floor(y).cast("double")).otherwise(y)
+
     def scaled(df: DataFrame) -> DataFrame:
-        return valid(df, dim, id_col, vec_col).select(F.lit(0).alias("cell"), "id", F.transform("vec", lambda x: F.floor(x * scale).cast("double")).alias("vec")).withColumn("len", F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x))
+        return valid(df, dim, id_col, vec_col).select(F.lit(0).alias("cell"), "id", F.transform("vec", whole).alias("vec")).withColumn("len", F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x))
 
     buckets = written(blocks(scaled(base), dim, BUCKET_ROWS, [-F.col("len"), F.col("id")]).withColumn("part", F.monotonically_increasing_id()), "buckets")
 
@@ -108,7 +126,7 @@ def top_products(queries: DataFrame, base: DataFrame, k: int = 5, scale: float =
             out = []
             for i, v in zip(b.column("id").to_pylist(), b.column("vec").to_pylist()):
                 other = mat[ids != i]
-                out.append(float(np.sort(products(other, np.array(v)))[-k]) if len(other) >= k else float("-inf"))
+                out.append(below(int(np.sort(in_range(products(other, np.array(v))))[-k])) if len(other) >= k else float("-inf"))
             yield pa.RecordBatch.from_arrays([b.column("cell"), b.column("id"), b.column("vec"), b.column("len"), pa.array(out, pa.float64())], names=["cell", "id", "vec", "len", "floor"])
 
     # The bound travels as one more component.
@@ -148,12 +166,12 @@ def top_products(queries: DataFrame, base: DataFrame, k: int = 5, scale: float =
                     floor, q = q[-1], q[:-1]
                     rows = candidates(q, floor, mat, lens, unit)
                     rows = rows[ids[rows] != q_id]
-                    got = products(mat[rows], q)
+                    got = in_range(products(mat[rows], q))
                     rows, got = rows[got >= floor], got[got >= floor]
                     top = best(got, ids[rows], k)
                     qid += [int(q_id)] * len(top)
                     vid += ids[rows[top]].tolist()
-                    score += [int(x) for x in got[top]]
+                    score += got[top].tolist()
                 yield pa.RecordBatch.from_arrays([pa.array(qid, pa.int64()), pa.array(vid, pa.int64()), pa.array(score, pa.int64())], names=["query_id", "vec_id", "score"])
 
     found = work.mapInArrow(verify, "query_id long, vec_id long, score long")

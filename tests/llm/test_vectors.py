@@ -1,3 +1,6 @@
+import math
+import sys
+
 import numpy as np
 import pytest
 
@@ -65,6 +68,21 @@ def test_large_components_stay_exact():
     assert topk.products(a, a[0]).tolist() == [2**80 + 9, 2**40 + 3 * 2**41]
 
 
+def test_components_and_products_beyond_a_long(spark):
+    """Whole components of any size count exactly, products are cut to the range of a long, ties go to smaller ids."""
+    mat = [[1e18, 1.0], [1e18, 2.0], [-1e18, 3.0], [2.0**20, 1.0], [2.0**20, 1.0 + 2.0**-8], [1.7e308, -1.7e308], [0.0, 0.0]]
+    base = spark.createDataFrame(list(enumerate(mat)), "vec_id long, embedding array<double>")
+    most, least = 2**63 - 1, -(2**63)
+    whole = [[min(max(int(math.floor(256 * x)) if abs(x) < 1e300 else int(math.copysign(sys.float_info.max, x)), -(2**1024)), 2**1024) for x in v] for v in mat]
+    got = {}
+    for r in topk.top_products(base, base, 4).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    for q in range(len(mat)):
+        score = {i: min(max(sum(a * b for a, b in zip(whole[q], whole[i])), least), most) for i in range(len(mat)) if i != q}
+        want = sorted(score, key=lambda i: (-score[i], i))[:4]
+        assert sorted(got[q]) == [(n + 1, i, score[i]) for n, i in enumerate(want)], q
+
+
 def test_fewer_candidates_and_empty_tables(spark):
     few = frame(spark, rows_of(np.eye(8)[:3].astype(np.float32)))
     assert topk.top_products(few, few, 5).count() == 6
