@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .ann import op8_ann
 from .bpe import op4_byte_bpe
+from .conversation_trie import OP11_SQL, op11_conversation_trie
 from .mixing import OP6_SQL, op6_mixing
 from .pii import op5_pii
 from .quality import op1_quality
@@ -25,5 +26,6 @@ QUERIES = {
     "op8_ann": op8_ann,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_simhash": op10_simhash,
+    "op11_conversation_trie": op11_conversation_trie,
 }
-ORACLE_SQL = {"op2_topk": OP2_SQL, "op6_mixing": OP6_SQL}
+ORACLE_SQL = {"op2_topk": OP2_SQL, "op6_mixing": OP6_SQL, "op11_conversation_trie": OP11_SQL}
