@@ -14,6 +14,7 @@ from .token_counts import op3_token_counts
 from .topk import op2_topk
 from .topk import SQL as OP2_SQL
 from .toxicity import op7_toxicity
+from .warc import OP13_SQL, op13_warc
 
 QUERIES = {
     "op1_quality": op1_quality,
@@ -27,5 +28,6 @@ QUERIES = {
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_simhash": op10_simhash,
     "op11_conversation_trie": op11_conversation_trie,
+    "op13_warc": op13_warc,
 }
-ORACLE_SQL = {"op2_topk": OP2_SQL, "op6_mixing": OP6_SQL, "op11_conversation_trie": OP11_SQL}
+ORACLE_SQL = {"op2_topk": OP2_SQL, "op6_mixing": OP6_SQL, "op11_conversation_trie": OP11_SQL, "op13_warc": OP13_SQL}
