@@ -9,6 +9,7 @@ from .mixing import OP6_SQL, op6_mixing
 from .pii import op5_pii
 from .quality import op1_quality
 from .simhash import op10_simhash
+from .spelling import OP12_SQL, op12_spelling
 from .suffix_dedup import op9_suffix_dedup
 from .token_counts import op3_token_counts
 from .topk import op2_topk
@@ -28,6 +29,13 @@ QUERIES = {
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_simhash": op10_simhash,
     "op11_conversation_trie": op11_conversation_trie,
+    "op12_spelling": op12_spelling,
     "op13_warc": op13_warc,
 }
-ORACLE_SQL = {"op2_topk": OP2_SQL, "op6_mixing": OP6_SQL, "op11_conversation_trie": OP11_SQL, "op13_warc": OP13_SQL}
+ORACLE_SQL = {
+    "op2_topk": OP2_SQL,
+    "op6_mixing": OP6_SQL,
+    "op11_conversation_trie": OP11_SQL,
+    "op12_spelling": OP12_SQL,
+    "op13_warc": OP13_SQL,
+}
