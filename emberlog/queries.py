@@ -10,7 +10,6 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .functions.normalize import display_timestamp, epoch_ms, parse_severity, severity_rank
 from .operators import analysis, bursts, drilldown, export, filters, navigation, state
@@ -593,18 +592,6 @@ def web_access_roundtrip(spark, sf_dir):
     return out
 
 
-_S = T.StringType()
-_struct = lambda **f: T.StructType([T.StructField(k, v) for k, v in f.items()])
-WINDOWS_SCHEMA = T.StructType([
-    T.StructField("System", T.StructType([
-        T.StructField("Provider", T.StructType([T.StructField("@Name", _S)])), T.StructField("EventID", _S), T.StructField("Level", _S),
-        T.StructField("TimeCreated", T.StructType([T.StructField("@SystemTime", _S)])), T.StructField("Computer", _S),
-    ])),
-    T.StructField("EventData", _struct(Data=T.ArrayType(T.StructType([T.StructField("@Name", _S), T.StructField("#text", _S)])))),
-    T.StructField("RenderingInfo", _struct(Message=_S)),
-])
-
-
 @query(f"""SELECT '/logs/part-' || (event_id % 4) || '.log-' || ((event_id + 2) // 400) AS source_path, row_number() OVER (PARTITION BY event_id % 4, (event_id + 2) // 400 ORDER BY event_id) AS record_number,
   CASE event_type WHEN 'error' THEN 'ERROR' WHEN 'purchase' THEN 'WARN' ELSE 'INFO' END AS severity, 'svc-' || (user_id % 7) AS subsystem, '00' || (user_id % 9) AS event_code,
   'said ' || event_type AS message, (epoch_us(ts) // 1000) AS ms, json_extract_string(props, '$.k') AS k, 'user-' || user_id AS computer FROM events""")
@@ -617,7 +604,7 @@ def xml_roundtrip(spark, sf_dir):
         F.lit('</Data><Data Name="x">1</Data><Data Name="x">2</Data></EventData><RenderingInfo><Message>said '), "event_type", F.lit("</Message></RenderingInfo></Event>"),
     )
     docs = documents_of(rendered(spark, sf_dir, element), '<?xml version="1.0"?>\n<Events>', "\n", "</Events>")
-    got = ingest_xml_documents(docs, WINDOWS_EVENTS, WINDOWS_SCHEMA).records
+    got = ingest_xml_documents(docs, WINDOWS_EVENTS).records
     of = lambda k: F.try_element_at("attributes", F.lit(k))
     return got.select("source_path", "record_number", "severity", "subsystem", "event_code", "message", epoch_ms(F.col("event_ts")).alias("ms"), of("EventData.NamedData.k").alias("k"), of("Computer").alias("computer"))
 

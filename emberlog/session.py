@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+ROOT = str(Path(__file__).resolve().parents[1])
+
 
 def prepared(spark: SparkSession) -> SparkSession:
     """UTC, the last of equal keys wins in maps and JSON objects, and adaptive execution."""
@@ -39,3 +44,19 @@ def settled(df: DataFrame) -> DataFrame:
     """df checkpointed in the shared folder: what depends on its partitions stays as it is, however often it is read."""
     shared_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df as a Parquet table in the shared folder, computed once."""
+    path = f"{shared_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def importable(spark: SparkSession) -> None:
+    """Python workers on this machine find this library, wherever the driver was started; on a cluster it is installed or sent as usual. Arrow batches are bounded."""
+    paths = spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep)
+    if ROOT not in paths:
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([*filter(None, paths), ROOT])
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4096")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))

@@ -1,140 +1,477 @@
-"""XML elements as records.
+"""XML elements as records, cut by their whole path from files of any size.
 
-Elements are cut out as text, in parallel over documents or, for files, by splitting at
-the closing tag; each is then read by from_xml with a schema of strings only, so that
-007 stays 007.
+Files are read as pieces that end at ">". What a split does to the stack of open elements
+is the names that it closes and the names that it opens, which compose: one pass tells this for
+each lexical state that the split may begin in (text, comment, CDATA, quoted value, ...),
+a prefix over the splits of a file gives the true state and stack at each beginning, and
+a second pass cuts the elements. Those that lie across splits are put together by
+their number. A file of one split, and a document in a row, need the second pass only.
+
+Elements become a map of dotted paths, so that no schema is needed and 007 stays 007.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import json
+import re
+from collections.abc import Iterator
+from xml.parsers import expat
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..plans.ingest import SOURCE, IngestResult, error_when, finish, no_notes
 from ..profile import Profile
-from ..session import prepared
-from .lines import source_name
+from ..session import importable, prepared, stored
+from .lines import MOST_SPLITS, source_name
 
-OPTIONS = {"attributePrefix": "@", "valueTag": "#text", "inferSchema": "false", "ignoreNamespace": "false", "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
+#: Where a piece may begin: in text, or in what ends with these before ">", or in a quoted value.
+MODES = ("", "--", "]]", "?", "]", '"', "'")
+_QUOTED = re.compile(r"\"[^\"]*\"|'[^']*'")
+_NAME = re.compile(r"[^\s/<>!?=\"']+")
 
 
-def element_name(profile: Profile, root: str = "") -> str:
-    return profile.record_path.strip().split(".")[-1] or root
+def local(name: str) -> str:
+    return name.rpartition(":")[2]
 
 
-def cut_elements(documents: DataFrame, tag: str) -> DataFrame:
-    """(SOURCE, record_number, raw_source): each element named tag of documents(SOURCE, document), in order from 1. Elements of the name do not nest."""
-    body = F.regexp_extract_all("document", F.lit(rf"(?s)<{tag}(?=[\s>/])(?:[^>]*/>|.*?</{tag}\s*>)"), F.lit(0))
-    return documents.select(*SOURCE, F.posexplode(body).alias("_pos", "raw_source")).select(*SOURCE, (F.col("_pos") + 1).cast("long").alias("record_number"), "raw_source")
+def open_quote(text: str) -> str:
+    """The quotation mark that is open at the end of a tag's text, if any."""
+    if '"' not in text and "'" not in text:
+        return ""
+    rest = _QUOTED.sub("", text)
+    return next((c for c in rest if c in "\"'"), "")
 
 
-def read_elements(spark: SparkSession, paths: str | list[str], tag: str, session_id: str = "default") -> DataFrame:
-    """As cut_elements(), for large files: pieces that end at the closing tag are read in parallel and numbered by file."""
-    prepared(spark)
-    raw = spark.read.option("lineSep", f"</{tag}>").text(paths).select("value", F.col("_metadata.file_path").alias("source_path"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_at"))
-    start = F.regexp_instr("value", F.lit(rf"<{tag}[\s>]"))
-    cut = raw.where(start > 0).withColumn("raw_source", F.concat(F.substr("value", F.regexp_instr("value", F.lit(rf"<{tag}[\s>]"))), F.lit(f"</{tag}>")))
-    counts = cut.groupBy("source_path", "_block").agg(F.count("*").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.partitionBy("source_path").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    in_block = F.row_number().over(Window.partitionBy("source_path", "_block").orderBy("_at"))
-    return cut.withColumn("_in", in_block).join(counts.withColumn("_before", before).drop("_n"), ["source_path", "_block"]).select(
-        F.lit(session_id).alias("session_id"), "source_path", source_name(F.col("source_path")).alias("source_name"), (F.col("_before") + F.col("_in")).cast("long").alias("record_number"), "raw_source"
-    )
+class Scan:
+    """The stack of open elements over pieces of a document that end at ">"."""
 
+    def __init__(self, mode: str = "", stack: list[str] | None = None, done: bool = False):
+        self.mode, self.stack, self.done = mode, list(stack or ()), done
+        self.known = stack is not None
+        self.closed: list[str | None] = []
+        self.touched = False  # an element began and ended where nothing else is known to be open
+        self.error = ""
+        self.at = 0
 
-def learn_schema(elements: DataFrame, tag: str) -> T.StructType:
-    """The merged schema of all elements, strings only, learned by one job over them."""
-    spark = elements.sparkSession
-    rows = elements.select("raw_source")
-    return T.StructType() if rows.isEmpty() else spark.read.options(rowTag=tag, **OPTIONS).xml(rows.rdd.map(lambda r: r[0])).schema
-
-
-def _leaves(kind: T.DataType, value: Column, path: str, out: list[tuple[str, Column, bool]]) -> None:
-    """(dotted path, text, is a list) of every leaf under a struct of strings."""
-    if isinstance(kind, T.StructType):
-        named = None
-        for f in kind.fields:
-            if f.name.startswith("@xmlns") or f.name in ("_corrupt", "xmlns"):
-                continue
-            child = value.getField(f.name) if value is not None else F.col(f.name)
-            inner = f.dataType.elementType if isinstance(f.dataType, T.ArrayType) else f.dataType
-            if f.name == "Data" and isinstance(inner, T.StructType) and "@Name" in inner.names:
-                named = (child if isinstance(f.dataType, T.ArrayType) else F.when(child.isNotNull(), F.array(child)), "#text" in inner.names)
-                continue
-            _leaves(f.dataType, child, f"{path}.{f.name}" if path else f.name, out)
-        if named is not None:
-            out.append((f"{path}.NamedData" if path else "NamedData", named, True))
-    elif isinstance(kind, T.ArrayType):
-        out.append((path, F.to_json(value), True))
-    else:
-        out.append((path, value, False))
+    def _push(self, name: str) -> None:
+        if self.known and not self.stack and self.done:
+            self.error = "content behind the root element"
+        self.stack.append(name)
+
+    def _pop(self, name: str | None) -> None:
+        if not self.stack:
+            if self.known:
+                self.error = f"nothing is open that </{name}> closes"
+            self.closed.append(name)
+            self.touched = False
+            return
+        top = self.stack.pop()
+        self.touched = self.touched or not self.stack
+        if name is not None and top != name:
+            self.error = f"</{name}> closes <{top}>"
+        self.done = self.done or self.known and not self.stack
+
+    def feed(self, piece: str) -> str:
+        """open, close, empty or nothing; the tag begins at self.at, or in an earlier piece if that is -1."""
+        mode = self.mode
+        if mode:
+            self.at = -1
+            if mode in ("--", "]]", "?"):
+                self.mode = "" if piece.endswith(mode) else mode
+            elif mode == "]":
+                self.mode = "" if piece.rstrip().endswith("]") else mode
+            elif (end := piece.find(mode)) >= 0:
+                self.mode = open_quote(piece[end + 1 :])
+                if not self.mode and piece.endswith("/") and len(piece) > end + 1:
+                    self._pop(None)
+                    return "close"
+            return ""
+        i = self.at = piece.find("<")
+        if i < 0:
+            return ""
+        c = piece[i + 1 : i + 2]
+        if c == "/":
+            self._pop(local(piece[i + 2 :].strip()))
+            return "close"
+        if c == "?":
+            self.mode = "" if piece.endswith("?") and len(piece) > i + 2 else "?"
+            return ""
+        if c == "!":
+            if piece.startswith("<!--", i):
+                self.mode = "" if piece.endswith("--") and len(piece) >= i + 6 else "--"
+            elif piece.startswith("<![CDATA[", i):
+                self.mode = "" if piece.endswith("]]") and len(piece) >= i + 11 else "]]"
+            else:
+                self.mode = "]" if "[" in piece[i:] and not piece.rstrip().endswith("]") else ""
+            return ""
+        name = _NAME.match(piece, i + 1)
+        if not name:
+            self.error = "< without a name behind it"
+            return ""
+        self._push(local(name[0]))
+        self.mode = open_quote(piece[name.end() :])
+        if not self.mode and piece.endswith("/"):
+            self._pop(None)
+            return "empty"
+        return "open"
+
+
+def effects(pieces: Iterator[str]) -> dict[str, list]:
+    """For each state that the pieces may begin in: the state at their end, names closed, names opened, what is wrong, and whether an element began and ended with nothing else known to be open.
+
+    A scan that has come to the state of the first one is the same from there on.
+    """
+    parts = [Scan()]
+    others = {m: (Scan(m), None) for m in MODES[1:]}
+    apart = list(others)
+    for piece in pieces:
+        parts[-1].feed(piece)
+        for m in apart:
+            others[m][0].feed(piece)
+        met = [m for m in apart if others[m][0].mode == parts[-1].mode]
+        if met:
+            parts.append(Scan(parts[-1].mode))
+            for m in met:
+                others[m] = (others[m][0], len(parts) - 1)
+            apart = [m for m in apart if m not in met]
+
+    def joined(scans: list[Scan]) -> list:
+        closed: list[str | None] = []
+        opened: list[str] = []
+        error, touched = "", False
+        for s in scans:
+            error = error or s.error
+            for name in s.closed:
+                if not opened:
+                    closed.append(name)
+                    touched = False
+                    continue
+                if (top := opened.pop()) != name and name is not None:
+                    error = error or f"</{name}> closes <{top}>"
+                touched = touched or not opened
+            touched = touched or s.touched and not opened
+            opened += s.stack
+        return [scans[-1].mode, closed, opened, error, touched]
+
+    return {"": joined(parts)} | {m: joined([s] if k is None else [s, *parts[k:]]) for m, (s, k) in others.items()}
+
+
+def after(state: list, effect: dict[str, list]) -> list:
+    """[mode, stack, done, error] behind a split whose effect this is."""
+    mode, stack, done, error = state
+    end, closed, opened, wrong, touched = effect[mode]
+    stack = list(stack)
+    for name in closed:
+        if not stack:
+            wrong = wrong or f"nothing is open that </{name}> closes"
+            break
+        if (top := stack.pop()) != name and name is not None:
+            wrong = wrong or f"</{name}> closes <{top}>"
+    done = done or bool(closed) and not stack
+    if done and (opened or touched) and not stack:
+        wrong = wrong or "content behind the root element"
+    done = done or touched and not stack
+    if done and opened and not stack:
+        wrong = wrong or "content behind the root element"
+    return [end, stack + opened, done, error or wrong]
+
+
+def _runs(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[tuple[tuple, Iterator]]:
+    """Rows of batches by runs of equal keys, each run as an iterator of the rest of the row's values."""
+    from itertools import groupby
+
+    def rows() -> Iterator[tuple]:
+        for b in batches:
+            names = [n for n in b.schema.names if n not in keys]
+            yield from zip(zip(*(b.column(k).to_pylist() for k in keys)), zip(*(b.column(n).to_pylist() for n in names)))
+
+    for key, run in groupby(rows(), key=lambda r: r[0]):
+        yield key, (r[1] for r in run)
+
+
+def _pieces_of(text: str) -> Iterator[tuple[None, str]]:
+    at = 0
+    while (end := text.find(">", at)) >= 0:
+        yield None, text[at:end]
+        at = end + 1
+    yield None, text[at:]
+
+
+def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, Iterator]]:
+    """As _runs(), of whole documents."""
+    for b in batches:
+        for *source, document in zip(*(b.column(c).to_pylist() for c in (*SOURCE, "document"))):
+            yield (*source, 0, True), _pieces_of(document or "")
+
+
+# Elements as maps.
+
+
+def fields_of(element: str) -> tuple[list[tuple[str, str]], list[str]] | None:
+    """Dotted paths and texts of an element, and the paths that are lists; null if it is not well formed.
+
+    Attributes are @name, text beside attributes or children #text, names are local, repeated children a
+    list. Children <Data Name="K">v</Data> are NamedData.K. Texts are trimmed.
+    """
+    parser = expat.ParserCreate()
+    parser.buffer_text = True
+    parser.SetParamEntityParsing(expat.XML_PARAM_ENTITY_PARSING_NEVER)
+    stack: list[list] = [[{}, [], False]]
+
+    def start(name: str, attributes: dict) -> None:
+        own = {"@" + local(k): v for k, v in attributes.items() if k != "xmlns" and not k.startswith("xmlns:")}
+        stack.append([own, [], False, local(name)])
 
+    def end(_: str) -> None:
+        values, text, has_children, name = stack.pop()
+        own = "".join(text).strip()
+        value: object = own
+        if has_children or values:
+            if own:
+                values["#text"] = own
+            value = values
+        up = stack[-1][0]
+        stack[-1][2] = True
+        if len(stack) == 1:
+            up[""] = value
+            return
+        if name == "Data" and isinstance(value, dict) and value.get("@Name", "").strip():
+            if not isinstance(up.get("NamedData"), dict):
+                up["NamedData"] = {}
+            up = up["NamedData"]
+            name, value = value["@Name"].strip(), value.get("#text", "")
+        if name not in up:
+            up[name] = value
+        elif isinstance(up[name], list):
+            up[name].append(value)
+        else:
+            up[name] = [up[name], value]
 
-def _pair(k: Column, v: Column, many: Column) -> Column:
-    return F.struct(k.alias("k"), v.alias("v"), many.alias("many"))
+    parser.StartElementHandler, parser.EndElementHandler = start, end
+    parser.CharacterDataHandler = lambda data: stack[-1][1].append(data)
+    try:
+        parser.Parse(element.encode(), True)
+    except expat.ExpatError:
+        return None
+    record = stack[0][0][""]
+    if not isinstance(record, dict):
+        record = {"#text": record}
+    pairs: dict[str, str] = {}
+    lists: list[str] = []
 
+    def flat(value: object, path: str) -> None:
+        if isinstance(value, dict):
+            for k, v in value.items():
+                flat(v, f"{path}.{k}" if path else k)
+        elif isinstance(value, list):
+            pairs[path] = json.dumps(value, ensure_ascii=False, separators=(",", ":"), sort_keys=True)
+            lists.append(path)
+        else:
+            pairs[path] = value
 
-def _named_data(path: str, data: Column, has_text: bool) -> Column:
-    """Pairs of an array of <Data Name="K">v</Data>, K once with all its values."""
+    flat(record, "")
+    return list(pairs.items()), lists
 
-    def name_of(d: Column) -> Column:
-        return F.trim(d["@Name"])
 
-    def text_of(d: Column) -> Column:
-        return F.coalesce(F.trim(d["#text"]), F.lit("")) if has_text else F.lit("")
+_PARSED = "error struct<code:string,message:string>, fields map<string,string>, lists array<string>"
+_ERROR = pa.struct([("code", pa.string()), ("message", pa.string())])
+_BAD = {"code": "XML_PARSE_ERROR", "message": "the element is not well formed"}
 
-    own = F.filter(data, lambda d: F.coalesce(name_of(d), F.lit("")) != "")
 
-    def one(n: Column) -> Column:
-        values = F.transform(F.filter(own, lambda d: name_of(d) == n), text_of)
-        return _pair(F.concat(F.lit(path + "."), n), F.when(F.size(values) > 1, F.to_json(values)).otherwise(F.element_at(values, 1)), F.size(values) > 1)
+def _parsed(raw: list[str | None]) -> list[pa.Array]:
+    got = [None if r is None else fields_of(r) for r in raw]
+    return [
+        pa.array([_BAD if g is None and r is not None else None for g, r in zip(got, raw)], _ERROR),
+        pa.array([g and g[0] for g in got], pa.map_(pa.string(), pa.string())),
+        pa.array([g[1] if g else [] for g in got], pa.list_(pa.string())),
+    ]
 
-    return F.coalesce(F.transform(F.array_distinct(F.transform(own, name_of)), one), F.array().cast("array<struct<k:string,v:string,many:boolean>>"))
 
+def with_element_fields(elements: DataFrame) -> DataFrame:
+    """elements(SOURCE, record_number, raw_source) with error, fields and lists."""
+    importable(elements.sparkSession)
+    names = [*SOURCE, "record_number", "raw_source"]
 
-def flat_fields(schema: T.StructType, value: Column) -> tuple[Column, Column]:
-    """fields and lists of a parsed element. Children <Data Name="K">v</Data> are NamedData.K; repeats are lists."""
-    leaves: list = []
-    _leaves(schema, value, "", leaves)
-    plain = [x for x in leaves if not isinstance(x[1], tuple)]
-    parts = [F.array(*[_pair(F.lit(p), F.trim(v), F.lit(many)) for p, v, many in plain])] if plain else []
-    for path, (data, has_text), _ in [x for x in leaves if isinstance(x[1], tuple)]:
-        parts.append(_named_data(path, data, has_text))
-    found = F.filter(F.concat(*parts), lambda x: x["v"].isNotNull()) if parts else F.array().cast("array<struct<k:string,v:string,many:boolean>>")
-    fields = F.map_from_entries(F.transform(found, lambda x: F.struct(x["k"].alias("key"), x["v"].alias("value"))))
-    return fields, F.transform(F.filter(found, lambda x: x["many"]), lambda x: x["k"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), *_parsed(b.column("raw_source").to_pylist())], names=[*names, "error", "fields", "lists"])
 
+    return elements.select(names).mapInArrow(run, ", ".join(f"{c} string" for c in SOURCE) + ", record_number long, raw_source string, " + _PARSED)
 
-def ingest_xml(elements: DataFrame, profile: Profile, schema: T.StructType | None = None, root: str = "", sources: DataFrame | None = None) -> IngestResult:
-    """Records of elements(SOURCE, record_number, raw_source). root names the element where the profile has no record path."""
-    tag = element_name(profile, root)
-    schema = schema or learn_schema(elements, tag)
-    with_bad = T.StructType([*[f for f in schema.fields if f.name != "_corrupt"], T.StructField("_corrupt", T.StringType())])
-    parsed = elements.withColumn("_x", F.from_xml("raw_source", with_bad, OPTIONS | {"rowTag": tag}))
-    error = error_when((F.col("_x").isNull() | F.col("_x._corrupt").isNotNull(), "XML_PARSE_ERROR", "the element is not well formed"))
-    fields, lists = flat_fields(with_bad, F.col("_x"))
-    rows = parsed.withColumn("error", error).withColumns({"fields": F.when(F.col("error").isNull(), fields), "lists": lists, "others": lists, "notes": no_notes()})
-    return finish(rows, profile, sources)
 
+# Pieces and cuts.
 
-def ingest_xml_documents(documents: DataFrame, profile: Profile, schema: T.StructType | None = None) -> IngestResult:
-    """Records of whole documents(SOURCE, document); an empty document, or one without the element, is an error of its source."""
-    path = profile.record_path.strip()
-    docs = documents.withColumn("_root", F.regexp_extract("document", r"(?s)^\s*(?:<\?.*?\?>|<!--.*?-->|<!DOCTYPE[^>]*>|\s)*<([^\s/>!?]+)", 1))
-    if path:
-        tag = element_name(profile)
-        missing = F.regexp_instr("document", F.lit(rf"<{tag}[\s/>]")) == 0
-        first = path.split(".")[0]
-        missing = missing | (F.col("_root") != first)
+_PLACE = (*SOURCE, "block", "single")
+
+
+def read_pieces(spark: SparkSession, paths: str | list[str], session_id: str = "default") -> DataFrame:
+    """(SOURCE, block, single, piece) of files, in order within a split; single tells that the split is the whole file."""
+    prepared(spark)
+    raw = spark.read.option("lineSep", ">").text(paths)
+    m = F.col("_metadata")
+    path = m["file_path"]
+    return raw.select(F.lit(session_id).alias("session_id"), path.alias("source_path"), source_name(path).alias("source_name"), m["file_block_start"].alias("block"), (m["file_block_length"] >= m["file_size"]).alias("single"), F.col("value").alias("piece"))
+
+
+def split_states(pieces: DataFrame) -> DataFrame:
+    """(source_path, block, state, last) of files of several splits: the state each split begins in, and that behind the last as block -1."""
+    importable(pieces.sparkSession)
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (path, block), run in _runs(batches, ("source_path", "block")):
+            yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([block]), pa.array([json.dumps(effects(r[0] or "" for r in run))])], names=["source_path", "block", "effect"])
+
+    def prefix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (path,), run in _runs(batches, ("source_path",)):
+            state = ["", [], False, ""]
+            for block, effect in run:
+                yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([block]), pa.array([json.dumps(state)])], names=["source_path", "block", "state"])
+                state = after(state, json.loads(effect))
+            yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([-1]), pa.array([json.dumps(state)])], names=["source_path", "block", "state"])
+
+    several = pieces.where("not single").select("source_path", "block", "piece").mapInArrow(sums, "source_path string, block long, effect string")
+    return several.repartition("source_path").sortWithinPartitions("source_path", "block").mapInArrow(prefix, "source_path string, block long, state string")
+
+
+def cut(pieces: DataFrame, path: list[str], states: DataFrame | None = None) -> DataFrame:
+    """What each split of pieces, or each row of documents(SOURCE, document), holds of the elements at a path; of the root element if that is empty.
+
+    (SOURCE, block, k, whole, raw_source, error, fields, lists): k counts the elements that begin in the split
+    from 1, 0 is the rest of one that began before; whole tells that it ends there too. A split in which n
+    elements begin has one more row, with k = -1 - n, what is wrong with it as raw_source, and as whole whether it is blank.
+    """
+    importable(pieces.sparkSession)
+    depth = len(path) or 1
+    whole_documents = "document" in pieces.columns
+    if whole_documents:
+        rows_in = pieces.select(*SOURCE, "document")
+    elif states is None:
+        rows_in = pieces.select(*_PLACE, F.lit(None).cast("string").alias("state"), "piece")
     else:
-        tag = (docs.where("_root <> ''").select("_root").first() or [""])[0]
-        missing = F.lit(False)
+        own = states.select(F.col("source_path").alias("_path"), F.col("block").alias("_block"), "state").where("_block >= 0")
+        own = F.broadcast(own) if own.count() <= MOST_SPLITS else own
+        rows_in = pieces.join(own, (F.col("source_path") == F.col("_path")) & (F.col("block") == F.col("_block")) & ~F.col("single"), "left").select(*_PLACE, "state", "piece")
+    names = [*SOURCE, "block", "k", "whole", "raw_source"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+
+        def out() -> pa.RecordBatch:
+            raw = [h[6] if h[4] > 0 and h[5] else None for h in held]
+            kinds = [pa.string()] * 3 + [pa.int64(), pa.int64(), pa.bool_(), pa.string()]
+            columns = [pa.array(c, t) for c, t in zip(zip(*held) if held else [()] * 7, kinds)]
+            batch = pa.RecordBatch.from_arrays([*columns, *_parsed(raw)], names=[*names, "error", "fields", "lists"])
+            held.clear()
+            return batch
+
+        for (*source, block, single), rows in _documents(batches) if whole_documents else _runs(batches, _PLACE):
+            scan, inside, text, k, size, blank = None, False, [], 0, 0, True
+            for state, piece in rows:
+                piece = piece or ""
+                if scan is None:
+                    mode, stack, done, wrong = json.loads(state) if state else ("", [], False, "")
+                    scan = Scan(mode, stack, done)
+                    scan.error = wrong
+                    inside = len(stack) >= depth and (not path or stack[:depth] == path)
+                    if not stack and not done:
+                        piece = piece.removeprefix("﻿")
+                if scan.error:
+                    break
+                blank = blank and not piece.strip()
+                event = scan.feed(piece)
+                if scan.error:
+                    break
+                if inside:
+                    text.append(piece)
+                    if event == "close" and len(scan.stack) < depth:
+                        text.append("")
+                        held.append((*source, block, k, k > 0, ">".join(text)))
+                        size += len(held[-1][6])
+                        inside, text = False, []
+                elif event == "empty":
+                    if len(scan.stack) == depth - 1 and (not path or [*scan.stack, local(_NAME.match(piece, scan.at + 1)[0])] == path):
+                        k += 1
+                        held.append((*source, block, k, True, piece[scan.at :] + ">"))
+                elif event == "open" and len(scan.stack) == depth and (not path or scan.stack == path):
+                    k += 1
+                    inside, text = True, [piece[scan.at :]]
+                if len(held) >= 256 or size > 4 << 20:
+                    yield out()
+                    size = 0
+            for _ in rows:
+                pass
+            if inside and not single and not scan.error:
+                held.append((*source, block, k, False, ">".join([*text, ""])))
+            error = scan.error
+            if single and not error:
+                error = "the document has no root element" if not scan.done and not scan.stack and not blank else "elements are left open" if scan.stack or scan.mode else ""
+            held.append((*source, block, -1 - k, blank, error))
+            yield out()
+
+    schema = ", ".join(f"{c} string" for c in SOURCE) + ", block long, k long, whole boolean, raw_source string, " + _PARSED
+    return rows_in.mapInArrow(run, schema)
+
+
+def _cut_sources(cuts: DataFrame, path: str, states: DataFrame | None) -> DataFrame:
+    """Errors of whole sources: the first thing that is wrong in one, no content, or no element at the path."""
+    ends = cuts.where("k < 0")
+    if states is not None:
+        last = F.from_json("state", "array<string>")
+        at_end = states.where("block = -1").select("source_path", F.when(last[3] != "", last[3]).when((last[0] != "") | (last[1] != "[]"), F.lit("elements are left open")).alias("_end"))
+    found = ends.groupBy(*SOURCE).agg(F.min(F.when(F.col("raw_source") != "", F.struct("block", "raw_source"))).alias("_wrong"), F.bool_and("whole").alias("_blank"), F.sum(-1 - F.col("k")).alias("_n"))
+    found = found.join(at_end, "source_path", "left") if states is not None else found.withColumn("_end", F.lit(None).cast("string"))
+    wrong = F.coalesce(F.col("_wrong.raw_source"), F.col("_end"))
     error = error_when(
-        (~F.col("document").rlike(r"\S"), "XML_DOCUMENT_EMPTY", "the document is empty"),
-        (F.col("_root") == "", "XML_PARSE_ERROR", "the document has no root element"),
-        (missing, "XML_RECORD_PATH_NOT_FOUND", f"no element at {path}"),
+        (F.col("_blank"), "XML_DOCUMENT_EMPTY", "the document is empty"),
+        (wrong.isNotNull(), "XML_PARSE_ERROR", wrong),
+        (F.col("_n") == 0, "XML_RECORD_PATH_NOT_FOUND", f"no element at {path}"),
     )
-    docs = docs.withColumn("_e", error)
-    sources = docs.where("_e is not null").select(*SOURCE, F.col("_e.code").alias("code"), F.col("_e.message").alias("message"), F.lit("Error").alias("severity"))
-    return ingest_xml(cut_elements(docs.where("_e is null"), tag), profile, schema, tag, sources)
+    return found.withColumn("_e", error).where("_e is not null").select(*SOURCE, F.col("_e.code").alias("code"), F.col("_e.message").alias("message"), F.lit("Error").alias("severity"))
+
+
+def ingest_xml_pieces(pieces: DataFrame, profile: Profile, several: bool = False) -> IngestResult:
+    """Records of pieces; several tells that a source may have more than one split."""
+    path = [p for p in profile.record_path.strip().split(".") if p]
+    columns = [*SOURCE, "record_number", "raw_source", "error", "fields", "lists"]
+    if not several:
+        states = None
+        cuts = cut(pieces, path)
+        rows = cuts.where("k > 0").withColumn("record_number", F.col("k")).select(columns)
+    else:
+        states = stored(split_states(pieces), "xml-states")
+        cuts = stored(cut(pieces, path, states), "xml-cuts")
+        counts = cuts.where("k < 0").select("source_path", "block", (-1 - F.col("k")).alias("_n"))
+        before = F.coalesce(F.sum("_n").over(Window.partitionBy("source_path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        counts = counts.select("source_path", "block", before.alias("_before"))
+        numbered = cuts.where("k >= 0").join(F.broadcast(counts) if counts.count() <= MOST_SPLITS else counts, ["source_path", "block"]).withColumn("record_number", F.col("_before") + F.col("k"))
+        parts = numbered.where("not whole").groupBy(*SOURCE, "record_number").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("block", "raw_source"))), lambda x: x["raw_source"]), "").alias("raw_source"))
+        rows = numbered.where("whole").select(columns).union(with_element_fields(parts).select(columns))
+    made = rows.withColumns({"others": F.col("lists"), "notes": no_notes()})
+    return finish(made, profile, _cut_sources(cuts, profile.record_path, states))
+
+
+def ingest_xml(elements: DataFrame, profile: Profile) -> IngestResult:
+    """Records of elements(SOURCE, record_number, raw_source) that are cut out already."""
+    rows = with_element_fields(elements)
+    return finish(rows.withColumns({"others": F.col("lists"), "notes": no_notes()}), profile)
+
+
+def ingest_xml_files(spark: SparkSession, paths: str | list[str], profile: Profile, session_id: str = "default") -> IngestResult:
+    """Records of files, of any size: a file larger than a split is cut by many tasks.
+
+    The elements whose path from the root is the record path are records, whatever has their names elsewhere,
+    comments and CDATA included; elements of that name inside a record belong to it. Records that are complete
+    before something is wrong with a document stay, and the document is an error of its source.
+    """
+    sizes = spark.read.format("binaryFile").load(paths).agg(F.max("length")).first()[0] or 0
+    # Spark does not split files below this.
+    least = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.openCostInBytes"))
+    most = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
+    return ingest_xml_pieces(read_pieces(spark, paths, session_id), profile, several=sizes > min(least, most))
+
+
+def ingest_xml_documents(documents: DataFrame, profile: Profile) -> IngestResult:
+    """Records of whole documents(SOURCE, document), as ingest_xml_files(); a null document is empty."""
+    return ingest_xml_pieces(documents, profile)

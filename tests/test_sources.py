@@ -14,7 +14,7 @@ from emberlog.sources.registry import discover_attributes, ingest, preview, sugg
 from emberlog.sources.syslog import ingest_syslog
 from emberlog.sources.text_sources import ingest_delimited, ingest_key_value, ingest_regex
 from emberlog.sources.w3c import ingest_w3c
-from emberlog.sources.xml_source import ingest_xml, ingest_xml_documents, read_elements
+from emberlog.sources.xml_source import ingest_xml_documents
 
 LINES = "session_id string, source_path string, source_name string, record_number long, raw_source string"
 
@@ -172,9 +172,8 @@ def test_xml(spark, tmp_path):
     spark.conf.set("spark.sql.files.maxPartitionBytes", "600")
     spark.conf.set("spark.sql.files.openCostInBytes", "1")
     try:
-        elements = read_elements(spark, str(tmp_path / "big.xml"), "event")
         assert spark.read.option("lineSep", "</event>").text(str(tmp_path / "big.xml")).rdd.getNumPartitions() > 1
-        r = ingest_xml(elements, Profile(format_id="xml", record_path="session.events.event", canonical={"severity": "m.level"}))
+        r = ingest(spark, str(tmp_path / "big.xml"), Profile(format_id="xml", record_path="session.events.event", canonical={"severity": "m.level"}))
         got = rows(r)
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
