@@ -9,9 +9,11 @@ from ..functions.normalize import ISSUES, SEVERITIES, epoch_ms, floor_ms
 
 NO_SUBSYSTEM = "(No subsystem)"
 SECOND, MINUTE, HOUR, DAY = 1_000, 60_000, 3_600_000, 86_400_000
-#: Steps of automatic intervals in milliseconds, and the buckets that they aim at.
+# Steps of automatic intervals in milliseconds, and the buckets that they aim at.
 STEPS = (1, 10, 100, 500, SECOND, 5 * SECOND, 15 * SECOND, 30 * SECOND, MINUTE, 5 * MINUTE, 15 * MINUTE, 30 * MINUTE, HOUR, 3 * HOUR, 6 * HOUR, 12 * HOUR, DAY, 3 * DAY, 7 * DAY)
 TARGET_BUCKETS = 20
+#: Buckets of a session up to which a timeline is made, and how many of them a task makes from one row.
+MOST_BUCKETS, BLOCK_BUCKETS = 10_000_000_000, 65_536
 COUNTERS = ("total", *[s.lower() for s in SEVERITIES])
 
 
@@ -55,12 +57,41 @@ def occupied(records: DataFrame, interval_ms: int) -> DataFrame:
     return records.where("event_ts is not null").groupBy("session_id", bucket).agg(F.count("*").alias("total"), *_severity_counts())
 
 
+def _spine(bounds: DataFrame, interval_ms: int) -> DataFrame:
+    """(session_id, _dates, bucket) of every bucket between _from and _to; blocks of buckets are dealt out before the buckets are made.
+
+    A session of more than MOST_BUCKETS fails with their number before any is made.
+    """
+    n = F.floor((F.col("_to") - F.col("_from")) / interval_ms) + 1
+    told = F.concat(F.lit("a timeline of "), n.cast("string"), F.lit(f" buckets is more than {MOST_BUCKETS}: take a longer interval, a narrower range or a window of buckets"))
+    n = F.when(n > MOST_BUCKETS, F.raise_error(told).cast("long")).otherwise(n)
+    sized = bounds.where("_from <= _to").select("session_id", "_dates", "_from", n.alias("_n"))
+    # A number is given, since adaptive execution would bring the few small rows into one partition.
+    tasks = int(bounds.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = sized.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_n") - 1) / BLOCK_BUCKETS))).alias("_block")).repartition(tasks, "session_id", "_block")
+    place = F.col("_block") * BLOCK_BUCKETS
+    first = F.col("_from") + place * interval_ms
+    last = F.col("_from") + (F.least(place + BLOCK_BUCKETS, F.col("_n")) - 1) * interval_ms
+    return blocks.select("session_id", "_dates", F.explode(F.sequence(first, last, F.lit(interval_ms).cast("long"))).alias("bucket"))
+
+
+def _filled(bounds: DataFrame, counts: DataFrame, interval_ms: int) -> DataFrame:
+    filled = _spine(bounds, interval_ms).join(counts, ["session_id", "bucket"], "left").fillna(0, list(COUNTERS))
+    return filled.select("session_id", "bucket", bucket_label(F.col("bucket"), F.lit(interval_ms), F.col("_dates")).alias("label"), *COUNTERS)
+
+
+def _several_dates() -> Column:
+    return F.timestamp_millis("_first").cast("date") != F.timestamp_millis("_last").cast("date")
+
+
 def timeline(records: DataFrame, interval_ms: int, start_ms: int | None = None, end_ms: int | None = None, start_index: int = 0, count: int | None = None) -> DataFrame:
     """(session_id, bucket, label, counters): every bucket from a session's first to its last, empty ones too.
 
     start_ms and end_ms narrow the range, which is otherwise that of the data.
     start_index and count choose a window of buckets; records outside of it are left out
-    before they are grouped. An interval that is not positive gives no rows.
+    before they are grouped. An interval that is not positive gives no rows. One wrong
+    time may make a range of decades: its buckets are made by many tasks, and beyond
+    MOST_BUCKETS the query fails with their number; bucket_count() tells it before.
     """
     none = records.sparkSession.createDataFrame([], "session_id string, bucket long, label string, " + ", ".join(f"{c} long" for c in COUNTERS))
     if interval_ms <= 0 or start_index < 0 or (count is not None and count <= 0):
@@ -75,14 +106,25 @@ def timeline(records: DataFrame, interval_ms: int, start_ms: int | None = None,
     last = F.lit(end_ms) if end_ms is not None else F.max(ms)
     bounds = inside.groupBy("session_id").agg(first.cast("long").alias("_a"), last.cast("long").alias("_z"))
     bounds = bounds.withColumns({"_first": floor_ms(F.col("_a"), interval_ms), "_last": floor_ms(F.col("_z"), interval_ms)})
-    bounds = bounds.withColumn("_dates", F.timestamp_millis("_first").cast("date") != F.timestamp_millis("_last").cast("date"))
+    bounds = bounds.withColumn("_dates", _several_dates())
     bounds = bounds.withColumns({"_from": F.col("_first") + start_index * interval_ms, "_to": F.least(F.col("_last"), F.col("_first") + (start_index + count - 1) * interval_ms) if count is not None else F.col("_last")})
     if start_index or count is not None:
         limits = bounds.select(F.col("session_id").alias("_s"), "_from", F.col("_to").alias("_until"))
         inside = inside.join(limits, F.col("session_id").eqNullSafe(F.col("_s"))).where((ms >= F.col("_from")) & (ms < F.col("_until") + interval_ms)).drop("_s", "_from", "_until")
-    spine = bounds.where("_from <= _to").select("session_id", "_dates", F.explode(F.sequence("_from", "_to", F.lit(interval_ms).cast("long"))).alias("bucket"))
-    filled = spine.join(occupied(inside, interval_ms), ["session_id", "bucket"], "left").fillna(0, list(COUNTERS))
-    return filled.select("session_id", "bucket", bucket_label(F.col("bucket"), F.lit(interval_ms), F.col("_dates")).alias("label"), *COUNTERS)
+    return _filled(bounds, occupied(inside, interval_ms), interval_ms)
+
+
+def rolled_up(counts: DataFrame, interval_ms: int) -> DataFrame:
+    """occupied() of a coarser interval from stored counts of a finer one that divides it; records are not read again."""
+    bucket = floor_ms(F.col("bucket"), interval_ms).alias("bucket")
+    return counts.groupBy("session_id", bucket).agg(*[F.sum(c).alias(c) for c in COUNTERS])
+
+
+def timeline_of_counts(counts: DataFrame, interval_ms: int) -> DataFrame:
+    """As timeline() over all records, from stored occupied() counts of an interval that divides this one."""
+    coarse = rolled_up(counts, interval_ms)
+    bounds = coarse.groupBy("session_id").agg(F.min("bucket").alias("_first"), F.max("bucket").alias("_last"))
+    return _filled(bounds.select("*", _several_dates().alias("_dates"), F.col("_first").alias("_from"), F.col("_last").alias("_to")), coarse, interval_ms)
 
 
 def timeline_by_minutes(records: DataFrame, minutes: int = 1, **more) -> DataFrame:

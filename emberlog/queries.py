@@ -119,6 +119,12 @@ def timeline_hour_window(spark, sf_dir):
     return analysis.timeline(records(spark, sf_dir), analysis.HOUR, start_index=20, count=20)
 
 
+@query(_timeline_sql(6 * analysis.HOUR))
+def timeline_from_stored_counts(spark, sf_dir):
+    """Six hours rolled up from counts of ten minutes."""
+    return analysis.timeline_of_counts(analysis.occupied(records(spark, sf_dir), 10 * analysis.MINUTE), 6 * analysis.HOUR)
+
+
 @query(_timeline_sql(15 * analysis.MINUTE))
 def timeline_quarter_hours(spark, sf_dir):
     return analysis.timeline_by_minutes(records(spark, sf_dir), 15)

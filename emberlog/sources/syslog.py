@@ -18,8 +18,8 @@ MONTHS = ("Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct",
 _QUOTED = r'"(?:[^"\\]|\\.)*+"'
 _ELEMENT = rf"\[(?:[^\]\"]|{_QUOTED})*+\]"
 MODERN = rf"(?s)^<\d{{1,3}}>(\d{{1,3}}) ([^ ]+) ([^ ]+) ([^ ]+) ([^ ]+) ([^ ]+) (-|(?:{_ELEMENT})++)(?: (.*))?$"
-LEGACY = r"(?s)^<\d{1,3}>([A-Z][a-z]{2})\s+(\d{1,2})\s+(\d{2}:\d{2}:\d{2})\s+(\S+)(?:\s+(.*))?$"
-TAGGED = r"(?s)^([A-Za-z0-9_.-]+)(?:\[([^\]]+)\])?:\s?(.*)$"
+# Fixed value: what a tag may be made of.
+TAG_CHARACTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_.-"
 _PARAM = r' ([^ =\]]+)="((?:[^"\\]|\\.)*+)"'
 
 
@@ -35,6 +35,39 @@ def decode_priority(p: Column) -> dict[str, Column]:
     return {"facility": F.floor(p / 8).cast("int"), "code": s, "name": lookup({str(i): n for i, n in enumerate(NAMES)}, s.cast("string")), "label": lookup({str(i): n for i, n in enumerate(LABELS)}, s.cast("string"))}
 
 
+def _only(text: Column, characters: str) -> Column:
+    return (text != "") & (F.translate(text, characters, "") == "")
+
+
+def legacy_header(line: Column) -> Column:
+    """month number, day, time, host and rest of a line with a priority, by the words of RFC 3164's header; null if they are not there.
+
+    The header is three words of time, of which month, day and clock are each of a known shape, and a host.
+    """
+    words = F.split(F.substr(line, F.instr(line, ">") + 1), r"\s+", 5)
+    word = lambda i: F.get(words, F.lit(i))
+    month = F.array_position(F.array(*map(F.lit, MONTHS)), word(0)).cast("int")
+    day = F.when(_only(word(1), "0123456789") & (F.length(word(1)) <= 2), word(1).try_cast("int"))
+    clock = F.when((F.length(word(2)) == 8) & _only(word(2), "0123456789:") & F.try_to_timestamp(word(2), F.lit("HH:mm:ss")).isNotNull(), word(2))
+    known = (month > 0) & day.isNotNull() & clock.isNotNull() & (word(3) != "")
+    return F.when(known, F.struct(month.alias("month"), day.alias("day"), clock.alias("clock"), F.concat_ws(" ", word(0), word(1), word(2)).alias("stamp"), word(3).alias("host"), word(4).alias("rest")))
+
+
+def tagged_message(rest: Column) -> Column:
+    """tag, process (null without one) and text of a message like tag[process]: text; null for another."""
+    before = F.substring_index(rest, ":", 1)
+    name = F.substring_index(before, "[", 1)
+    behind = F.substr(rest, F.length(name) + 1)
+    process = F.substring_index(F.substr(behind, F.lit(2)), "]", 1)
+    # Behind the name stands the colon, or a process in brackets and then the colon.
+    colon = F.when(behind.startswith("["), F.length(process) + 3).otherwise(F.lit(1))
+    closed = ~behind.startswith("[") | ((process != "") & (F.substr(behind, F.length(process) + 2, F.lit(1)) == "]"))
+    text = F.substr(behind, colon + 1)
+    text = F.when(text.rlike(r"^\s"), F.substr(text, F.lit(2))).otherwise(text)
+    holds = _only(name, TAG_CHARACTERS) & closed & (F.substr(behind, colon, F.lit(1)) == ":")
+    return F.when(holds, F.struct(name.alias("tag"), F.when(behind.startswith("["), process).alias("process"), text.alias("text")))
+
+
 def structured_data(text: Column) -> Column:
     """array<struct<k, v, many>> of structured data: k is element.parameter, v its text, or a JSON list if it is repeated.
 
@@ -64,7 +97,7 @@ def ingest_syslog(lines: DataFrame, profile: Profile, reference_date: str) -> In
     raw = F.col("raw_source")
     some = not_blank(lines).withColumn("_pri", priority(raw))
     some = some.withColumn("_modern", raw.rlike(MODERN) & F.col("_pri").isNotNull() & (F.regexp_extract(raw, MODERN, 1).try_cast("int") > 0))
-    some = some.withColumn("_legacy", ~F.col("_modern") & raw.rlike(LEGACY) & F.col("_pri").isNotNull())
+    some = some.withColumn("_old", F.when(~F.col("_modern") & F.col("_pri").isNotNull(), legacy_header(raw)))
     # Of a modern line: the six words of its header by one split, then structured data, and what is left.
     words = F.split(raw, " ", 7)
     word = lambda i: F.get(F.col("_words"), F.lit(i))
@@ -72,19 +105,16 @@ def ingest_syslog(lines: DataFrame, profile: Profile, reference_date: str) -> In
     data = F.when(word(6).startswith("-"), F.lit("-")).otherwise(F.regexp_extract(word(6), rf"^(?:{_ELEMENT})++", 0))
     some = some.withColumn("_sd", data)
     rest = F.substr(word(6), F.length("_sd") + 2)
-    old = lambda i: F.regexp_extract(raw, LEGACY, i)
-    month = lookup({x: str(i + 1) for i, x in enumerate(MONTHS)}, old(1)).cast("int")
-    some = some.withColumn("_date", F.when(F.col("_legacy"), nearest_year(month, old(2).try_cast("int"), F.lit(reference_date).cast("date"))))
-    some = some.withColumn("_time", F.try_to_timestamp(F.concat_ws(" ", F.col("_date").cast("string"), old(3)), F.lit("yyyy-MM-dd HH:mm:ss")))
-    some = some.withColumn("_legacy", F.col("_legacy") & F.col("_time").isNotNull() & F.col("_date").isNotNull())
+    some = some.withColumn("_date", nearest_year(F.col("_old.month"), F.col("_old.day"), F.lit(reference_date).cast("date")))
+    some = some.withColumn("_time", F.try_to_timestamp(F.concat_ws(" ", F.col("_date").cast("string"), "_old.clock"), F.lit("yyyy-MM-dd HH:mm:ss")))
+    some = some.withColumn("_legacy", F.col("_old").isNotNull() & F.col("_time").isNotNull() & F.col("_date").isNotNull())
     error = error_when(
         (F.col("_pri").isNull(), "SYSLOG_RECORD_MALFORMED", "the line does not begin with a valid priority"),
         (~F.col("_modern") & ~F.col("_legacy"), "SYSLOG_RECORD_MALFORMED", "the line is neither an RFC 5424 nor an RFC 3164 record"),
     )
-    some = some.withColumns({"error": error, "_rest": F.when(F.col("_legacy"), old(5))})
+    some = some.withColumns({"error": error, "_rest": F.when(F.col("_legacy"), F.coalesce("_old.rest", F.lit("")))})
     some = some.withColumn("_params", F.when(F.col("_sd") != "-", structured_data(F.col("_sd"))))
-    tagged = F.col("_rest").rlike(TAGGED)
-    tag = lambda i: F.regexp_extract("_rest", TAGGED, i)
+    some = some.withColumn("_tagged", tagged_message(F.col("_rest")))
     dec = decode_priority(F.col("_pri"))
     pair = lambda k, v: F.struct(F.lit(k).alias("k"), v.alias("v"))
     common = [pair("priority", F.col("_pri").cast("string")), pair("facilityCode", dec["facility"].cast("string")), pair("severityCode", dec["code"].cast("string")), pair("syslogSeverity", dec["name"]), pair("level", dec["label"])]
@@ -100,12 +130,12 @@ def ingest_syslog(lines: DataFrame, profile: Profile, reference_date: str) -> In
         *common,
         pair("syslogFormat", F.lit("RFC 3164")),
         pair("timestamp", display_timestamp(F.col("_time"))),
-        pair("timestampOriginal", F.concat_ws(" ", old(1), old(2), old(3))),
+        pair("timestampOriginal", F.col("_old.stamp")),
         pair("timestampYearInferred", F.lit("true")),
-        pair("hostname", old(4)),
-        pair("subsystem", F.when(tagged, tag(1))),
-        pair("processId", F.when(tagged, tag(2))),
-        pair("message", F.when(tagged, tag(3)).otherwise(F.col("_rest"))),
+        pair("hostname", F.col("_old.host")),
+        pair("subsystem", F.col("_tagged.tag")),
+        pair("processId", F.col("_tagged.process")),
+        pair("message", F.when(F.col("_tagged").isNotNull(), F.col("_tagged.text")).otherwise(F.col("_rest"))),
     )
     params = F.coalesce(F.transform("_params", lambda p: F.struct(F.concat(F.lit("structuredDataFields."), p["k"]).alias("k"), p["v"].alias("v"))), F.array().cast("array<struct<k:string,v:string>>"))
     present = lambda a: F.filter(a, lambda x: x["v"].isNotNull() & (x["v"] != "") & (x["v"] != "-"))

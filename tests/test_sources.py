@@ -264,3 +264,10 @@ def test_escapes_and_control_characters(spark):
     raw = 'k="a\u0001b" e="\\\\n \\n \\" \\q"'
     got = ingest_key_value(lines(spark, raw), Profile(format_id="key-value")).records.first()["attributes"]
     assert got == {"k": "a\u0001b", "e": '\\n \n " \\q'}
+
+
+def test_words_of_a_legacy_syslog_line(spark):
+    texts = ["<13>Oct  1 22:14:15 host app[1:2]: a: b", "<13>Oct 1 22:14:15 host app:no blank", "<13>Oct 1 22:14:15 host", "<13>Oct 1 22:14:15 host path/app[7]: x", "<13>Oct 1 22:14:15 host app[]: x", "<13>Oct 1 22:14:15 host app[7] x: y", "<13>Oct 1 22:14:15 host app[7:x", "<13>Oct +1 22:14:15 host x: y", "<13>Oct 1 22:14:5 host x: y", "<13>Oct 1 25:14:15 host x: y", "<13>oct 1 22:14:15 host x: y"]
+    got = rows(ingest_syslog(lines(spark, *texts), Profile(format_id="syslog"), "2026-10-05"))
+    told = {n: (r["subsystem"], r["attributes"].get("processId"), r["message"]) for n, r in got.items()}
+    assert told == {1: ("app", "1:2", "a: b"), 2: ("app", None, "no blank"), 3: (None, None, None), 4: (None, None, "path/app[7]: x"), 5: (None, None, "app[]: x"), 6: (None, None, "app[7] x: y"), 7: (None, None, "app[7:x")}
