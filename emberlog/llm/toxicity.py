@@ -21,8 +21,10 @@ BITS = 20
 FACTORS = 8
 #: The bound of the sample of labelled rows that the model is fitted on.
 SAMPLE_ROWS = 12_288
-#: Terms among which telling pairs are looked for: 8 bytes for each pair of them.
-PAIR_TERMS = 1_024
+#: The bound of the labelled rows of either label, evenly taken from the sample, that pairs of terms are counted in.
+PAIR_ROWS = 4_096
+#: Rows, and bytes of counts, that pairs of terms are counted in at once.
+PAIR_CHUNK, PAIR_BYTES = 1_024, 32 << 20
 
 
 @dataclass(frozen=True)
@@ -59,39 +61,85 @@ def deviance(a: np.ndarray, b: np.ndarray, pos: float, neg: float) -> np.ndarray
     return np.sqrt(np.maximum(0.0, 2 * (part(a, n * pos / total) + part(b, n * neg / total) + part(pos - a, (total - n) * pos / total) + part(neg - b, (total - n) * neg / total))))
 
 
-def telling_terms(y: np.ndarray, terms: np.ndarray, row: np.ndarray, bits: int, least_z: float = 4.0, least_rows: int = 4, pair_z: float = 8.0, pair_gain: float = 4.0, pair_rows: int = 8, pair_terms: int = PAIR_TERMS) -> np.ndarray:
-    """Terms that tell something alone or in pairs.
+def least_count(pos: float, neg: float, toxic: bool, least: float) -> int | None:
+    """The fewest rows of one label that can make a deviance of least, with none of the other; null if all rows do not suffice."""
+    n = np.arange(1.0, (pos if toxic else neg) + 1)
+    none = np.zeros(len(n))
+    enough = np.flatnonzero(deviance(n if toxic else none, none if toxic else n, pos, neg) >= least)
+    return int(n[enough[0]]) if len(enough) else None
 
-    Alone: their log odds ratio with the label is least_z standard errors from 0 or more.
-    In pairs: the deviance of both in one row is pair_z or more, and pair_gain more than
-    that of each of them. Pairs are looked for among the pair_terms terms that most toxic rows have.
+
+def telling_pairs(y: np.ndarray, terms: np.ndarray, row: np.ndarray, bits: int, pair_z: float, pair_gain: float) -> np.ndarray:
+    """Terms of pairs whose deviance is pair_z or more, and pair_gain more than that of either term.
+
+    Every pair is looked at that its rows of one label alone could make telling; for those the rows
+    of the other label are counted too. Blocks of terms, frequent ones first, meet all others in
+    matrix products over PAIR_CHUNK rows, so rare terms meet only those that they are often enough with.
+    """
+    of_label = {k: np.flatnonzero(y == k) for k in (0, 1)}
+    rows = {k: r[np.linspace(0, len(r) - 1, min(len(r), PAIR_ROWS)).astype(np.int64)] for k, r in of_label.items()}
+    neg, pos = (float(len(rows[k])) for k in (0, 1))
+    inside = np.zeros(len(y), bool)
+    inside[np.concatenate([rows[0], rows[1]])] = True
+    terms, row = terms[inside[row]], row[inside[row]]
+    counts = np.stack([np.bincount(terms[y[row] == k], minlength=1 << bits).astype(np.float64) for k in (0, 1)])
+    found: list[np.ndarray] = []
+    for lead in (1, 0):
+        least = least_count(pos, neg, bool(lead), pair_z)
+        if least is None:
+            continue
+        own = np.flatnonzero(counts[lead] >= least)
+        own = own[np.argsort(-counts[lead][own], kind="stable")]
+        if len(own) < 2:
+            continue
+        place = np.full(1 << bits, -1, np.int32)
+        place[own] = np.arange(len(own))
+        at = place[terms]
+        kept = at >= 0
+        at, of = at[kept], row[kept]
+        single = deviance(counts[1][own], counts[0][own], pos, neg)
+        step = max(16, PAIR_BYTES // (4 * len(own)))
+
+        def met(label: int, lo: int, columns: np.ndarray, at=at, of=of, rows=rows, own=own, step=step) -> np.ndarray:
+            """Rows of a label that have a term of the block and one of the columns."""
+            out = np.zeros((min(step, len(own) - lo), len(columns)), np.float32)
+            all_columns = len(columns) == len(own)
+            for first in range(0, len(rows[label]), PAIR_CHUNK):
+                chunk = rows[label][first : first + PAIR_CHUNK]
+                starts, ends = np.searchsorted(of, chunk), np.searchsorted(of, chunk, "right")
+                size = ends - starts
+                take = np.repeat(starts - np.cumsum(size) + size, size) + np.arange(size.sum())
+                x = np.zeros((len(chunk), len(own)), np.float32)
+                x[np.repeat(np.arange(len(chunk)), size), at[take]] = 1
+                out += x[:, lo : lo + step].T @ (x if all_columns else x[:, columns])
+            return out
+
+        for lo in range(0, len(own), step):
+            led = met(lead, lo, np.arange(len(own)))
+            often = led >= least
+            often[np.arange(len(led)), lo + np.arange(len(led))] = False
+            columns = np.flatnonzero(often.any(0))
+            if not len(columns):
+                continue
+            other = met(1 - lead, lo, columns)
+            i, c = np.nonzero(often[:, columns])
+            a, b = led[i, columns[c]].astype(np.float64), other[i, c].astype(np.float64)
+            pair = deviance(a, b, pos, neg) if lead else deviance(b, a, pos, neg)
+            tells = (pair >= pair_z) & (pair >= np.maximum(single[lo + i], single[columns[c]]) + pair_gain)
+            found += [own[lo + i[tells]], own[columns[c[tells]]]]
+    return np.unique(np.concatenate(found)) if found else np.empty(0, np.int64)
+
+
+def telling_terms(y: np.ndarray, terms: np.ndarray, row: np.ndarray, bits: int, least_z: float = 4.0, least_rows: int = 4, pair_z: float = 8.0, pair_gain: float = 4.0) -> np.ndarray:
+    """Terms that tell something alone or in pairs; rows are in order, and no term is twice in one.
+
+    Alone: their log odds ratio with the label is least_z standard errors from 0 or more, in least_rows rows.
+    In pairs: see telling_pairs(); how frequent a term is does not keep it from being looked at.
     """
-    dims = 1 << bits
     pos, neg = float(y.sum()), float(len(y) - y.sum())
-    a, b = (np.bincount(terms[y[row] == k], minlength=dims).astype(np.float64) for k in (1, 0))
-    z = np.abs(z_of(a, b, pos, neg))
-    alone = (z >= least_z) & (a + b >= least_rows)
-    some = np.argsort(-a, kind="stable")[:pair_terms]
-    some = np.sort(some[a[some] >= least_rows])
-    place = np.full(dims, -1, np.int32)
-    place[some] = np.arange(len(some))
-    both = np.zeros((2, len(some), len(some)), np.float32)
-    at, of = place[terms], row
-    at, of = at[at >= 0], of[at >= 0]
-    for lo in range(0, len(y), 1_024):
-        mine = slice(*np.searchsorted(of, [lo, lo + 1_024]))
-        x = np.zeros((min(1_024, len(y) - lo), len(some)), np.float32)
-        x[of[mine] - lo, at[mine]] = 1
-        for k in (0, 1):
-            own = x[y[lo : lo + 1_024] == k]
-            both[k] += own.T @ own
-    own_g = deviance(a[some], b[some], pos, neg)
-    for lo in range(0, len(some), 128):
-        n1, n0 = both[1, lo : lo + 128].astype(np.float64), both[0, lo : lo + 128].astype(np.float64)
-        single = np.maximum(own_g[lo : lo + 128, None], own_g)
-        pair = deviance(n1, n0, pos, neg)
-        i, j = np.nonzero((pair >= pair_z) & (pair >= single + pair_gain) & (n1 + n0 >= pair_rows))
-        alone[some[lo + i]] = alone[some[j]] = True
+    b, a = (np.bincount(terms[y[row] == k], minlength=1 << bits).astype(np.float64) for k in (0, 1))
+    alone = (np.abs(z_of(a, b, pos, neg)) >= least_z) & (a + b >= least_rows)
+    alone[telling_pairs(y, terms, row, bits, pair_z, pair_gain)] = True
     return np.flatnonzero(alone)
 
 

@@ -165,3 +165,47 @@ def test_ordinal_fit_reaches_the_likelihood_of_a_plain_one():
     assert best <= loss(p[:dims], p[dims:]) + 1e-3
     tails = model.tails(starts, terms, values)
     assert np.allclose(tails, 1 / (1 + np.exp(-((x @ model.weights)[:, None] - model.theta))))
+
+
+def test_pairs_are_found_among_many_frequent_terms():
+    """1,300 fillers, each in 62 % of rows, are more frequent than the pair's terms."""
+    rng = np.random.default_rng(8)
+    n, fillers = 4_000, 1_300
+    a, b = rng.random(n) < 0.3, rng.random(n) < 0.3
+    y = (a & b).astype(np.int64)
+    rows = [np.concatenate([np.flatnonzero(rng.random(fillers) < 0.62) + 2, np.flatnonzero([a[i], b[i]])]) for i in range(n)]
+    starts = np.cumsum([0, *map(len, rows)])
+    terms = np.concatenate(rows).astype(np.int32)
+    own = toxicity.telling_terms(y, terms, np.repeat(np.arange(n), np.diff(starts)), 11)
+    assert {0, 1} <= set(own.tolist())
+    # The label of the other case is whether both or none are there, so rows with one of them count against it.
+    same = (a == b).astype(np.int64)
+    own = toxicity.telling_terms(same, terms, np.repeat(np.arange(n), np.diff(starts)), 11)
+    assert {0, 1} <= set(own.tolist()) and len(own) < 20
+    train, test = slice(0, 3_000), slice(3_000, n)
+    model = toxicity.fit(same[train], starts[:3_001], terms[: starts[3_000]], np.ones(starts[3_000], np.float32), bits=11, epochs=20)
+    score = model.score(starts[3_000:] - starts[3_000], terms[starts[3_000] :], np.ones(len(terms) - starts[3_000], np.float32))
+    truth = same[test] == 1
+    assert (score[truth][:, None] > score[~truth]).mean() > 0.95
+
+
+def test_pairs_equal_brute_force():
+    rng = np.random.default_rng(9)
+    n, dims = 600, 40
+    x = rng.random((n, dims)) < rng.uniform(0.05, 0.6, dims)
+    y = ((x[:, 0] & x[:, 1]) | (rng.random(n) < 0.05)).astype(np.int64)
+    row, terms = np.nonzero(x)
+    want = set()
+    pos, neg = float(y.sum()), float(n - y.sum())
+    g = lambda m: float(toxicity.deviance(np.array([float((m & (y == 1)).sum())]), np.array([float((m & (y == 0)).sum())]), pos, neg)[0])
+    for i in range(dims):
+        for j in range(i):
+            pair = g(x[:, i] & x[:, j])
+            if pair >= 5 and pair >= max(g(x[:, i]), g(x[:, j])) + 1:
+                want |= {i, j}
+    before = toxicity.PAIR_BYTES
+    try:
+        toxicity.PAIR_BYTES = 1
+        assert set(toxicity.telling_pairs(y, terms.astype(np.int32), row, 6, 5.0, 1.0).tolist()) == want and want
+    finally:
+        toxicity.PAIR_BYTES = before
