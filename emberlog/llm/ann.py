@@ -4,10 +4,10 @@ A component that makes all vectors equally long turns the largest inner product
 smallest distance. Vectors are projected on a few Gaussian directions; the squared
 projected distance of two vectors, over their squared distance, has a chi-square
 distribution. A kd-tree of the projections, split by a bounded sample, deals all rows to
-cells. A query takes projected neighbours ring by ring and verifies each; it stops when the
-next ones, if they were nearer than the k-th found, would be that far with little
-probability. Its own cell gives the first bound, which chooses the other cells. Queries of
-a block go through a block of vectors together, by products of matrices.
+cells. In a block of a cell a query takes the vectors nearest in projection, ring by ring, and
+verifies each by its product; it stops when the next ones, if they were nearer than the
+k-th found, would be that far with little probability. Vectors behind that are not
+multiplied. Its own cell gives the first bound, which chooses the other cells.
 """
 
 from __future__ import annotations
@@ -23,11 +23,11 @@ from pyspark.sql import functions as F
 from .common import small_batches, table, written
 from .vectors import blocks, rows_of, unpack, usual_size, valid
 
-DIRECTIONS = 16
+DIRECTIONS = 32
 #: Chance that a true neighbour is within the projected radius at which a query stops.
-SURE = 0.95
-#: Share of that radius that a query looks at first.
-FIRST_RING = 0.5
+SURE = 0.9
+#: Vectors of a block that a query verifies first; each further ring is twice as large.
+FIRST_RING = 64
 #: The bound of the sample that the tree is split by, and of its cells.
 SAMPLE_ROWS, MOST_CELLS, CELL_ROWS = 20_000, 2_048, 1_024
 BLOCK_ROWS, QUERY_ROWS = 2_048, 512
@@ -96,12 +96,45 @@ def top_of_rows(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return np.nonzero(pick)
 
 
-def nearest(queries: DataFrame, base: DataFrame, k: int = 20, sure: float = SURE, directions: int = DIRECTIONS, id_col: str = "vec_id", vec_col: str = "embedding", seed: int = 11) -> DataFrame:
+def verified(q: np.ndarray, other: np.ndarray, mat: np.ndarray, between: np.ndarray, far: float, longest: float, limit: float, slack: float, k: int) -> tuple[np.ndarray, np.ndarray, float]:
+    """Vectors of a block that a query has verified, their products, and the squared distance of the k-th best so far.
+
+    between has the squared projected distances, other tells which rows are candidates, far is
+    the distance that is to be bettered. Rows are taken by projected distance until the next
+    is beyond limit times the k-th distance.
+    """
+    order = np.flatnonzero(other)
+    order = order[np.argsort(between[order], kind="stable")]
+    near = between[order]
+    square = float(q @ q)
+    taken: list[np.ndarray] = []
+    dots: list[np.ndarray] = []
+    best = np.empty(0)
+    at, ring = 0, FIRST_RING
+    while at < len(order):
+        stop = min(at + ring, int(np.searchsorted(near, (far + slack) * limit, "right")))
+        if stop <= at:
+            break
+        rows = order[at:stop]
+        taken.append(rows)
+        dots.append(mat[rows] @ q)
+        best = np.concatenate([best, np.maximum(0.0, longest + square - 2 * dots[-1])])
+        if len(best) >= k:
+            best = np.partition(best, k - 1)[:k]
+            far = min(far, float(best[k - 1]))
+        at, ring = stop, 2 * ring
+    if not taken:
+        return np.empty(0, np.int64), np.empty(0), far
+    return np.concatenate(taken), np.concatenate(dots), far
+
+
+def nearest(queries: DataFrame, base: DataFrame, k: int = 20, sure: float = SURE, directions: int = DIRECTIONS, id_col: str = "vec_id", vec_col: str = "embedding", seed: int = 11, products=None) -> DataFrame:
     """(query_id, rank, vec_id, score): about the k largest inner products of each query with other rows of base.
 
     score is the product of the original vectors in doubles. queries must be rows of
     base. Rows of the query's own id are no candidates; ties go to smaller ids; if
-    there are fewer candidates, all are found. Vectors that are null or zero, hold null
+    there are fewer candidates, all are found. products is an accumulator that counts
+    the products made, if it is given. Vectors that are null or zero, hold null
     or non-finite components, or have another number of components than most, take no
     part, nor do null ids. Other columns are ignored. An empty table gives an empty one.
     """
@@ -122,7 +155,6 @@ def nearest(queries: DataFrame, base: DataFrame, k: int = 20, sure: float = SURE
         return mat @ axes[:-1] + last[:, None] * axes[-1]
 
     sample = rows.orderBy(F.xxhash64(F.lit(seed), "id"), "id").limit(SAMPLE_ROWS).toArrow()
-    seen_ids = sample.column("id").to_numpy()
     seen = np.array(sample.column("vec").to_pylist(), np.float64).reshape(sample.num_rows, dim)
     nodes = kd_splits(project(seen), min(MOST_CELLS, -(-total // CELL_ROWS), max(1, len(seen) // 8)))
 
@@ -149,34 +181,52 @@ def nearest(queries: DataFrame, base: DataFrame, k: int = 20, sure: float = SURE
     limit = chi_square_quantile(sure, directions)
     slack = 1e-9 * max(longest, 1e-300)
 
-    def distances(q: np.ndarray, dots: np.ndarray) -> np.ndarray:
-        """Of each query (row) to the vectors (columns) that it has these products with."""
-        return np.maximum(0.0, longest + (q * q).sum(1)[:, None] - 2 * dots)
-
-    sampled = spark.sparkContext.broadcast((seen_ids, seen))
-
-    def kth(ids: np.ndarray, mat: np.ndarray, q_ids: np.ndarray, q: np.ndarray) -> np.ndarray:
-        if len(ids) < k:
-            return np.full(len(q), np.inf)
-        d = distances(q, q @ mat.T)
-        d[q_ids[:, None] == ids] = np.inf
-        return np.partition(d, k - 1, axis=1)[:, k - 1]
+    def count(n: int) -> None:
+        if products is not None:
+            products.add(n)
+
+    def in_block(ids: np.ndarray, mat: np.ndarray, q_ids: np.ndarray, q: np.ndarray, far: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, float]]:
+        """For each query of a block: its place, what it has verified, the products, and its k-th distance."""
+        asked_at, points = project(q, False), project(mat)
+        between = np.maximum(0.0, (asked_at**2).sum(1)[:, None] + (points**2).sum(1) - 2 * asked_at @ points.T)
+        for i in range(len(q)):
+            rows, dots, most = verified(q[i], ids != q_ids[i], mat, between[i], float(far[i]), longest, limit, slack, k)
+            count(len(rows))
+            yield i, rows, dots, most
+
+    def best_of(rows: np.ndarray, dots: np.ndarray, q: np.ndarray, mat: np.ndarray, most: float) -> tuple[np.ndarray, np.ndarray]:
+        """Of the verified vectors those within a distance, at most k, smaller ids first, with their products."""
+        by_id = np.argsort(rows)
+        rows, dots = rows[by_id], dots[by_id]
+        near = longest + float(q @ q) - 2 * dots <= most + slack
+        rows = rows[near][top_of_rows(dots[near][None, :], k)[1]]
+        # One way of summing for all, so that equal vectors have equal scores.
+        return rows, (mat[rows] * q).sum(1)
 
     def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Each block of queries with the squared distances of their k-th found in one block of their cell, or in the sample if that is nearer."""
-        some_ids, some = sampled.value
+        """Each block of queries with what they have found in one block of their cell, and the squared distances of the k-th."""
         for b in batches:
             for r in b.to_pylist():
                 ids, mat = np.frombuffer(r["hids"] or b"", "<i8"), unpack(r["hmat"] or b"", dim)
-                asked_for = np.frombuffer(r["ids"], "<i8"), unpack(r["mat"], dim)
-                far = np.minimum(kth(ids, mat, *asked_for), kth(some_ids, some, *asked_for))
+                q_ids, q = np.frombuffer(r["ids"], "<i8"), unpack(r["mat"], dim)
+                far, hits = np.full(len(q), np.inf), []
+                for i, rows, dots, far[i] in in_block(ids, mat, q_ids, q, np.full(len(q), np.inf)):
+                    rows, score = best_of(rows, dots, q[i], mat, far[i])
+                    hits.append(np.stack([np.full(len(rows), q_ids[i]), ids[rows], score.astype("<f8").view("<i8")]).astype("<i8"))
+                packed = np.concatenate([np.empty((3, 0), "<i8"), *hits], 1).tobytes()
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([r[c]], t) for c, t in (("part", pa.int64()), ("cell", pa.int32()), ("ids", pa.binary()), ("mat", pa.binary()), ("extra", pa.binary()))] + [pa.array([far.astype("<f8").tobytes()]), pa.array([float(far.max())], pa.float64()), pa.array([r["home"]], pa.int64())],
-                    names=["qpart", "qcell", "qids", "qmat", "qbox", "far", "most", "home"],
+                    [pa.array([r[c]], t) for c, t in (("part", pa.int64()), ("cell", pa.int32()), ("ids", pa.binary()), ("mat", pa.binary()), ("extra", pa.binary()))] + [pa.array([far.astype("<f8").tobytes()]), pa.array([float(far.max())], pa.float64()), pa.array([r["home"]], pa.int64()), pa.array([packed], pa.binary())],
+                    names=["qpart", "qcell", "qids", "qmat", "qbox", "far", "most", "home", "hits"],
                 )
 
+    def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for raw in b.column("hits").to_pylist():
+                qid, vid, score = np.frombuffer(raw, "<i8").reshape(3, -1)
+                yield pa.RecordBatch.from_arrays([pa.array(qid), pa.array(vid), pa.array(np.ascontiguousarray(score).view("<f8"))], names=["query_id", "vec_id", "score"])
+
     home = index.groupBy("cell").agg(F.min("part").alias("part")).join(index, ["cell", "part"]).select("cell", F.col("part").alias("home"), F.col("ids").alias("hids"), F.col("mat").alias("hmat"))
-    known = written(asked.join(home, "cell", "left").mapInArrow(bound, "qpart long, qcell int, qids binary, qmat binary, qbox binary, far binary, most double, home long"), "ann-queries")
+    known = written(asked.join(home, "cell", "left").mapInArrow(bound, "qpart long, qcell int, qids binary, qmat binary, qbox binary, far binary, most double, home long, hits binary"), "ann-queries")
 
     def boxes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -195,7 +245,7 @@ def nearest(queries: DataFrame, base: DataFrame, k: int = 20, sure: float = SURE
     gap = sum((F.pow(F.greatest(F.lit(0.0), F.col(f"q_{lo}") - F.col(f"b_{hi}"), F.col(f"b_{lo}") - F.col(f"q_{hi}")), F.lit(2.0)) for lo, hi in zip(lows, highs)), F.lit(0.0))
     # At most MOST_CELLS rows on either side.
     pairs = a.join(F.broadcast(b), (F.col("q_cell") == F.col("b_cell")) | (gap <= (F.col("q_most") + slack) * limit)).select(F.col("q_cell").alias("qcell"), F.col("b_cell").alias("cell"))
-    work = known.join(pairs, "qcell").join(index.select("cell", "part", "ids", "mat", "extra"), "cell").select("qids", "qmat", "far", (F.col("part") == F.col("home")).alias("own"), "ids", "mat", "extra")
+    work = known.join(pairs, "qcell").join(index.select("cell", "part", "ids", "mat", "extra"), "cell").where(~F.col("part").eqNullSafe(F.col("home"))).select("qids", "qmat", "far", "ids", "mat", "extra")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reached: dict[int, float] = {}  # the k-th distance that this task has found for a query in one block
@@ -206,36 +256,22 @@ def nearest(queries: DataFrame, base: DataFrame, k: int = 20, sure: float = SURE
                 ids, mat = np.frombuffer(r["ids"], "<i8"), unpack(r["mat"], dim)
                 q_ids, q_mat, far = np.frombuffer(r["qids"], "<i8"), unpack(r["qmat"], dim), np.frombuffer(r["far"], "<f8")
                 lo, hi = np.frombuffer(r["extra"], "<f8").reshape(2, directions)
-                asked_at, points = project(q_mat, False), project(mat)
-                between = np.maximum(0.0, (asked_at**2).sum(1)[:, None] + (points**2).sum(1) - 2 * asked_at @ points.T)
+                asked_at = project(q_mat, False)
                 edge = (np.maximum(0.0, np.maximum(lo - asked_at, asked_at - hi)) ** 2).sum(1)
-                own = bool(r["own"])
                 start = np.minimum(far, [reached.get(i, np.inf) for i in q_ids.tolist()])
-                rows = np.arange(len(q_ids)) if own else np.flatnonzero(edge <= (start + slack) * limit)
-                q_ids, q_mat, start, between = q_ids[rows], q_mat[rows], start[rows], between[rows]
-                other = q_ids[:, None] != ids
-                dots = q_mat @ mat.T
-                most = start.copy()
-                seen = np.zeros(dots.shape, bool)
-                for ring in (FIRST_RING, 1.0):
-                    # Its own block's k best stand in any case, so that no query has fewer than k.
-                    seen |= other & (np.full(dots.shape, own) | (between <= ring * (most + slack)[:, None] * limit))
-                    if seen.shape[1] >= k:
-                        found = np.where(seen, dots, -np.inf)
-                        cut = -np.partition(-found, k - 1, axis=1)[:, k - 1]
-                        full = np.isfinite(cut)
-                        most[full] = np.minimum(most[full], distances(q_mat[full], cut[full, None])[:, 0])
-                if not own:
-                    seen &= distances(q_mat, dots) <= (start + slack)[:, None]
-                at = top_of_rows(np.where(seen, dots, -np.inf), k)
-                better = np.flatnonzero(most < start)
-                reached.update(zip(q_ids[better].tolist(), most[better].tolist()))
-                qid, vid = q_ids[at[0]], ids[at[1]]
-                # One way of summing for all, so that equal vectors have equal scores.
-                score = (q_mat[at[0]] * mat[at[1]]).sum(1)
-                yield pa.RecordBatch.from_arrays([pa.array(qid, pa.int64()), pa.array(vid, pa.int64()), pa.array(score, pa.float64())], names=["query_id", "vec_id", "score"])
-
-    found = work.mapInArrow(search, "query_id long, vec_id long, score double")
+                asks = np.flatnonzero(edge <= (start + slack) * limit)
+                qid, vid, score = [], [], []
+                for i, rows, dots, most in in_block(ids, mat, q_ids[asks], q_mat[asks], start[asks]):
+                    at = asks[i]
+                    if most < reached.get(int(q_ids[at]), np.inf):
+                        reached[int(q_ids[at])] = most
+                    rows, own = best_of(rows, dots, q_mat[at], mat, most)
+                    qid.append(np.full(len(rows), q_ids[at])), vid.append(ids[rows]), score.append(own)
+                columns = [np.concatenate(x) if x else np.empty(0) for x in (qid, vid, score)]
+                yield pa.RecordBatch.from_arrays([pa.array(c.astype(t), p) for c, t, p in zip(columns, ("i8", "i8", "f8"), (pa.int64(), pa.int64(), pa.float64()))], names=["query_id", "vec_id", "score"])
+
+    hit = "query_id long, vec_id long, score double"
+    found = known.select("hits").mapInArrow(unpacked, hit).union(work.mapInArrow(search, hit))
     first = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -130,3 +130,32 @@ def test_query_matches_its_sql(spark, vectors, tmp_path):
     c.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
     want = sorted(c.sql(topk.SQL).fetchall())
     assert sorted(tuple(r) for r in topk.op2_topk(spark, str(tmp_path)).collect()) == want
+
+
+def test_only_what_passes_the_stopping_test_is_multiplied(spark, monkeypatch):
+    """Clusters far from each other: most vectors are behind the radius at which a query stops."""
+    rng = np.random.default_rng(12)
+    centres = 4 * rng.normal(size=(20, 16))
+    mat = centres[np.repeat(np.arange(20), 200)] + 0.3 * rng.normal(size=(4000, 16))
+    monkeypatch.setattr(ann, "CELL_ROWS", 1_000)
+    base = frame(spark, rows_of(mat.astype(np.float32)))
+    made = spark.sparkContext.accumulator(0)
+    queries = base.where("vec_id % 50 = 0")
+    got = ann.nearest(queries, base, 10, products=made).collect()
+    assert len(got) == 80 * 10 and 0 < made.value < 0.5 * 80 * 4000
+    m = mat.astype(np.float32).astype(np.float64)
+    best = {q: set(np.argsort(-np.where(np.arange(4000) == q, -np.inf, m @ m[q]))[:10].tolist()) for q in range(0, 4000, 50)}
+    assert sum(r["vec_id"] in best[r["query_id"]] for r in got) >= 0.9 * 800
+
+
+def test_verified_takes_rings_until_the_test_holds():
+    rng = np.random.default_rng(13)
+    mat = rng.normal(size=(500, 6))
+    q = rng.normal(size=6)
+    longest = float((mat**2).sum(1).max())
+    distance = longest + q @ q - 2 * mat @ q
+    rows, dots, far = ann.verified(q, np.arange(500) != 3, mat, distance.copy(), np.inf, longest, 1.0, 1e-9, 5)
+    want = np.sort(np.delete(distance, 3))
+    assert far == pytest.approx(want[4]) and len(rows) == ann.FIRST_RING and np.allclose(dots, mat[rows] @ q) and 3 not in rows
+    rows, _, far = ann.verified(q, np.ones(500, bool), mat, distance.copy(), float(want[0]) - 1, longest, 1.0, 1e-9, 5)
+    assert len(rows) == 0 or far == float(want[0]) - 1
