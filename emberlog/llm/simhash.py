@@ -23,6 +23,8 @@ from .common import connected_components, free_name, small_batches, table, writt
 
 #: Members of one bucket that a task holds at once; larger buckets are dealt out again.
 BUCKET_ROWS = 65_536
+#: A fingerprint that more than one of so many rows have is hot; so there are fewer hot ones than this.
+MOST_HOT = 10_000
 
 
 def covering_masks(bits: int, radius: int) -> list[int]:
@@ -169,12 +171,18 @@ def simhash_components(docs: DataFrame, size: int = 3, id_col: str = "doc_id", t
     component's name unless all its ids are null. An empty table gives an empty table.
     """
     fps = written(fingerprints(docs, size, id_col, text_col), "simhash")
-    groups = fps.groupBy("fp").agg(F.min(id_col).alias("least"))
+    groups = fps.groupBy("fp").agg(F.min(id_col).alias("least"), F.count("*").alias("n"))
     comps = connected_components(links_within_two(groups.select("fp"))).checkpoint()
-    placed = groups.join(comps, groups["fp"] == comps["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
+    placed = groups.join(comps, groups["fp"] == comps["node"], "left").select("fp", "least", "n", F.coalesce("component", "fp").alias("component"))
     names = placed.groupBy("component").agg(F.min("least").alias("component_id"))
-    of_fp = placed.join(names, "component").select("fp", "component_id")
-    return fps.join(of_fp, "fp").select(id_col, "fp", "component_id")
+    of_fp = written(placed.join(names, "component").select("fp", "component_id", "n"), "simhash-components")
+    # Copies, and texts without words, share a fingerprint that a third of all rows may have; such ones go to all tasks.
+    total = of_fp.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    is_hot = F.col("n") * MOST_HOT > total
+    hot = F.broadcast(of_fp.where(is_hot).drop("n"))
+    by_hot = fps.join(hot, "fp")
+    by_fp = fps.join(hot.select("fp"), "fp", "left_anti").join(of_fp.where(~is_hot).drop("n"), "fp")
+    return by_hot.union(by_fp.select(by_hot.columns)).select(id_col, "fp", "component_id")
 
 
 # Near-duplicates at a similarity of 0.8 and more.
