@@ -9,25 +9,24 @@ from pyspark.sql import functions as F
 
 from ..plans.ingest import SOURCE, IngestResult
 from ..profile import COMBINED_LINE, COMMON_LINE, Profile, line_pattern, problems
-from .json_sources import as_object, ingest_json_documents, ingest_json_lines
-from .lines import read_documents, read_lines
+from .json_sources import as_object, ingest_json_lines
+from .json_structure import ingest_json_files
+from .lines import read_lines
 from .syslog import MODERN, ingest_syslog, legacy_header, priority
 from .text_sources import KEY_VALUE_LINE, PAIR, ingest_delimited, ingest_key_value, ingest_regex
 from .w3c import ingest_w3c
 from .xml_source import ingest_xml_files
 
 LINE_FORMATS: dict[str, Callable[..., IngestResult]] = {"json-lines": ingest_json_lines, "regex-text": ingest_regex, "key-value": ingest_key_value, "syslog": ingest_syslog, "iis-w3c": ingest_w3c, "csv": ingest_delimited, "tsv": ingest_delimited}
-DOCUMENT_FORMATS: dict[str, Callable[..., IngestResult]] = {"structured-json": ingest_json_documents}
+FILE_FORMATS: dict[str, Callable[..., IngestResult]] = {"structured-json": ingest_json_files, "xml": ingest_xml_files}
 
 
 def ingest(spark: SparkSession, paths: str | list[str], profile: Profile, session_id: str = "default", **more) -> IngestResult:
     """Reads files by the profile's format. more goes to the format's function; ValueError for a profile that cannot be used."""
     if found := problems(profile):
         raise ValueError("; ".join(found))
-    if profile.format_id == "xml":
-        return ingest_xml_files(spark, paths, profile, session_id, **more)
-    if profile.format_id in DOCUMENT_FORMATS:
-        return DOCUMENT_FORMATS[profile.format_id](read_documents(spark, paths, session_id), profile, **more)
+    if profile.format_id in FILE_FORMATS:
+        return FILE_FORMATS[profile.format_id](spark, paths, profile, session_id, **more)
     return LINE_FORMATS[profile.format_id](read_lines(spark, paths, session_id), profile, **more)
 
 

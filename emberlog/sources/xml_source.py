@@ -18,13 +18,13 @@ from collections.abc import Iterator
 from xml.parsers import expat
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.ingest import SOURCE, IngestResult, error_when, finish, no_notes
 from ..profile import Profile
-from ..session import importable, prepared, stored
-from .lines import MOST_SPLITS, source_name
+from ..session import importable, stored
+from .splits import PLACE, may_be_split, numbered, read_pieces, runs, split_states, with_states
 
 #: Where a piece may begin: in text, or in what ends with these before ">", or in a quoted value.
 MODES = ("", "--", "]]", "?", "]", '"', "'")
@@ -118,7 +118,7 @@ class Scan:
         return "open"
 
 
-def effects(pieces: Iterator[str]) -> dict[str, list]:
+def effects(pieces: Iterator[tuple[bool, str]]) -> dict[str, list]:
     """For each state that the pieces may begin in: the state at their end, names closed, names opened, what is wrong, and whether an element began and ended with nothing else known to be open.
 
     A scan that has come to the state of the first one is the same from there on.
@@ -126,7 +126,7 @@ def effects(pieces: Iterator[str]) -> dict[str, list]:
     parts = [Scan()]
     others = {m: (Scan(m), None) for m in MODES[1:]}
     apart = list(others)
-    for piece in pieces:
+    for _, piece in pieces:
         parts[-1].feed(piece)
         for m in apart:
             others[m][0].feed(piece)
@@ -158,6 +158,9 @@ def effects(pieces: Iterator[str]) -> dict[str, list]:
     return {"": joined(parts)} | {m: joined([s] if k is None else [s, *parts[k:]]) for m, (s, k) in others.items()}
 
 
+BEGIN = ["", [], False, ""]
+
+
 def after(state: list, effect: dict[str, list]) -> list:
     """[mode, stack, done, error] behind a split whose effect this is."""
     mode, stack, done, error = state
@@ -178,19 +181,6 @@ def after(state: list, effect: dict[str, list]) -> list:
     return [end, stack + opened, done, error or wrong]
 
 
-def _runs(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[tuple[tuple, Iterator]]:
-    """Rows of batches by runs of equal keys, each run as an iterator of the rest of the row's values."""
-    from itertools import groupby
-
-    def rows() -> Iterator[tuple]:
-        for b in batches:
-            names = [n for n in b.schema.names if n not in keys]
-            yield from zip(zip(*(b.column(k).to_pylist() for k in keys)), zip(*(b.column(n).to_pylist() for n in names)))
-
-    for key, run in groupby(rows(), key=lambda r: r[0]):
-        yield key, (r[1] for r in run)
-
-
 def _pieces_of(text: str) -> Iterator[tuple[None, str]]:
     at = 0
     while (end := text.find(">", at)) >= 0:
@@ -200,7 +190,7 @@ def _pieces_of(text: str) -> Iterator[tuple[None, str]]:
 
 
 def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, Iterator]]:
-    """As _runs(), of whole documents."""
+    """As runs(), of whole documents."""
     for b in batches:
         for *source, document in zip(*(b.column(c).to_pylist() for c in (*SOURCE, "document"))):
             yield (*source, 0, True), _pieces_of(document or "")
@@ -303,38 +293,6 @@ def with_element_fields(elements: DataFrame) -> DataFrame:
 
 # Pieces and cuts.
 
-_PLACE = (*SOURCE, "block", "single")
-
-
-def read_pieces(spark: SparkSession, paths: str | list[str], session_id: str = "default") -> DataFrame:
-    """(SOURCE, block, single, piece) of files, in order within a split; single tells that the split is the whole file."""
-    prepared(spark)
-    raw = spark.read.option("lineSep", ">").text(paths)
-    m = F.col("_metadata")
-    path = m["file_path"]
-    return raw.select(F.lit(session_id).alias("session_id"), path.alias("source_path"), source_name(path).alias("source_name"), m["file_block_start"].alias("block"), (m["file_block_length"] >= m["file_size"]).alias("single"), F.col("value").alias("piece"))
-
-
-def split_states(pieces: DataFrame) -> DataFrame:
-    """(source_path, block, state, last) of files of several splits: the state each split begins in, and that behind the last as block -1."""
-    importable(pieces.sparkSession)
-
-    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (path, block), run in _runs(batches, ("source_path", "block")):
-            yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([block]), pa.array([json.dumps(effects(r[0] or "" for r in run))])], names=["source_path", "block", "effect"])
-
-    def prefix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (path,), run in _runs(batches, ("source_path",)):
-            state = ["", [], False, ""]
-            for block, effect in run:
-                yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([block]), pa.array([json.dumps(state)])], names=["source_path", "block", "state"])
-                state = after(state, json.loads(effect))
-            yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([-1]), pa.array([json.dumps(state)])], names=["source_path", "block", "state"])
-
-    several = pieces.where("not single").select("source_path", "block", "piece").mapInArrow(sums, "source_path string, block long, effect string")
-    return several.repartition("source_path").sortWithinPartitions("source_path", "block").mapInArrow(prefix, "source_path string, block long, state string")
-
-
 def cut(pieces: DataFrame, path: list[str], states: DataFrame | None = None) -> DataFrame:
     """What each split of pieces, or each row of documents(SOURCE, document), holds of the elements at a path; of the root element if that is empty.
 
@@ -347,12 +305,8 @@ def cut(pieces: DataFrame, path: list[str], states: DataFrame | None = None) ->
     whole_documents = "document" in pieces.columns
     if whole_documents:
         rows_in = pieces.select(*SOURCE, "document")
-    elif states is None:
-        rows_in = pieces.select(*_PLACE, F.lit(None).cast("string").alias("state"), "piece")
     else:
-        own = states.select(F.col("source_path").alias("_path"), F.col("block").alias("_block"), "state").where("_block >= 0")
-        own = F.broadcast(own) if own.count() <= MOST_SPLITS else own
-        rows_in = pieces.join(own, (F.col("source_path") == F.col("_path")) & (F.col("block") == F.col("_block")) & ~F.col("single"), "left").select(*_PLACE, "state", "piece")
+        rows_in = with_states(pieces, states)
     names = [*SOURCE, "block", "k", "whole", "raw_source"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -366,7 +320,7 @@ def cut(pieces: DataFrame, path: list[str], states: DataFrame | None = None) ->
             held.clear()
             return batch
 
-        for (*source, block, single), rows in _documents(batches) if whole_documents else _runs(batches, _PLACE):
+        for (*source, block, single), rows in _documents(batches) if whole_documents else runs(batches, PLACE):
             scan, inside, text, k, size, blank = None, False, [], 0, 0, True
             for state, piece in rows:
                 piece = piece or ""
@@ -440,14 +394,10 @@ def ingest_xml_pieces(pieces: DataFrame, profile: Profile, several: bool = False
         cuts = cut(pieces, path)
         rows = cuts.where("k > 0").withColumn("record_number", F.col("k")).select(columns)
     else:
-        states = stored(split_states(pieces), "xml-states")
+        states = stored(split_states(pieces, BEGIN, effects, after), "xml-states")
         cuts = stored(cut(pieces, path, states), "xml-cuts")
-        counts = cuts.where("k < 0").select("source_path", "block", (-1 - F.col("k")).alias("_n"))
-        before = F.coalesce(F.sum("_n").over(Window.partitionBy("source_path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        counts = counts.select("source_path", "block", before.alias("_before"))
-        numbered = cuts.where("k >= 0").join(F.broadcast(counts) if counts.count() <= MOST_SPLITS else counts, ["source_path", "block"]).withColumn("record_number", F.col("_before") + F.col("k"))
-        parts = numbered.where("not whole").groupBy(*SOURCE, "record_number").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("block", "raw_source"))), lambda x: x["raw_source"]), "").alias("raw_source"))
-        rows = numbered.where("whole").select(columns).union(with_element_fields(parts).select(columns))
+        whole, parts = numbered(cuts)
+        rows = whole.select(columns).union(with_element_fields(parts).select(columns))
     made = rows.withColumns({"others": F.col("lists"), "notes": no_notes()})
     return finish(made, profile, _cut_sources(cuts, profile.record_path, states))
 
@@ -465,11 +415,7 @@ def ingest_xml_files(spark: SparkSession, paths: str | list[str], profile: Profi
     comments and CDATA included; elements of that name inside a record belong to it. Records that are complete
     before something is wrong with a document stay, and the document is an error of its source.
     """
-    sizes = spark.read.format("binaryFile").load(paths).agg(F.max("length")).first()[0] or 0
-    # Spark does not split files below this.
-    least = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.openCostInBytes"))
-    most = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
-    return ingest_xml_pieces(read_pieces(spark, paths, session_id), profile, several=sizes > min(least, most))
+    return ingest_xml_pieces(read_pieces(spark, paths, ">", session_id), profile, several=may_be_split(spark, paths))
 
 
 def ingest_xml_documents(documents: DataFrame, profile: Profile) -> IngestResult:
