@@ -31,6 +31,8 @@ FIRST_RING = 64
 #: The bound of the sample that the tree is split by, and of its cells.
 SAMPLE_ROWS, MOST_CELLS, CELL_ROWS = 20_000, 2_048, 1_024
 BLOCK_ROWS, QUERY_ROWS = 2_048, 512
+#: Rows of a cell that are dealt to one place; a larger cell, such as one of many copies, is dealt to several.
+SHARD_ROWS = 65_536
 #: Queries whose bound a task remembers.
 MOST_REACHED = 500_000
 
@@ -176,8 +178,19 @@ def nearest(queries: DataFrame, base: DataFrame, k: int = 20, sure: float = SURE
         return run
 
     order = [F.col("cell"), F.col("id")]
-    index = written(blocks(rows.mapInArrow(deal(True), with_cell), dim, BLOCK_ROWS, order, box(True)), "ann-index")
-    asked = blocks(usable(queries).mapInArrow(deal(False), with_cell), dim, QUERY_ROWS, order, box(False))
+
+    def dealt(df: DataFrame, lift: bool) -> tuple[DataFrame, list]:
+        """Rows with their cell, and what they are dealt by, so that a cell's blocks are full however many tasks there are."""
+        found = df.mapInArrow(deal(lift), with_cell)
+        large = found.groupBy("cell").count().where(F.col("count") > SHARD_ROWS).collect()  # at most MOST_CELLS rows
+        pairs = [F.lit(x) for r in large for x in (r["cell"], -(-r["count"] // SHARD_ROWS))]
+        shards = F.coalesce(F.try_element_at(F.create_map(*pairs), F.col("cell")), F.lit(1)) if pairs else F.lit(1)
+        return found, [F.col("cell"), F.pmod(F.xxhash64("id"), shards)]
+
+    placed, by = dealt(rows, True)
+    index = written(blocks(placed, dim, BLOCK_ROWS, order, box(True), by), "ann-index")
+    placed, by = dealt(usable(queries), False)
+    asked = blocks(placed, dim, QUERY_ROWS, order, box(False), by)
     limit = chi_square_quantile(sure, directions)
     slack = 1e-9 * max(longest, 1e-300)
 

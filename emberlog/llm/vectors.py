@@ -38,11 +38,11 @@ def unpack(raw: bytes, dim: int) -> np.ndarray:
 BLOCK_SCHEMA = "part long, cell int, n int, ids binary, mat binary, extra binary"
 
 
-def blocks(df: DataFrame, dim: int, rows: int, order: list, extra: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:
+def blocks(df: DataFrame, dim: int, rows: int, order: list, extra: Callable[[np.ndarray], np.ndarray] | None = None, by: list | None = None) -> DataFrame:
     """df(cell int, id, vec) in the given order, cut where cell changes and after so many rows.
 
     The order ends in id, so that range partitions also split rows that are alike in all
-    else. extra maps a block's vectors to an array that is packed beside them.
+    else; by deals rows by a hash instead. extra maps a block's vectors to an array that is packed beside them.
     """
     small_batches(df.sparkSession)
 
@@ -82,6 +82,7 @@ def blocks(df: DataFrame, dim: int, rows: int, order: list, extra: Callable[[np.
         if held:
             yield out()
 
-    dealt = df.select("cell", "id", "vec", *[o.alias(f"_o{i}") for i, o in enumerate(order)])
+    dealt = df.select("cell", "id", "vec", *[o.alias(f"_o{i}") for i, o in enumerate(order)], *[c.alias(f"_b{i}") for i, c in enumerate(by or ())])
     keys = [f"_o{i}" for i in range(len(order))]
-    return dealt.repartitionByRange(*keys).sortWithinPartitions(*keys).select("cell", "id", "vec").mapInArrow(cut, BLOCK_SCHEMA)
+    dealt = dealt.repartition(*[f"_b{i}" for i in range(len(by))]) if by else dealt.repartitionByRange(*keys)
+    return dealt.sortWithinPartitions(*keys).select("cell", "id", "vec").mapInArrow(cut, BLOCK_SCHEMA)
