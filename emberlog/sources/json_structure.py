@@ -133,10 +133,11 @@ def after(state: list, effect: list) -> list:
     return [ends_inside, known(rest), frames + more, error or wrong]
 
 
-def cut(pieces: DataFrame, path: list[str], states: DataFrame | None = None) -> DataFrame:
+def cut(pieces: DataFrame, path: list[str], states: DataFrame | None = None, limit: int = 0) -> DataFrame:
     """(SOURCE, block, k, whole, raw_source, told): elements of the list, or the object, at a path; see numbered().
 
     The row of a split with k below 0 tells as JSON [kind of the root, containers at the path, other values there], what is wrong as raw_source, and as whole whether the split is blank.
+    With a limit, pieces of one file are read no further than element limit + 1.
     """
     importable(pieces.sparkSession)
     depth = len(path) + 2
@@ -203,6 +204,10 @@ def cut(pieces: DataFrame, path: list[str], states: DataFrame | None = None) ->
                 if kind and not scan.error:
                     parts.append(text[start:])
                 size += len(text)
+                if limit and k > limit:
+                    held.append((*source, block, -1 - k, False, "", json.dumps([root, count, scalars])))
+                    yield out()
+                    return
                 if len(held) >= 512 or size > 4 << 20:
                     yield out()
                     size = 0

@@ -293,12 +293,13 @@ def with_element_fields(elements: DataFrame) -> DataFrame:
 
 # Pieces and cuts.
 
-def cut(pieces: DataFrame, path: list[str], states: DataFrame | None = None) -> DataFrame:
+def cut(pieces: DataFrame, path: list[str], states: DataFrame | None = None, limit: int = 0) -> DataFrame:
     """What each split of pieces, or each row of documents(SOURCE, document), holds of the elements at a path; of the root element if that is empty.
 
     (SOURCE, block, k, whole, raw_source, error, fields, lists): k counts the elements that begin in the split
     from 1, 0 is the rest of one that began before; whole tells that it ends there too. A split in which n
     elements begin has one more row, with k = -1 - n, what is wrong with it as raw_source, and as whole whether it is blank.
+    With a limit, pieces of one file are read no further than element limit + 1.
     """
     importable(pieces.sparkSession)
     depth = len(path) or 1
@@ -351,6 +352,10 @@ def cut(pieces: DataFrame, path: list[str], states: DataFrame | None = None) ->
                 elif event == "open" and len(scan.stack) == depth and (not path or scan.stack == path):
                     k += 1
                     inside, text = True, [piece[scan.at :]]
+                if limit and k > limit:
+                    held.append((*source, block, -1 - k, False, ""))
+                    yield out()
+                    return
                 if len(held) >= 256 or size > 4 << 20:
                     yield out()
                     size = 0
