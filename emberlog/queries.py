@@ -15,9 +15,10 @@ from .functions.normalize import display_timestamp, epoch_ms, parse_severity, se
 from .operators import analysis, bursts, drilldown, export, filters, navigation, state
 from .plans.ingest import IngestResult
 from .profile import APACHE_COMMON, DEFAULT_PATHS, IIS_W3C, WEB_COMBINED, WINDOWS_EVENTS, Profile
-from .session import prepared, spread_out
+from .session import new_path, prepared, spread_out
+from .sources.heads import preview_files
 from .sources.json_sources import ingest_json_documents, ingest_json_lines
-from .sources.registry import discover_attributes, preview, suggest_formats
+from .sources.registry import discover_attributes, ingest, preview, suggest_formats
 from .sources.syslog import ingest_syslog
 from .sources.text_sources import ingest_delimited, ingest_key_value, ingest_regex
 from .sources.w3c import ingest_w3c
@@ -615,6 +616,66 @@ def xml_roundtrip(spark, sf_dir):
     return got.select("source_path", "record_number", "severity", "subsystem", "event_code", "message", epoch_ms(F.col("event_ts")).alias("ms"), of("EventData.NamedData.k").alias("k"), of("Computer").alias("computer"))
 
 
+# Files: what is rendered is written to the shared folder and read from there by path, as users do.
+
+
+def as_files(rows: DataFrame, text: str, order: str) -> str:
+    """The folder of a file for each value of part, with the text of its rows in order, a line each."""
+    path = new_path(rows.sparkSession, "files")
+    rows.repartition("part").sortWithinPartitions("part", order).select("part", F.col(text).alias("value")).write.partitionBy("part").text(path)
+    return path
+
+
+def part_of() -> Column:
+    return F.regexp_extract("source_path", r"/part=(\d+)/", 1).cast("long").alias("part")
+
+
+@query("""SELECT event_id % 4 AS part, row_number() OVER (PARTITION BY event_id % 4 ORDER BY event_id) AS record_number, 'said "' || event_type || '", then left' AS message, 'part-' AS name FROM events""")
+def jsonl_files(spark, sf_dir):
+    """Lines of files, numbered whatever the splits."""
+    rows = json_lines(spark, sf_dir).withColumn("part", F.regexp_extract("source_path", r"part-(\d)", 1))
+    found = ingest(spark, as_files(rows, "raw_source", "record_number"), EVENT_PROFILE).records
+    return found.select(part_of(), "record_number", "message", F.substring("source_name", 1, 5).alias("name"))
+
+
+DOCUMENT_FILES_SQL = """SELECT event_id % 4 * 100000 + (event_id + 2) // 400 AS part, row_number() OVER (PARTITION BY event_id % 4, (event_id + 2) // 400 ORDER BY event_id) AS record_number,
+  event_type AS event_code, (epoch_us(ts) // 1000) AS ms, json_extract_string(props, '$.k') AS k FROM events"""
+
+
+def document_files(docs: DataFrame) -> str:
+    part = F.regexp_extract("source_path", r"part-(\d)\.log-(\d+)", 1).cast("long") * 100_000 + F.regexp_extract("source_path", r"part-(\d)\.log-(\d+)", 2).cast("long")
+    return as_files(docs.withColumn("part", part), "document", "source_path")
+
+
+def of_files(found: DataFrame) -> DataFrame:
+    return found.select(part_of(), "record_number", "event_code", epoch_ms(F.col("event_ts")).alias("ms"), F.try_element_at("attributes", F.lit("k")).alias("k"))
+
+
+@query(DOCUMENT_FILES_SQL)
+def xml_files_by_path(spark, sf_dir):
+    """Only elements at the whole path are records: not those of another parent, in a comment, or inside of a record."""
+    element = F.concat(F.lit('<e at="'), "t", F.lit('"><!-- <e/> --><code>'), "event_type", F.lit("</code><k>"), "k", F.lit('</k><e q="a>b"><![CDATA[</e>]]></e></e>'))
+    docs = documents_of(rendered(spark, sf_dir, element), "<log><old><e><code>x</code></e></old><!-- <new><e/> --><new>", "\n", "</new><e/></log>")
+    profile = Profile(format_id="xml", record_path="log.new.e", canonical={"timestamp": "@at", "event_code": "code"})
+    return of_files(ingest(spark, document_files(docs), profile).records)
+
+
+@query(DOCUMENT_FILES_SQL)
+def json_files_by_path(spark, sf_dir):
+    """Elements of the list at the whole path, whatever has its name elsewhere."""
+    element = F.to_json(F.struct("t", F.col("event_type").alias("code"), "k", F.array(F.lit("{]"), F.lit('"[')).alias("data")))
+    docs = documents_of(rendered(spark, sf_dir, element), '{"old": {"data": [{"code": "x"}]}, "new": {"data": [', ",", ']}, "data": [1]}')
+    profile = Profile(format_id="structured-json", record_path="new.data", canonical={"timestamp": "t", "event_code": "code"})
+    return of_files(ingest(spark, document_files(docs), profile).records)
+
+
+@query("""SELECT event_id % 4 AS part, event_id // 4 + 1 AS record_number, 'said "' || event_type || '", then left' AS message FROM events WHERE event_id // 4 < 25""")
+def previewed_files(spark, sf_dir):
+    """The first 25 records of each file, from the heads of the files."""
+    rows = json_lines(spark, sf_dir).withColumn("part", F.regexp_extract("source_path", r"part-(\d)", 1))
+    return preview_files(spark, as_files(rows, "raw_source", "record_number"), EVENT_PROFILE, 25)[0].select(part_of(), "record_number", "message")
+
+
 # Accounting: every tenth line is broken, every eleventh has no severity that is known, every thirteenth no time.
 
 
