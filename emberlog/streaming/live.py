@@ -16,7 +16,7 @@ from ..profile import Profile
 from ..session import prepared
 from ..sources.registry import LINE_FORMATS
 
-LIVE_FORMATS = ("json-lines", "regex-text", "key-value")
+LIVE_FORMATS = ("json-lines", "regex-text", "key-value", "syslog")
 
 
 def follow_lines(spark: SparkSession, path: str, session_id: str = "live", files_per_trigger: int = 1_000) -> DataFrame:
@@ -26,11 +26,11 @@ def follow_lines(spark: SparkSession, path: str, session_id: str = "live", files
     return raw.select(F.lit(session_id).alias("session_id"), "source_path", F.element_at(F.split("source_path", "/"), -1).alias("source_name"), F.lit(None).cast("long").alias("record_number"), F.regexp_replace("value", r"\r$", "").alias("raw_source"))
 
 
-def follow_records(lines: DataFrame, profile: Profile) -> DataFrame:
-    """Records of a stream of lines, in a format that reads each line by itself."""
+def follow_records(lines: DataFrame, profile: Profile, **more) -> DataFrame:
+    """Records of a stream of lines, in a format that reads each line by itself. more goes to the format's function, such as syslog's reference_date."""
     if profile.format_id not in LIVE_FORMATS:
         raise ValueError(f"{profile.format_id} needs whole sources")
-    return LINE_FORMATS[profile.format_id](lines, profile).records
+    return LINE_FORMATS[profile.format_id](lines, profile, **more).records
 
 
 def live_timeline(records: DataFrame, interval: str = "1 minute", late: str = "10 minutes") -> DataFrame:
