@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.normalize import lookup
 from ..plans.ingest import SOURCE, IngestResult, error_when, finish, no_notes, note
 from ..profile import Profile, java_to_python, problems
-from ..session import settled
+from ..session import stored
 from .lines import MOST_SPLITS, not_blank
 
 
@@ -26,35 +26,36 @@ def split_delimited(line: Column, delimiter: str) -> tuple[Column, Column]:
     # Each match is a delimiter and a field, so the line gets one in front. What no match covers is not well formed.
     found = F.regexp_extract_all(F.concat(F.lit(delimiter), line), F.lit(rf"{d}({field})"), F.lit(1))
     plain = F.transform(found, lambda f: F.when(f.startswith('"'), F.replace(F.substr(f, F.lit(2), F.length(f) - 2), F.lit('""'), F.lit('"'))).otherwise(f))
-    return F.array_join(found, delimiter) == line, F.when(F.contains(line, F.lit('"')), plain).otherwise(found)
+    # A line without a quote is well formed, and cut at its delimiters; the pattern is for the others.
+    quoted = F.contains(line, F.lit('"'))
+    return ~quoted | (F.array_join(found, delimiter) == line), F.when(quoted, plain).otherwise(F.split(line, d, -1))
 
 
 def ingest_delimited(lines: DataFrame, profile: Profile, delimiter: str | None = None) -> IngestResult:
     """Rows under a header: each source's first line that is not blank. A bad header rejects the source.
 
     Sources without any such line have DELIMITED_HEADER_REQUIRED; sources without any
-    line at all are not in lines and so not known here.
+    line at all are not in lines and so not known here. The headers are found by a job
+    that runs at this call: one row for each source, stored in the shared folder.
     """
     delimiter = delimiter or ("\t" if profile.format_id == "tsv" else ",")
     some = not_blank(lines)
-    head = some.groupBy(*SOURCE).agg(F.min_by("raw_source", "record_number").alias("_head"), F.min("record_number").alias("_head_no"))
+    number = F.when(F.col("raw_source").rlike(r"\S"), F.col("record_number"))
+    head = lines.groupBy(*SOURCE).agg(F.min_by("raw_source", number).alias("_head"), F.min(number).alias("_head_no"))
     head_ok, head_fields = split_delimited(F.regexp_replace("_head", "^\ufeff", ""), delimiter)
     head = head.withColumns({"_head_ok": head_ok, "_names": F.transform(head_fields, lambda n: F.trim(n))})
     head = head.withColumn(
         "_head_error",
         error_when(
+            (F.col("_head").isNull(), "DELIMITED_HEADER_REQUIRED", "the source has no header"),
             (~F.col("_head_ok"), "MALFORMED_DELIMITED_HEADER", "the header is not well formed"),
             (F.exists("_names", lambda n: n == ""), "EMPTY_DELIMITED_HEADER", "a header name is empty"),
             (F.size(F.array_distinct(F.transform("_names", F.lower))) < F.size("_names"), "DUPLICATE_DELIMITED_HEADER", "a header name is repeated"),
         ),
     )
-    # One row for each source, found once.
-    head = settled(head)
+    head = stored(head.select(*SOURCE, "_head_no", "_names", "_head_error"), "headers")
     few = head.count() <= MOST_SPLITS
-    empty = lines.groupBy(*SOURCE).agg(F.bool_or(F.col("raw_source").rlike(r"\S")).alias("_any")).where("not _any")
-    sources = head.where("_head_error is not null").select(*SOURCE, F.col("_head_error.code").alias("code"), F.col("_head_error.message").alias("message"), F.lit("Error").alias("severity")).unionByName(
-        empty.select(*SOURCE, F.lit("DELIMITED_HEADER_REQUIRED").alias("code"), F.lit("the source has no header").alias("message"), F.lit("Error").alias("severity"))
-    )
+    sources = head.where("_head_error is not null").select(*SOURCE, F.col("_head_error.code").alias("code"), F.col("_head_error.message").alias("message"), F.lit("Error").alias("severity"))
     good = head.where("_head_error is null").select(*[F.col(c).alias(f"_h_{c}") for c in SOURCE], "_head_no", "_names")
     rows = some.join(F.broadcast(good) if few else good, [some[c] == good[f"_h_{c}"] for c in SOURCE]).where("record_number > _head_no")
     valid, fields = split_delimited(F.col("raw_source"), delimiter)
