@@ -8,16 +8,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions.normalize import display_timestamp, epoch_ms, parse_severity, severity_rank
 from .operators import analysis, bursts, drilldown, export, filters, navigation, state
 from .plans.ingest import IngestResult
+from .plans.reingest import current, reingest
 from .profile import APACHE_COMMON, DEFAULT_PATHS, IIS_W3C, WEB_COMBINED, WINDOWS_EVENTS, Profile
 from .session import new_path, prepared, spread_out
 from .sources.heads import preview_files
 from .sources.json_sources import ingest_json_documents, ingest_json_lines
+from .sources.lines import read_lines
 from .sources.registry import discover_attributes, ingest, preview, suggest_formats
 from .sources.syslog import ingest_syslog
 from .sources.text_sources import ingest_delimited, ingest_key_value, ingest_regex
@@ -676,6 +678,83 @@ def previewed_files(spark, sf_dir):
     return preview_files(spark, as_files(rows, "raw_source", "record_number"), EVENT_PROFILE, 25)[0].select(part_of(), "record_number", "message")
 
 
+@query(f"""SELECT event_id % 4 AS part, row_number() OVER (PARTITION BY event_id % 4 ORDER BY event_id) AS record_number, {SEVERITY_SQL} AS severity,
+  CASE event_id % 4 WHEN 1 THEN upper(event_type) ELSE event_type END AS message, (epoch_us(ts) // 1000) AS ms FROM events""")
+def reingested_files(spark, sf_dir):
+    """Files that are read, of which one is then written anew, and only that one read again."""
+    of = lambda c: F.to_json(F.struct(F.col("t").alias("timestamp"), F.col("event_type").alias("level"), c.alias("message")))
+    part = F.regexp_extract("source_path", r"part-(\d)", 1)
+    path = as_files(rendered(spark, sf_dir, of(F.col("event_type"))).withColumn("part", part), "raw_source", "record_number")
+    out = new_path(spark, "versions")
+    reingest(spark, f"{path}/part=*", EVENT_PROFILE, out)
+    loud = rendered(spark, sf_dir, of(F.upper("event_type"))).withColumn("part", part).where("part = '1'")
+    loud.repartition("part").sortWithinPartitions("record_number").select(F.col("raw_source").alias("value")).write.mode("overwrite").text(f"{path}/part=1")
+    reingest(spark, f"{path}/part=*", EVENT_PROFILE, out)
+    return current(spark, out).records.select(part_of(), "record_number", "severity", "message", epoch_ms(F.col("event_ts")).alias("ms"))
+
+
+@query("""SELECT event_id % 4 AS part, row_number() OVER (PARTITION BY event_id % 4 ORDER BY event_id) + (row_number() OVER (PARTITION BY event_id % 4 ORDER BY event_id) - 1) // 50 + 1 AS record_number,
+  CASE WHEN ((row_number() OVER (PARTITION BY event_id % 4 ORDER BY event_id) - 1) // 50) % 2 = 0 THEN event_type END AS message, (epoch_us(ts) // 1000) // 1000 * 1000 AS ms FROM events""")
+def w3c_files(spark, sf_dir):
+    """Files whose directive changes every fifty lines, far more often than could be broadcast of a large table."""
+    e = rendered(spark, sf_dir, F.concat_ws(" ", F.date_format("ts", "yyyy-MM-dd"), F.date_format("ts", "HH:mm:ss"), "event_type"))
+    nth = F.row_number().over(Window.partitionBy("source_path").orderBy("record_number")) - 1
+    head = F.when(F.floor(nth / 50) % 2 == 0, F.lit("#Fields: date time cs-method\n")).otherwise(F.lit("#Fields: date time x-kind\n"))
+    rows = e.withColumns({"_head": F.when(nth % 50 == 0, head).otherwise(F.lit("")), "part": F.regexp_extract("source_path", r"part-(\d)", 1)}).withColumn("raw_source", F.concat("_head", "raw_source"))
+    return ingest(spark, as_files(rows, "raw_source", "record_number"), IIS_W3C).records.select(part_of(), "record_number", "message", epoch_ms(F.col("event_ts")).alias("ms"))
+
+
+@query("""SELECT part, code, processed, imported, has_errors FROM (SELECT event_id % 4 AS part, CASE event_id % 4 WHEN 1 THEN 'DUPLICATE_DELIMITED_HEADER' WHEN 2 THEN 'EMPTY_DELIMITED_HEADER' WHEN 3 THEN 'MALFORMED_DELIMITED_HEADER' END AS code,
+  CASE event_id % 4 WHEN 0 THEN count(*) ELSE 0 END AS processed, CASE event_id % 4 WHEN 0 THEN count(*) ELSE 0 END AS imported, event_id % 4 <> 0 AS has_errors FROM events GROUP BY event_id % 4)""")
+def rejected_sources(spark, sf_dir):
+    """Files of which three have headers that reject them as a whole."""
+    part = F.regexp_extract("source_path", r"part-(\d)", 1)
+    head = F.element_at(F.array(*map(F.lit, ("level,message", "a, A ", "level,", 'level,"a"b'))), part.cast("int") + 1)
+    lines = rendered(spark, sf_dir, F.concat_ws(",", "event_type", quoted("message")), ((1, "head"),))
+    rows = lines.withColumn("raw_source", F.when(F.col("record_number") == 1, head).otherwise(F.col("raw_source"))).withColumn("part", part)
+    found = ingest(spark, as_files(rows, "raw_source", "record_number"), Profile(format_id="csv"))
+    notes = found.diagnostics.where("record_number is null").select("source_path", "code")
+    return found.stats.join(notes, "source_path", "left").select(part_of(), "code", "processed", "imported", "has_errors")
+
+
+@query("""SELECT DISTINCT event_id % 4 AS part, NULL::BIGINT AS record_number, 'SYSLOG_LEGACY_TIMESTAMP_INFERRED' AS code, 'Information' AS severity FROM events WHERE event_id % 4 < 2
+  UNION ALL SELECT event_id % 4, event_id // 4 + 1, 'KEY_VALUE_DUPLICATE_KEY', 'Warning' FROM events WHERE event_id % 3 = 0""")
+def source_notes(spark, sf_dir):
+    """Notes that reject nothing: once for each file with years inferred, and for each line that repeats a key."""
+    part = F.regexp_extract("source_path", r"part-(\d)", 1)
+    old = F.concat_ws(" ", F.concat(F.lit("<134>"), F.date_format("ts", "MMM")), F.date_format("ts", "d"), F.date_format("ts", "HH:mm:ss"), F.lit("h app:"), "event_type")
+    new = F.concat_ws(" ", F.lit("<134>1"), "t", F.lit("h app 1 m -"), "event_type")
+    syslog = rendered(spark, sf_dir, F.when(F.col("event_id") % 4 < 2, old).otherwise(new)).withColumn("part", part)
+    pairs = rendered(spark, sf_dir, F.concat_ws(" ", F.concat(F.lit("message="), "event_type"), F.when(F.col("event_id") % 3 == 0, F.lit("message=again")))).withColumn("part", part)
+    first = ingest(spark, as_files(syslog, "raw_source", "record_number"), Profile(format_id="syslog"), reference_date="2024-02-01").diagnostics
+    second = ingest(spark, as_files(pairs, "raw_source", "record_number"), Profile(format_id="key-value")).diagnostics
+    return first.unionByName(second).select(part_of(), "record_number", "code", "severity")
+
+
+def text_of(spark, path: str) -> DataFrame:
+    """The lines of CSV files that were written, without those of headers (the first of each file)."""
+    lines = read_lines(spark, path)
+    return lines.where("record_number > 1").select(F.col("raw_source").alias("line"))
+
+
+@query(f"""SELECT {TS_SQL} || ',' || {SEVERITY_SQL} || ',svc-' || (user_id % 7) || ',' || event_type || ',user-' || user_id || ',"said ""' || event_type || '"", then left",' || coalesce(json_extract_string(props, '$.k'), '') || ',"[""' || event_type || '"",1]"' AS line FROM events""")
+def exported_csv(spark, sf_dir):
+    """Quotes only where they are needed, and lists as compact JSON, in files that were written."""
+    line = F.to_json(F.struct(F.col("t").alias("timestamp"), F.col("event_type").alias("level"), "subsystem", F.col("event_type").alias("eventCode"), F.col("entity").alias("entityId"), "message", F.from_json("props", "k int").alias("props")))
+    tagged = F.concat(F.substr(line, F.lit(1), F.length(line) - 1), F.lit(', "tags": [ "'), "event_type", F.lit('", 1 ]}'))
+    path = new_path(spark, "export")
+    export.write_csv(ingest_json_lines(rendered(spark, sf_dir, tagged), EVENT_PROFILE).records, path, ["k", "tags"])
+    return text_of(spark, path)
+
+
+@query(STATE + f"""SELECT session_id || ',' || record_number || ',' || {TS_SQL} || ',' || status || ',' || CASE WHEN note <> '' THEN note ELSE '(No analyst note) — ' || event_code || ' — ' || message END AS line
+  FROM kept WHERE status <> 'None'""")
+def exported_findings(spark, sf_dir):
+    path = new_path(spark, "export")
+    export.write_findings(state.findings_review(records(spark, sf_dir), state.current_state(annotations(spark, sf_dir))), path)
+    return text_of(spark, path)
+
+
 # Accounting: every tenth line is broken, every eleventh has no severity that is known, every thirteenth no time.
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import prepared
@@ -13,8 +13,10 @@ MOST_SPLITS = 200_000
 LINE_COLUMNS = ("session_id", "source_path", "source_name", "record_number", "raw_source")
 
 
-def source_name(path):
-    return F.element_at(F.split(path, "/"), -1)
+def source_name(path: Column) -> Column:
+    """The file's name of a path as Spark tells it, which is a URI: %20 there is a blank in the name."""
+    last = F.element_at(F.split(path, "/"), -1)
+    return F.when(F.contains(last, F.lit("%")), F.coalesce(F.try_url_decode(F.replace(last, F.lit("+"), F.lit("%2B"))), last)).otherwise(last)
 
 
 def read_lines(spark: SparkSession, paths: str | list[str], session_id: str = "default") -> DataFrame:

@@ -23,6 +23,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.normalize import SEVERITIES
 from ..plans.ingest import SOURCE, IngestResult
+from ..plans.reingest import escaped
 from ..profile import Profile
 from ..session import prepared, stored
 from ..sources.lines import read_lines, source_name
@@ -40,7 +41,7 @@ def follow_lines(spark: SparkSession, path: str, session_id: str = "live", files
     """LINE_COLUMNS of new files under a folder, record_number null."""
     prepared(spark)
     raw = spark.readStream.option("maxFilesPerTrigger", files_per_trigger).text(path).select("value", F.col("_metadata.file_path").alias("source_path"))
-    return raw.select(F.lit(session_id).alias("session_id"), "source_path", F.element_at(F.split("source_path", "/"), -1).alias("source_name"), F.lit(None).cast("long").alias("record_number"), F.regexp_replace("value", r"\r$", "").alias("raw_source"))
+    return raw.select(F.lit(session_id).alias("session_id"), "source_path", source_name(F.col("source_path")).alias("source_name"), F.lit(None).cast("long").alias("record_number"), F.regexp_replace("value", r"\r$", "").alias("raw_source"))
 
 
 def follow_records(lines: DataFrame, profile: Profile, **more) -> DataFrame:
@@ -75,7 +76,7 @@ def _each_batch(spark: SparkSession, path: str, checkpoint: str, files_per_trigg
 
     def each(batch: DataFrame, batch_id: int) -> None:
         if names := sorted(r["path"] for r in batch.collect()):
-            take(batch.sparkSession, names, batch_id)
+            take(batch.sparkSession, escaped(names), batch_id)
 
     return listed.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -126,7 +127,8 @@ def _continued(lines: DataFrame, old: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     One row for each piece is broadcast, as many as a micro-batch has files.
     """
-    folder = F.substring(F.col("source_path"), F.lit(1), F.length("source_path") - F.length(source_name(F.col("source_path"))) - 1)
+    parts = F.split("source_path", "/")
+    folder = F.array_join(F.slice(parts, F.lit(1), F.size(parts) - 1), "/")
     pieces = lines.groupBy("session_id", "source_path").agg(F.max("record_number").alias("_n")).select("session_id", F.col("source_path").alias("_piece"), folder.alias("source_path"), source_name(folder).alias("source_name"), "_n")
     pieces = stored(pieces, "live-pieces")
     before = F.coalesce(F.sum("_n").over(Window.partitionBy(*SOURCE).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
