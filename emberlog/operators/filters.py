@@ -56,34 +56,38 @@ def search_matches(query: str) -> Column:
 FLAGS = ("severity_match", "subsystem_match", "event_code_match", "entity_match", "time_match", "field_match", "search_match", "status_match", "bookmark_match")
 
 
-def flags(criteria: Criteria) -> dict[str, Column | None]:
-    """For each of FLAGS a column that is true or false, None where the criterion is not set.
+def conditions(criteria: Criteria) -> dict[str, Column | None]:
+    """For each of FLAGS a condition that may be null where a value is, None where the criterion is not set.
 
     status_match and bookmark_match need the columns status and bookmarked.
     """
     c = criteria.clean()
-    yes = lambda p: F.coalesce(p, F.lit(False))
-    among = lambda col, values: yes(F.col(col).isin(list(values))) if values else None
+    among = lambda col, values: F.col(col).isin(list(values)) if values else None
     bounds = [F.col("event_ts") >= F.to_timestamp(F.lit(c.start))] if c.start else []
     bounds += [F.col("event_ts") <= F.to_timestamp(F.lit(c.end))] if c.end else []
-    fields = [yes(attribute_text(k).isin(list(v))) for k, v in c.fields.items()]
+    fields = [attribute_text(k).isin(list(v)) for k, v in c.fields.items()]
     both = lambda ps: reduce(lambda a, b: a & b, ps) if ps else None
     return {
         "severity_match": among("severity", c.severities),
         "subsystem_match": among("subsystem", c.subsystems),
         "event_code_match": among("event_code", c.event_codes),
         "entity_match": among("entity_id", c.entity_ids),
-        "time_match": yes(both(bounds)) if bounds else None,
+        "time_match": both(bounds),
         "field_match": both(fields),
         "search_match": search_matches(c.search) if c.search else None,
         "status_match": among("status", c.statuses),
-        "bookmark_match": yes(F.col("bookmarked")) if c.bookmarked_only else None,
+        "bookmark_match": F.col("bookmarked") if c.bookmarked_only else None,
     }
 
 
+def flags(criteria: Criteria) -> dict[str, Column | None]:
+    """conditions, true or false."""
+    return {k: None if p is None else F.coalesce(p, F.lit(False)) for k, p in conditions(criteria).items()}
+
+
 def predicate(criteria: Criteria) -> Column:
-    """All criteria that are set, as one condition; plain comparisons reach the scan."""
-    own = [p for p in flags(criteria).values() if p is not None]
+    """All criteria that are set, as one condition to filter by (it may be null); plain comparisons reach the scan."""
+    own = [p for p in conditions(criteria).values() if p is not None]
     return reduce(lambda a, b: a & b, own) if own else F.lit(True)
 
 

@@ -165,9 +165,19 @@ def finish(parsed: DataFrame, profile: Profile, sources: DataFrame | None = None
     return IngestResult(records, diagnostics, stats)
 
 
-def write_result(result: IngestResult, path: str, mode: str = "overwrite") -> None:
-    """records and diagnostics by session, and stats, as Parquet; overwriting replaces only the sessions that are there."""
+def clustered(records: DataFrame) -> DataFrame:
+    """records in ranges of session and time, each in order: a written row group spans little time, so filters on time skip most of them.
+
+    Ranges are cut from a sample of the rows, so a large session is spread over many tasks.
+    """
+    order = ["session_id", "event_ts", "record_number"]
+    return records.repartitionByRange(*order).sortWithinPartitions(*order)
+
+
+def write_result(result: IngestResult, path: str, mode: str = "overwrite", by_time: bool = False) -> None:
+    """records and diagnostics by session, and stats, as Parquet; overwriting replaces only the sessions that are there. by_time: see clustered."""
     options = {"partitionOverwriteMode": "dynamic"}
-    result.records.write.mode(mode).options(**options).partitionBy("session_id").parquet(f"{path}/records")
+    records = clustered(result.records) if by_time else result.records
+    records.write.mode(mode).options(**options).partitionBy("session_id").parquet(f"{path}/records")
     result.diagnostics.write.mode(mode).options(**options).partitionBy("session_id").parquet(f"{path}/diagnostics")
     result.stats.write.mode(mode).options(**options).partitionBy("session_id").parquet(f"{path}/stats")
