@@ -117,7 +117,11 @@ def record_id(path: Column, name: Column, number: Column, raw: Column) -> Column
 
 def nearest_year(month: Column, day: Column, reference: Column) -> Column:
     """The date with that month and day nearest to the reference date; of two, the earlier; null if no year has it."""
-    years = F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: F.year(reference) + d)
-    dates = F.transform(years, lambda y: F.try_to_date(F.concat_ws("-", F.lpad(y.cast("string"), 4, "0"), F.lpad(month.cast("string"), 2, "0"), F.lpad(day.cast("string"), 2, "0")), "yyyy-MM-dd"))
-    choices = F.transform(F.filter(dates, lambda d: d.isNotNull()), lambda d: F.struct(F.abs(F.datediff(d, reference)).alias("far"), d.alias("date")))
-    return F.array_min(choices)["date"]
+    def choice(shift: int) -> Column:
+        year = F.year(reference) + shift
+        # Looked up, not parsed: a date that does not exist costs an exception there.
+        last = F.when(month.between(1, 12) & year.between(1, 9999), F.dayofmonth(F.last_day(F.make_date(year, month, F.lit(1)))))
+        date = F.when(day.between(1, last), F.make_date(year, month, day))
+        return F.when(date.isNotNull(), F.struct(F.abs(F.datediff(date, reference)).alias("far"), date.alias("date")))
+
+    return F.array_min(F.array(*map(choice, (-1, 0, 1))))["date"]

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from ..functions.normalize import blank_to_null, display_timestamp, parse_severity, parse_timestamp, record_id, severity_rank
 from ..profile import Profile
+from ..session import stored
 
 SOURCE = ("session_id", "source_path", "source_name")
 NOTE = "struct<code:string,message:string,severity:string>"
@@ -32,9 +33,13 @@ class IngestResult:
     The latter two are planned when they are first asked for.
     """
 
-    def __init__(self, records: DataFrame, diagnostics: Callable[[], DataFrame], stats: Callable[[], DataFrame]):
+    def __init__(self, records: DataFrame, diagnostics: Callable[[], DataFrame], stats: Callable[[], DataFrame], once: Callable[[], IngestResult] | None = None):
         self.records = records
-        self._diagnostics, self._stats = diagnostics, stats
+        self._diagnostics, self._stats, self._once = diagnostics, stats, once
+
+    def once(self) -> IngestResult:
+        """The same from a table in the shared folder: what asks for more than one of the three parses once."""
+        return self._once() if self._once else self
 
     @cached_property
     def diagnostics(self) -> DataFrame:
@@ -80,10 +85,11 @@ def map_records(parsed: DataFrame, profile: Profile) -> DataFrame:
     mapped = profile.mapped()
 
     def free(k: Column) -> Column:
-        out = F.lit(True)
+        # Few names have a dot; the others cannot lie below a mapped path.
+        below = F.lit(False)
         for p in mapped:
-            out = out & (k != p) & ~k.startswith(p + ".")
-        return out
+            below = below | k.startswith(p + ".")
+        return ~k.isin(list(mapped)) & ~(F.contains(k, F.lit(".")) & below) if mapped else F.lit(True)
 
     none = F.create_map().cast("map<string,string>")
     kept = F.map_filter("fields", lambda k, _: free(k)) if profile.preserve_unmapped else none
@@ -129,7 +135,10 @@ def parsed_once(parsed: DataFrame) -> DataFrame:
 
 def finish(parsed: DataFrame, profile: Profile, sources: DataFrame | None = None) -> IngestResult:
     """Splits parsed rows, which are parsed once whatever is asked of them. sources(session_id, source_path, source_name, code, message, severity) are notes on whole sources; those of level Error reject the source's rows before they get here."""
-    made = map_records(parsed_once(parsed), profile)
+    return _result(map_records(parsed_once(parsed), profile), sources)
+
+
+def _result(made: DataFrame, sources: DataFrame | None) -> IngestResult:
     records = made.where("error is null").select(*RECORD_COLUMNS)
 
     def diagnostics() -> DataFrame:
@@ -162,7 +171,7 @@ def finish(parsed: DataFrame, profile: Profile, sources: DataFrame | None = None
             (no("_bad") | no("_se")).alias("has_errors"),
         )
 
-    return IngestResult(records, diagnostics, stats)
+    return IngestResult(records, diagnostics, stats, lambda: _result(stored(made.select(*RECORD_COLUMNS, "error", "notes"), "mapped"), sources))
 
 
 def clustered(records: DataFrame) -> DataFrame:

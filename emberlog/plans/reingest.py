@@ -85,7 +85,7 @@ def reingest(spark: SparkSession, paths: str | list[str], profile: Profile, out:
         return Reingest(version, 0, as_before, 0)
     new = version + 1
     if names:
-        result = ingest(spark, escaped(names), profile, session_id, **more)
+        result = ingest(spark, escaped(names), profile, session_id, **more).once()
         for kind in KINDS:
             getattr(result, kind).write.mode("overwrite").parquet(f"{out}/{kind}/version={new}")
     read = changed.select(F.lit(session_id).alias("session_id"), "source_path", "path", "modified", "length", "made_by", F.lit(new).cast("long").alias("read_in"))

@@ -9,6 +9,8 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Rows of a table that one task renders and parses.
+ROWS_A_TASK = 25_000
 ROOT = str(Path(__file__).resolve().parents[1])
 
 
@@ -35,10 +37,14 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def spread_out(df: DataFrame) -> DataFrame:
-    """df in as many partitions as there are cores, if its files are too few to give each one something; else as it is, without a shuffle."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+def task_count(df: DataFrame) -> int:
+    """How many tasks df's rows are work for: as many as there are cores, and no more than ROWS_A_TASK rows for one. Parquet files are counted by their footers."""
+    return max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // ROWS_A_TASK))
+
+
+def spread_out(df: DataFrame, tasks: int | None = None) -> DataFrame:
+    """df dealt evenly over task_count(df) partitions. Splits of a file say little about its rows: a row group lies in one of them, however large it is."""
+    return df.repartition(tasks or task_count(df))
 
 
 def settled(df: DataFrame) -> DataFrame:

@@ -18,6 +18,7 @@ MONTHS = ("Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct",
 _QUOTED = r'"(?:[^"\\]|\\.)*+"'
 _ELEMENT = rf"\[(?:[^\]\"]|{_QUOTED})*+\]"
 MODERN = rf"(?s)^<\d{{1,3}}>(\d{{1,3}}) ([^ ]+) ([^ ]+) ([^ ]+) ([^ ]+) ([^ ]+) (-|(?:{_ELEMENT})++)(?: (.*))?$"
+CLOCK = r"^(?:[01][0-9]|2[0-3]):[0-5][0-9]:[0-5][0-9]\z"
 # Fixed value: what a tag may be made of.
 TAG_CHARACTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_.-"
 _PARAM = r' ([^ =\]]+)="((?:[^"\\]|\\.)*+)"'
@@ -48,7 +49,7 @@ def legacy_header(line: Column) -> Column:
     word = lambda i: F.get(words, F.lit(i))
     month = F.array_position(F.array(*map(F.lit, MONTHS)), word(0)).cast("int")
     day = F.when(_only(word(1), "0123456789") & (F.length(word(1)) <= 2), word(1).try_cast("int"))
-    clock = F.when((F.length(word(2)) == 8) & _only(word(2), "0123456789:") & F.try_to_timestamp(word(2), F.lit("HH:mm:ss")).isNotNull(), word(2))
+    clock = F.when(word(2).rlike(CLOCK), word(2))
     known = (month > 0) & day.isNotNull() & clock.isNotNull() & (word(3) != "")
     return F.when(known, F.struct(month.alias("month"), day.alias("day"), clock.alias("clock"), F.concat_ws(" ", word(0), word(1), word(2)).alias("stamp"), word(3).alias("host"), word(4).alias("rest")))
 
@@ -87,7 +88,9 @@ def structured_data(text: Column) -> Column:
             key = F.concat(F.regexp_extract(e, r"^[^ ]*", 0), F.lit("."), n)
             return F.struct(key.alias("k"), F.when(F.size(own) > 1, F.to_json(own)).otherwise(F.element_at(own, 1)).alias("v"), (F.size(own) > 1).alias("many"))
 
-        return F.transform(F.array_distinct(names), one)
+        # Parameters are seldom repeated; only then the values of each name are looked for.
+        single = F.transform(pairs, lambda p: F.struct(F.concat(F.regexp_extract(e, r"^[^ ]*", 0), F.lit("."), p["n"]).alias("k"), p["v"].alias("v"), F.lit(False).alias("many")))
+        return F.when(F.size(F.array_distinct(names)) == F.size(names), single).otherwise(F.transform(F.array_distinct(names), one))
 
     return F.when(formed & (F.size(F.array_distinct(ids)) == F.size(ids)), F.flatten(F.transform(elements, parameters)))
 
@@ -96,7 +99,7 @@ def ingest_syslog(lines: DataFrame, profile: Profile, reference_date: str) -> In
     """Syslog records. A line that is no RFC 5424 record is tried as RFC 3164, whose year is that nearest to reference_date (yyyy-MM-dd)."""
     raw = F.col("raw_source")
     some = not_blank(lines).withColumn("_pri", priority(raw))
-    some = some.withColumn("_modern", raw.rlike(MODERN) & F.col("_pri").isNotNull() & (F.regexp_extract(raw, MODERN, 1).try_cast("int") > 0))
+    some = some.withColumn("_modern", F.coalesce(F.col("_pri").isNotNull() & (F.regexp_extract(raw, MODERN, 1).try_cast("int") > 0), F.lit(False)))
     some = some.withColumn("_old", F.when(~F.col("_modern") & F.col("_pri").isNotNull(), legacy_header(raw)))
     # Of a modern line: the six words of its header by one split, then structured data, and what is left.
     words = F.split(raw, " ", 7)
@@ -106,7 +109,7 @@ def ingest_syslog(lines: DataFrame, profile: Profile, reference_date: str) -> In
     some = some.withColumn("_sd", data)
     rest = F.substr(word(6), F.length("_sd") + 2)
     some = some.withColumn("_date", nearest_year(F.col("_old.month"), F.col("_old.day"), F.lit(reference_date).cast("date")))
-    some = some.withColumn("_time", F.try_to_timestamp(F.concat_ws(" ", F.col("_date").cast("string"), "_old.clock"), F.lit("yyyy-MM-dd HH:mm:ss")))
+    some = some.withColumn("_time", F.try_to_timestamp(F.concat(F.col("_date").cast("string"), F.lit(" "), "_old.clock")))
     some = some.withColumn("_legacy", F.col("_old").isNotNull() & F.col("_time").isNotNull() & F.col("_date").isNotNull())
     error = error_when(
         (F.col("_pri").isNull(), "SYSLOG_RECORD_MALFORMED", "the line does not begin with a valid priority"),

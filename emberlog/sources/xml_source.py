@@ -15,6 +15,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
+from xml.etree import ElementTree
 from xml.parsers import expat
 
 import pyarrow as pa
@@ -199,12 +200,71 @@ def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, Itera
 # Elements as maps.
 
 
+def _put(up: dict, name: str, value: object) -> None:
+    """Adds a child's value to those of the element around it."""
+    if name == "Data" and isinstance(value, dict) and value.get("@Name", "").strip():
+        if not isinstance(up.get("NamedData"), dict):
+            up["NamedData"] = {}
+        up = up["NamedData"]
+        name, value = value["@Name"].strip(), value.get("#text", "")
+    if name not in up:
+        up[name] = value
+    elif isinstance(up[name], list):
+        up[name].append(value)
+    else:
+        up[name] = [up[name], value]
+
+
+def _bare(name: str) -> str:
+    """The local name of {namespace}name."""
+    return local(name.rpartition("}")[2]) if "}" in name or ":" in name else name
+
+
+def _value_of(node: ElementTree.Element) -> object:
+    values: dict[str, object] = {"@" + _bare(k): v for k, v in node.items()}
+    own = node.text or ""
+    for child in node:
+        _put(values, _bare(child.tag), _value_of(child))
+        if child.tail:
+            own += child.tail
+    own = own.strip()
+    if not values:
+        return own
+    if own:
+        values["#text"] = own
+    return values
+
+
+def _flat_of(record: object) -> tuple[list[tuple[str, str]], list[str]]:
+    if not isinstance(record, dict):
+        record = {"#text": record}
+    pairs: dict[str, str] = {}
+    lists: list[str] = []
+
+    def flat(value: object, path: str) -> None:
+        if isinstance(value, dict):
+            for k, v in value.items():
+                flat(v, f"{path}.{k}" if path else k)
+        elif isinstance(value, list):
+            pairs[path] = json.dumps(value, ensure_ascii=False, separators=(",", ":"), sort_keys=True)
+            lists.append(path)
+        else:
+            pairs[path] = value
+
+    flat(record, "")
+    return list(pairs.items()), lists
+
+
 def fields_of(element: str) -> tuple[list[tuple[str, str]], list[str]] | None:
     """Dotted paths and texts of an element, and the paths that are lists; null if it is not well formed.
 
     Attributes are @name, text beside attributes or children #text, names are local, repeated children a
     list. Children <Data Name="K">v</Data> are NamedData.K. Texts are trimmed.
     """
+    try:
+        return _flat_of(_value_of(ElementTree.XML(element)))
+    except ElementTree.ParseError:
+        pass  # also a prefix that is declared around the element
     parser = expat.ParserCreate()
     parser.buffer_text = True
     parser.SetParamEntityParsing(expat.XML_PARAM_ENTITY_PARSING_NEVER)
@@ -227,17 +287,7 @@ def fields_of(element: str) -> tuple[list[tuple[str, str]], list[str]] | None:
         if len(stack) == 1:
             up[""] = value
             return
-        if name == "Data" and isinstance(value, dict) and value.get("@Name", "").strip():
-            if not isinstance(up.get("NamedData"), dict):
-                up["NamedData"] = {}
-            up = up["NamedData"]
-            name, value = value["@Name"].strip(), value.get("#text", "")
-        if name not in up:
-            up[name] = value
-        elif isinstance(up[name], list):
-            up[name].append(value)
-        else:
-            up[name] = [up[name], value]
+        _put(up, name, value)
 
     parser.StartElementHandler, parser.EndElementHandler = start, end
     parser.CharacterDataHandler = lambda data: stack[-1][1].append(data)
@@ -245,24 +295,7 @@ def fields_of(element: str) -> tuple[list[tuple[str, str]], list[str]] | None:
         parser.Parse(element.encode(), True)
     except expat.ExpatError:
         return None
-    record = stack[0][0][""]
-    if not isinstance(record, dict):
-        record = {"#text": record}
-    pairs: dict[str, str] = {}
-    lists: list[str] = []
-
-    def flat(value: object, path: str) -> None:
-        if isinstance(value, dict):
-            for k, v in value.items():
-                flat(v, f"{path}.{k}" if path else k)
-        elif isinstance(value, list):
-            pairs[path] = json.dumps(value, ensure_ascii=False, separators=(",", ":"), sort_keys=True)
-            lists.append(path)
-        else:
-            pairs[path] = value
-
-    flat(record, "")
-    return list(pairs.items()), lists
+    return _flat_of(stack[0][0][""])
 
 
 _PARSED = "error struct<code:string,message:string>, fields map<string,string>, lists array<string>"
