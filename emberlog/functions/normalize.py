@@ -36,7 +36,9 @@ def parse_severity(text: Column, aliases: dict[str, str] | None = None) -> Colum
     """The canonical label of a severity text, else null; a profile's aliases come first, in any case."""
     own = {k.strip().lower(): v for k, v in (aliases or {}).items()}
     usual = {s: s for s in SEVERITIES} | SPELLINGS
-    return F.coalesce(lookup(own, F.lower(F.trim(text))), lookup(usual, F.upper(F.trim(text))))
+    # Usual spellings are found as they stand, without the cost of upper and lower case of any language.
+    known = {spelt: own.get(s.lower(), usual.get(s)) for s in {*usual, *(k.upper() for k in own if k.isascii())} for spelt in (s, s.lower(), s.capitalize())}
+    return F.coalesce(lookup(known, F.trim(text)), lookup(own, F.lower(F.trim(text))), lookup(usual, F.upper(F.trim(text))))
 
 
 def severity_rank(label: Column) -> Column:
@@ -47,7 +49,7 @@ def severity_rank(label: Column) -> Column:
 def parse_iso(text: Column) -> Column:
     """An ISO 8601 date and time, with or without fraction and zone; null for any other shape."""
     t = F.trim(text)
-    shaped = F.regexp_replace(F.regexp_replace(t, r"^(.{10})[ ]", "$1T"), ",", ".")
+    shaped = F.when(F.contains(t, F.lit(" ")) | F.contains(t, F.lit(",")), F.regexp_replace(F.regexp_replace(t, r"^(.{10})[ ]", "$1T"), ",", ".")).otherwise(t)
     return F.when(t.rlike(ISO_SHAPE), F.try_to_timestamp(shaped))
 
 

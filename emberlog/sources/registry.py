@@ -12,7 +12,7 @@ from ..profile import COMBINED_LINE, COMMON_LINE, Profile, line_pattern, problem
 from .json_sources import as_object, ingest_json_lines
 from .json_structure import ingest_json_files
 from .lines import read_lines
-from .syslog import MODERN, ingest_syslog, legacy_header, priority
+from .syslog import MODERN, header_words, ingest_syslog, legacy_header, priority
 from .text_sources import KEY_VALUE_LINE, PAIR, ingest_delimited, ingest_key_value, ingest_regex
 from .w3c import ingest_w3c
 from .xml_source import ingest_xml_files
@@ -53,7 +53,7 @@ def looks_like(line: Column) -> dict[str, Column]:
     timed = lambda p: line.rlike(f"^{p}$") & F.try_to_timestamp(F.regexp_extract(line, p, 4), F.lit("dd/MMM/yyyy:HH:mm:ss Z")).isNotNull()
     return {
         "json-lines": as_object(F.try_parse_json(line)).isNotNull(),
-        "syslog": priority(line).isNotNull() & ((line.rlike(MODERN) & (F.regexp_extract(line, MODERN, 1).try_cast("int") > 0)) | legacy_header(line).isNotNull()),
+        "syslog": priority(line).isNotNull() & (line.rlike(MODERN) | legacy_header(header_words(line)).isNotNull()),
         "web-combined": timed(line_pattern(COMBINED_LINE, named=False)),
         "apache-common": timed(line_pattern(COMMON_LINE, named=False)),
         "key-value": line.rlike(KEY_VALUE_LINE) & (F.size(F.regexp_extract_all(line, F.lit(PAIR), F.lit(0))) >= 2),

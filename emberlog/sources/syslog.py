@@ -17,7 +17,7 @@ MONTHS = ("Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct",
 
 _QUOTED = r'"(?:[^"\\]|\\.)*+"'
 _ELEMENT = rf"\[(?:[^\]\"]|{_QUOTED})*+\]"
-MODERN = rf"(?s)^<\d{{1,3}}>(\d{{1,3}}) ([^ ]+) ([^ ]+) ([^ ]+) ([^ ]+) ([^ ]+) (-|(?:{_ELEMENT})++)(?: (.*))?$"
+MODERN = rf"(?s)^<\d{{1,3}}>((?!0+ )\d{{1,3}}) ([^ ]+) ([^ ]+) ([^ ]+) ([^ ]+) ([^ ]+) (-|(?:{_ELEMENT})++)(?: (.*))?$"
 CLOCK = r"^(?:[01][0-9]|2[0-3]):[0-5][0-9]:[0-5][0-9]\z"
 # Fixed value: what a tag may be made of.
 TAG_CHARACTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_.-"
@@ -26,8 +26,7 @@ _PARAM = r' ([^ =\]]+)="((?:[^"\\]|\\.)*+)"'
 
 def priority(line: Column) -> Column:
     """The number in <> that a line starts with, from 0 to 191, else null."""
-    p = F.regexp_extract(line, r"^<(\d{1,3})>", 1).try_cast("int")
-    return F.when(p.between(0, 191), p)
+    return F.nullif(F.regexp_extract(line, r"^<(\d{1,2}|0\d\d|1[0-8]\d|19[01])>", 1), F.lit("")).try_cast("int")
 
 
 def decode_priority(p: Column) -> dict[str, Column]:
@@ -40,12 +39,15 @@ def _only(text: Column, characters: str) -> Column:
     return (text != "") & (F.translate(text, characters, "") == "")
 
 
-def legacy_header(line: Column) -> Column:
-    """month number, day, time, host and rest of a line with a priority, by the words of RFC 3164's header; null if they are not there.
+def header_words(line: Column) -> Column:
+    return F.split(F.substr(line, F.instr(line, ">") + 1), r"\s+", 5)
+
+
+def legacy_header(words: Column) -> Column:
+    """month number, day, time, host and rest of a line with a priority, by the words of RFC 3164's header (see header_words); null if they are not there.
 
     The header is three words of time, of which month, day and clock are each of a known shape, and a host.
     """
-    words = F.split(F.substr(line, F.instr(line, ">") + 1), r"\s+", 5)
     word = lambda i: F.get(words, F.lit(i))
     month = F.array_position(F.array(*map(F.lit, MONTHS)), word(0)).cast("int")
     day = F.when(_only(word(1), "0123456789") & (F.length(word(1)) <= 2), word(1).try_cast("int"))
@@ -54,53 +56,62 @@ def legacy_header(line: Column) -> Column:
     return F.when(known, F.struct(month.alias("month"), day.alias("day"), clock.alias("clock"), F.concat_ws(" ", word(0), word(1), word(2)).alias("stamp"), word(3).alias("host"), word(4).alias("rest")))
 
 
-def tagged_message(rest: Column) -> Column:
-    """tag, process (null without one) and text of a message like tag[process]: text; null for another."""
-    before = F.substring_index(rest, ":", 1)
-    name = F.substring_index(before, "[", 1)
-    behind = F.substr(rest, F.length(name) + 1)
-    process = F.substring_index(F.substr(behind, F.lit(2)), "]", 1)
-    # Behind the name stands the colon, or a process in brackets and then the colon.
-    colon = F.when(behind.startswith("["), F.length(process) + 3).otherwise(F.lit(1))
-    closed = ~behind.startswith("[") | ((process != "") & (F.substr(behind, F.length(process) + 2, F.lit(1)) == "]"))
-    text = F.substr(behind, colon + 1)
+#: What stands before the text of a message: a tag, a process in brackets if there is one, and a colon.
+TAGGED = rf"^[{TAG_CHARACTERS}]++(?:\[[^\]]++\])?+:"
+
+
+def tagged_message(rest: Column, head: Column) -> Column:
+    """tag, process (null without one) and text of a message like tag[process]: text, of which head is what TAGGED finds; null for another."""
+    name = F.substring_index(F.substring_index(head, "[", 1), ":", 1)
+    process = F.substr(head, F.length(name) + 2, F.length(head) - F.length(name) - 3)
+    text = F.substr(rest, F.length(head) + 1)
     text = F.when(text.rlike(r"^\s"), F.substr(text, F.lit(2))).otherwise(text)
-    holds = _only(name, TAG_CHARACTERS) & closed & (F.substr(behind, colon, F.lit(1)) == ":")
-    return F.when(holds, F.struct(name.alias("tag"), F.when(behind.startswith("["), process).alias("process"), text.alias("text")))
+    return F.when(head != "", F.struct(name.alias("tag"), F.when(F.contains(head, F.lit("[")), process).alias("process"), text.alias("text")))
 
 
-def structured_data(text: Column) -> Column:
+def structured_elements(text: Column) -> Column:
+    """array<struct<id, n, v, formed>> of the elements of structured data: names and values of parameters, and whether the element is well formed."""
+    elements = F.regexp_extract_all(text, F.lit(rf"\[((?:[^\]\"]|{_QUOTED})*+)\]"), F.lit(1))
+    return F.transform(
+        elements,
+        lambda e: F.struct(
+            F.substring_index(e, " ", 1).alias("id"),
+            F.regexp_extract_all(e, F.lit(_PARAM), F.lit(1)).alias("n"),
+            F.regexp_extract_all(e, F.lit(_PARAM), F.lit(2)).alias("v"),
+            e.rlike(rf"^[^ \]]+(?:{_PARAM})*+$").alias("formed"),
+        ),
+    )
+
+
+def structured_data(elements: Column) -> Column:
     """array<struct<k, v, many>> of structured data: k is element.parameter, v its text, or a JSON list if it is repeated.
 
     Null if an element is not well formed or its id is repeated.
     """
-    elements = F.regexp_extract_all(text, F.lit(rf"\[((?:[^\]\"]|{_QUOTED})*+)\]"), F.lit(1))
-    ids = F.transform(elements, lambda e: F.regexp_extract(e, r"^[^ ]*", 0))
-    formed = F.forall(elements, lambda e: e.rlike(rf"^[^ \]]+(?:{_PARAM})*+$"))
+    plain = lambda v: F.when(F.contains(v, F.lit("\\")), F.regexp_replace(v, r'\\(["\\\]])', "$1")).otherwise(v)
 
     def parameters(e: Column) -> Column:
-        names = F.regexp_extract_all(e, F.lit(_PARAM), F.lit(1))
-        values = F.transform(F.regexp_extract_all(e, F.lit(_PARAM), F.lit(2)), lambda v: F.regexp_replace(v, r'\\(["\\\]])', "$1"))
-        pairs = F.arrays_zip(names.alias("n"), values.alias("v"))
+        pairs = F.arrays_zip(e["n"].alias("n"), e["v"].alias("v"))
 
         def one(n: Column) -> Column:
-            own = F.transform(F.filter(pairs, lambda p: p["n"] == n), lambda p: p["v"])
-            key = F.concat(F.regexp_extract(e, r"^[^ ]*", 0), F.lit("."), n)
-            return F.struct(key.alias("k"), F.when(F.size(own) > 1, F.to_json(own)).otherwise(F.element_at(own, 1)).alias("v"), (F.size(own) > 1).alias("many"))
+            own = F.transform(F.filter(pairs, lambda p: p["n"] == n), lambda p: plain(p["v"]))
+            return F.struct(F.concat(e["id"], F.lit("."), n).alias("k"), F.when(F.size(own) > 1, F.to_json(own)).otherwise(F.element_at(own, 1)).alias("v"), (F.size(own) > 1).alias("many"))
 
         # Parameters are seldom repeated; only then the values of each name are looked for.
-        single = F.transform(pairs, lambda p: F.struct(F.concat(F.regexp_extract(e, r"^[^ ]*", 0), F.lit("."), p["n"]).alias("k"), p["v"].alias("v"), F.lit(False).alias("many")))
-        return F.when(F.size(F.array_distinct(names)) == F.size(names), single).otherwise(F.transform(F.array_distinct(names), one))
+        single = F.transform(pairs, lambda p: F.struct(F.concat(e["id"], F.lit("."), p["n"]).alias("k"), plain(p["v"]).alias("v"), F.lit(False).alias("many")))
+        return F.when(F.size(F.array_distinct(e["n"])) == F.size(e["n"]), single).otherwise(F.transform(F.array_distinct(e["n"]), one))
 
-    return F.when(formed & (F.size(F.array_distinct(ids)) == F.size(ids)), F.flatten(F.transform(elements, parameters)))
+    return F.when(F.forall(elements, lambda e: e["formed"]) & (F.size(F.array_distinct(elements["id"])) == F.size(elements)), F.flatten(F.transform(elements, parameters)))
 
 
 def ingest_syslog(lines: DataFrame, profile: Profile, reference_date: str) -> IngestResult:
     """Syslog records. A line that is no RFC 5424 record is tried as RFC 3164, whose year is that nearest to reference_date (yyyy-MM-dd)."""
     raw = F.col("raw_source")
     some = not_blank(lines).withColumn("_pri", priority(raw))
-    some = some.withColumn("_modern", F.coalesce(F.col("_pri").isNotNull() & (F.regexp_extract(raw, MODERN, 1).try_cast("int") > 0), F.lit(False)))
-    some = some.withColumn("_old", F.when(~F.col("_modern") & F.col("_pri").isNotNull(), legacy_header(raw)))
+    # What is used more than once is a column of its own, so that no row makes it twice; and no cast fails, which costs an exception.
+    some = some.withColumn("_modern", F.coalesce(F.col("_pri").isNotNull() & raw.rlike(MODERN), F.lit(False)))
+    some = some.withColumn("_header", F.when(~F.col("_modern") & F.col("_pri").isNotNull(), header_words(raw)))
+    some = some.withColumn("_old", legacy_header(F.col("_header")))
     # Of a modern line: the six words of its header by one split, then structured data, and what is left.
     words = F.split(raw, " ", 7)
     word = lambda i: F.get(F.col("_words"), F.lit(i))
@@ -116,8 +127,10 @@ def ingest_syslog(lines: DataFrame, profile: Profile, reference_date: str) -> In
         (~F.col("_modern") & ~F.col("_legacy"), "SYSLOG_RECORD_MALFORMED", "the line is neither an RFC 5424 nor an RFC 3164 record"),
     )
     some = some.withColumns({"error": error, "_rest": F.when(F.col("_legacy"), F.coalesce("_old.rest", F.lit("")))})
-    some = some.withColumn("_params", F.when(F.col("_sd") != "-", structured_data(F.col("_sd"))))
-    some = some.withColumn("_tagged", tagged_message(F.col("_rest")))
+    some = some.withColumn("_elements", F.when(F.col("_sd") != "-", structured_elements(F.col("_sd"))))
+    some = some.withColumn("_params", structured_data(F.col("_elements")))
+    some = some.withColumn("_head", F.regexp_extract("_rest", TAGGED, 0))
+    some = some.withColumn("_tagged", tagged_message(F.col("_rest"), F.col("_head")))
     dec = decode_priority(F.col("_pri"))
     pair = lambda k, v: F.struct(F.lit(k).alias("k"), v.alias("v"))
     common = [pair("priority", F.col("_pri").cast("string")), pair("facilityCode", dec["facility"].cast("string")), pair("severityCode", dec["code"].cast("string")), pair("syslogSeverity", dec["name"]), pair("level", dec["label"])]

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from emberlog import queries, session
-from emberlog.functions.normalize import nearest_year
+from emberlog.functions.normalize import nearest_year, parse_severity
 from emberlog.plans.ingest import SOURCE
 from emberlog.profile import Profile
 from emberlog.sources.json_sources import ingest_json_lines
@@ -82,3 +82,27 @@ def test_document_files_grow_with_records_not_with_parts(spark):
     docs = queries.documents_of(rows, 3, "[", ",", "]", queries.FILE_RECORDS)
     assert docs.count() == 4
     assert docs.selectExpr("sum(size(split(document, ',')))").first()[0] == 4_000
+
+
+def test_lines_are_rendered_behind_the_spread(spark, tmp_path):
+    spark.range(100).selectExpr("id as event_id", "timestamp_millis(id) as ts", "id as user_id", "'error' as event_type", "'{\"k\": 1}' as props").write.parquet(str(tmp_path / "events.parquet"))
+    for name in ("jsonl_roundtrip", "syslog5424_roundtrip", "exported_csv"):
+        lines_of = {"jsonl_roundtrip": queries.json_lines, "exported_csv": queries.json_lines, "syslog5424_roundtrip": lambda *a: queries.rendered(*a, F.concat("t", "message"))}[name]
+        plan = plan_of(lines_of(spark, str(tmp_path)).where(F.col("raw_source").rlike(r"\S")))
+        assert "date_format" in plan.split("Repartition")[0] and "date_format" not in plan.split("Repartition")[1] and "\\S" not in plan.split("Repartition")[1]
+
+
+def test_syslog_splits_a_header_once_and_no_cast_fails(spark):
+    profile = Profile(format_id="syslog")
+    plan = plan_of(ingest_syslog(lines(spark, "<134>1 - h a - - - x"), profile, "2024-02-01").records)
+    assert plan.count("\\s+, 5") == 1 and plan.count("regexp_extract_all(") <= 3
+    texts = ["<34>1 - h a - - - m", "<034>01 - h a - - - m", "<192>1 - h a - - - m", "<34>0 - h a - - - m", "<34>000 - h a - - - m", "<34>Oct 1 01:02:03 h a[1:2]: x", "<34>Oct 1 01:02:03 h a[]: x", "<34>Oct 1 01:02:03 h a[7]x", "<34>Oct 1 01:02:03 h a:\tx:y"]
+    made = ingest_syslog(lines(spark, *texts), profile, "2024-02-01").records
+    got = {r["record_number"]: (r["subsystem"], r["message"], r["attributes"].get("processId")) for r in made.collect()}
+    assert got == {1: ("a", "m", None), 2: ("a", "m", None), 6: ("a", "x", "1:2"), 7: (None, "a[]: x", None), 8: (None, "a[7]x", None), 9: ("a", "x:y", None)}
+
+
+def test_severities_in_any_case_with_aliases_first(spark):
+    texts = ["error", "ERROR", "Error", "eRRor", " warning", "Fatal", "Odd", "ODD", "oDD", "x", None]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select(parse_severity(F.col("t"), {"odd ": "DEBUG", "Warning": "TRACE"})).collect()
+    assert [r[0] for r in got] == ["ERROR"] * 4 + ["TRACE", "CRITICAL", "DEBUG", "DEBUG", "DEBUG", None, None]
