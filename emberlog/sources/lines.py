@@ -15,7 +15,7 @@ LINE_COLUMNS = ("session_id", "source_path", "source_name", "record_number", "ra
 
 def source_name(path: Column) -> Column:
     """The file's name of a path as Spark tells it, which is a URI: %20 there is a blank in the name."""
-    last = F.element_at(F.split(path, "/"), -1)
+    last = F.substring_index(path, "/", -1)
     return F.when(F.contains(last, F.lit("%")), F.coalesce(F.try_url_decode(F.replace(last, F.lit("+"), F.lit("%2B"))), last)).otherwise(last)
 
 
@@ -37,7 +37,7 @@ def read_lines(spark: SparkSession, paths: str | list[str], session_id: str = "d
     numbered = raw.join(starts, ["_path", "_block"])
     return numbered.select(
         F.lit(session_id).alias("session_id"), F.col("_path").alias("source_path"), source_name(F.col("_path")).alias("source_name"),
-        (F.col("_at") + F.col("_shift")).alias("record_number"), F.regexp_replace("value", r"\r$", "").alias("raw_source"),
+        (F.col("_at") + F.col("_shift")).alias("record_number"), F.when(F.contains("value", F.lit("\r")), F.regexp_replace("value", r"\r$", "")).otherwise(F.col("value")).alias("raw_source"),
     )
 
 

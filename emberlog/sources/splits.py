@@ -10,9 +10,10 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Iterator
-from itertools import groupby
+from itertools import chain, groupby
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -39,16 +40,28 @@ def may_be_split(spark: SparkSession, paths: str | list[str]) -> bool:
     return largest > min(of(spark.conf.get("spark.sql.files.openCostInBytes")), of(spark.conf.get("spark.sql.files.maxPartitionBytes")))
 
 
+def values_of(column: pa.Array) -> list:
+    """As to_pylist(), which takes each string apart."""
+    return column.to_numpy(zero_copy_only=False).tolist() if pa.types.is_string(column.type) else column.to_pylist()
+
+
 def runs(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[tuple[tuple, Iterator]]:
-    """Rows of batches by runs of equal keys, each run as an iterator of the rest of the row's values."""
+    """Rows of batches by runs of equal keys, each run as an iterator of the rest of the row's values.
 
-    def rows() -> Iterator[tuple]:
-        for b in batches:
-            names = [n for n in b.schema.names if n not in keys]
-            yield from zip(zip(*(b.column(k).to_pylist() for k in keys)), zip(*(b.column(n).to_pylist() for n in names)))
+    Keys are compared as columns and made once for a run of a batch, since pieces are small and many.
+    """
 
-    for key, run in groupby(rows(), key=lambda r: r[0]):
-        yield key, (r[1] for r in run)
+    def parts() -> Iterator[tuple]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            ends = sorted(set().union(*(pc.run_end_encode(b.column(k)).run_ends.to_pylist() for k in keys)))
+            for start, end in zip([0, *ends], ends):
+                own = b.slice(start, end - start)
+                yield tuple(own.column(k)[0].as_py() for k in keys), zip(*(values_of(own.column(n)) for n in b.schema.names if n not in keys))
+
+    for key, run in groupby(parts(), key=lambda r: r[0]):
+        yield key, chain.from_iterable(r[1] for r in run)
 
 
 def split_states(pieces: DataFrame, begin: object, effects: Callable[[Iterator[tuple[bool, str]]], object], after: Callable[[object, object], object]) -> DataFrame:

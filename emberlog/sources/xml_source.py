@@ -14,7 +14,9 @@ from __future__ import annotations
 
 import json
 import re
+import uuid
 from collections.abc import Iterator
+from functools import lru_cache
 from xml.etree import ElementTree
 from xml.parsers import expat
 
@@ -45,6 +47,18 @@ def open_quote(text: str) -> str:
     return next((c for c in rest if c in "\"'"), "")
 
 
+@lru_cache(4096)
+def _tag(text: str) -> tuple[str, str | None, str]:
+    """What a tag does to the stack, its local name (null if there is none), and the quotation mark that is open behind it; of a tag's text without < and >."""
+    if text.startswith("/"):
+        return "close", local(text[1:].strip()), ""
+    name = _NAME.match(text)
+    if not name:
+        return "", None, ""
+    mode = open_quote(text[name.end() :])
+    return "empty" if not mode and text.endswith("/") else "open", local(name[0]), mode
+
+
 class Scan:
     """The stack of open elements over pieces of a document that end at ">"."""
 
@@ -93,9 +107,6 @@ class Scan:
         if i < 0:
             return ""
         c = piece[i + 1 : i + 2]
-        if c == "/":
-            self._pop(local(piece[i + 2 :].strip()))
-            return "close"
         if c == "?":
             self.mode = "" if piece.endswith("?") and len(piece) > i + 2 else "?"
             return ""
@@ -107,16 +118,23 @@ class Scan:
             else:
                 self.mode = "]" if "[" in piece[i:] and not piece.rstrip().endswith("]") else ""
             return ""
-        name = _NAME.match(piece, i + 1)
-        if not name:
+        event, name, mode = _tag(piece[i + 1 :])
+        if event == "close":
+            if len(self.stack) > 1 and self.stack[-1] == name:
+                self.stack.pop()
+            else:
+                self._pop(name)
+        elif name is None:
             self.error = "< without a name behind it"
-            return ""
-        self._push(local(name[0]))
-        self.mode = open_quote(piece[name.end() :])
-        if not self.mode and piece.endswith("/"):
-            self._pop(None)
-            return "empty"
-        return "open"
+        else:
+            if self.stack:
+                self.stack.append(name)
+            else:
+                self._push(name)
+            self.mode = mode
+            if event == "empty":
+                self._pop(None)
+        return event
 
 
 def effects(pieces: Iterator[tuple[bool, str]]) -> dict[str, list]:
@@ -215,16 +233,22 @@ def _put(up: dict, name: str, value: object) -> None:
         up[name] = [up[name], value]
 
 
+@lru_cache(4096)
 def _bare(name: str) -> str:
     """The local name of {namespace}name."""
     return local(name.rpartition("}")[2]) if "}" in name or ":" in name else name
 
 
 def _value_of(node: ElementTree.Element) -> object:
-    values: dict[str, object] = {"@" + _bare(k): v for k, v in node.items()}
     own = node.text or ""
+    values: dict[str, object] = {"@" + _bare(k): v for k, v in node.items()} if node.attrib else {}
     for child in node:
-        _put(values, _bare(child.tag), _value_of(child))
+        name = _bare(child.tag)
+        value = _value_of(child) if len(child) or child.attrib else (child.text or "").strip()
+        if name in values or name == "Data":
+            _put(values, name, value)
+        else:
+            values[name] = value
         if child.tail:
             own += child.tail
     own = own.strip()
@@ -235,23 +259,24 @@ def _value_of(node: ElementTree.Element) -> object:
     return values
 
 
-def _flat_of(record: object) -> tuple[list[tuple[str, str]], list[str]]:
-    if not isinstance(record, dict):
-        record = {"#text": record}
-    pairs: dict[str, str] = {}
-    lists: list[str] = []
+_compact = json.JSONEncoder(ensure_ascii=False, separators=(",", ":"), sort_keys=True).encode
+
 
-    def flat(value: object, path: str) -> None:
-        if isinstance(value, dict):
-            for k, v in value.items():
-                flat(v, f"{path}.{k}" if path else k)
-        elif isinstance(value, list):
-            pairs[path] = json.dumps(value, ensure_ascii=False, separators=(",", ":"), sort_keys=True)
-            lists.append(path)
+def _flatten(record: dict, below: str, pairs: dict[str, str], lists: list[str]) -> None:
+    for k, value in record.items():
+        if type(value) is str:
+            pairs[below + k] = value
+        elif type(value) is dict:
+            _flatten(value, f"{below}{k}.", pairs, lists)
         else:
-            pairs[path] = value
+            pairs[below + k] = _compact(value)
+            lists.append(below + k)
+
 
-    flat(record, "")
+def _flat_of(record: object) -> tuple[list[tuple[str, str]], list[str]]:
+    pairs: dict[str, str] = {}
+    lists: list[str] = []
+    _flatten(record if isinstance(record, dict) else {"#text": record}, "", pairs, lists)
     return list(pairs.items()), lists
 
 
@@ -303,8 +328,40 @@ _ERROR = pa.struct([("code", pa.string()), ("message", pa.string())])
 _BAD = {"code": "XML_PARSE_ERROR", "message": "the element is not well formed"}
 
 
+def _together(elements: list[str]) -> Iterator[tuple[list[tuple[str, str]], list[str]] | None]:
+    """fields_of() of each element, from one document of them all; a parser for each costs more than most elements.
+
+    What stands between elements is a word that no data can know, so if it is found between all of them each is well formed by itself.
+    """
+    word = uuid.uuid4().hex
+    try:
+        root = ElementTree.XML(f"<r>{word}{word.join(elements)}{word}</r>")
+        alone = len(root) != len(elements) or root.text != word or any(e.tail != word for e in root)
+    except (ElementTree.ParseError, ValueError):
+        alone = True
+    if alone:
+        yield from map(fields_of, elements)
+        return
+    for e in root:
+        yield _flat_of(_value_of(e))
+
+
+#: Elements, and characters of them, that one parser takes.
+TOGETHER, MOST_CHARACTERS = 64, 1 << 20
+
+
+def _fields_of_all(raw: list[str | None]) -> list[tuple[list[tuple[str, str]], list[str]] | None]:
+    some = [r for r in raw if r is not None]
+    found: list = []
+    for i in range(0, len(some), TOGETHER):
+        few = some[i : i + TOGETHER]
+        found.extend(_together(few) if sum(map(len, few)) <= MOST_CHARACTERS else map(fields_of, few))
+    rest = iter(found)
+    return [None if r is None else next(rest) for r in raw]
+
+
 def _parsed(raw: list[str | None]) -> list[pa.Array]:
-    got = [None if r is None else fields_of(r) for r in raw]
+    got = _fields_of_all(raw)
     return [
         pa.array([_BAD if g is None and r is not None else None for g, r in zip(got, raw)], _ERROR),
         pa.array([g and g[0] for g in got], pa.map_(pa.string(), pa.string())),

@@ -2,10 +2,14 @@
 
 import random
 
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
+from emberlog import queries
 from emberlog.profile import Profile
 from emberlog.session import prepared
+from emberlog.sources import splits, xml_source
 from emberlog.sources.registry import ingest
 from emberlog.sources.xml_source import MODES, Scan, after, effects, fields_of, ingest_xml, ingest_xml_documents
 
@@ -137,3 +141,26 @@ def test_files_are_cut_by_many_tasks(spark, tmp_path, size):
     assert got == want
     none = {(n, "XML_RECORD_PATH_NOT_FOUND") for n, t in texts.items() if not brute(t, ["r", "a", "c"])}
     assert set(codes) == none | {("bad.xml", "XML_PARSE_ERROR"), ("open.xml", "XML_PARSE_ERROR")}
+
+
+def test_elements_parsed_together_are_as_parsed_alone():
+    good = ['<e a="1">x</e>', "<e/>", "<p:e xmlns:p='u'><p:b>2</p:b></p:e>", '<e xmlns="v"><a><b>1</b></a><a/></e>']
+    for bad in ("<e>", "</e>", "<e><!--</e>", "--><e/>", "<e/><e/>", "x<e/>", "<e/>y", "<e>&n;</e>", "<q:e/>", "", "<e a=1/>"):
+        for raw in ([*good, bad], [bad, None, *good], [good[0], bad, bad, good[1]], ["<e><!--", "--></e>"], ["<e>", "</e>"], ["<e/><e/>", ""]):
+            assert xml_source._fields_of_all(raw) == [None if r is None else xml_source.fields_of(r) for r in raw]
+
+
+def test_runs_of_keys_over_batches():
+    rows = [("a", 0, None, "1"), ("a", 0, None, None), ("a", 1, "s", "3"), (None, 1, "s", "4"), (None, 1, "s", "5"), ("b", 1, "s", "6"), ("a", 0, None, "7")]
+    for size in (1, 2, 3, 7):
+        batches = [pa.RecordBatch.from_pylist([dict(zip("kbsv", r)) for r in rows[i : i + size]], pa.schema([("k", pa.string()), ("b", pa.int64()), ("s", pa.string()), ("v", pa.string())])) for i in range(0, len(rows), size)]
+        got = [(k, list(r)) for k, r in splits.runs(iter([batches[0].slice(0, 0), *batches]), ("k", "b"))]
+        assert got == [(("a", 0), [(None, "1"), (None, None)]), (("a", 1), [("s", "3")]), ((None, 1), [("s", "4"), ("s", "5")]), (("b", 1), [("s", "6")]), (("a", 0), [(None, "7")])]
+        assert [k for k, _ in splits.runs(iter(batches), ("k", "b"))] == [k for k, _ in got]
+
+
+def test_documents_are_dealt_once_over_all_tasks(spark):
+    rows = spark.range(4_000).select(F.lit("s").alias("session_id"), F.concat(F.lit("/logs/part-"), F.col("id") % 4, F.lit(".log")).alias("source_path"), F.col("id").alias("record_number"), F.lit("<e/>").alias("raw_source"))
+    docs = queries.documents_of(rows, 7, "<l>", "", "</l>")
+    plan = docs._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and docs.count() == 40
