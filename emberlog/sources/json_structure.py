@@ -23,6 +23,8 @@ from .splits import PLACE, may_be_split, numbered, read_pieces, runs, split_stat
 
 _TOKEN = re.compile(r'"((?:[^"\\]|\\.)*)"(\s*:)?|["{}\[\],]', re.S)
 _STRING_END = re.compile(r'((?:[^"\\]|\\.)*)"(\s*:)?', re.S)
+#: What lies before the next bracket, or before a string that does not end.
+_BETWEEN = re.compile(r'(?:[^"{}\[\]]++|"(?:[^"\\]|\\.)*+")*+', re.S)
 _OPENS = {"}": "{", "]": "["}
 #: The key of a container that was open before the split is not known; a key may have begun before it.
 UNKNOWN, REST = "\x00", "\x01"
@@ -48,8 +50,8 @@ class Scan:
         self.touched = False  # a container began and ended in what was open before the split
         self.error = ""
 
-    def feed(self, text: str) -> Iterator[tuple[str, int]]:
-        """Brackets, commas and keys with their places, after each was taken in."""
+    def feed(self, text: str, below: int = 0) -> Iterator[tuple[str, int]]:
+        """Brackets, commas and keys with their places, after each was taken in. Of more than below containers only the brackets, if that is given."""
         at = 0
         if self.inside:
             end = _STRING_END.match(text)
@@ -61,9 +63,13 @@ class Scan:
                 self.frames[-1][2] = _plain(self.partial + end[1])
                 yield ":", at
             self.partial = ""
-        for m in _TOKEN.finditer(text, at):
-            if self.error:
+        while not self.error:
+            if below and len(self.frames) > below:
+                at = _BETWEEN.match(text, at).end()
+            m = _TOKEN.search(text, at)
+            if not m:
                 return
+            at = m.end()
             c = m[0][0]
             if c == '"':
                 if m[1] is None:
@@ -176,7 +182,7 @@ def cut(pieces: DataFrame, path: list[str], states: DataFrame | None = None, lim
                 blank = blank and not text.strip()
                 root = root or (text.strip()[:1] if block == 0 else "")
                 start = 0
-                for c, at in scan.feed(text):
+                for c, at in scan.feed(text, depth):
                     frames = scan.frames
                     if kind == "[":
                         if c == "," and len(frames) == depth:

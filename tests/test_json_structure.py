@@ -79,3 +79,12 @@ def test_files_give_what_whole_documents_give(spark, tmp_path, size):
         assert got[0] == want[0]
         more = [] if path else [(f"{n}.json", 0, "MALFORMED_JSON_DOCUMENT") for n in ("tail", "two")]
         assert got[1] == sorted(want[1] + more)
+
+
+def test_brackets_alone_are_told_below_an_element():
+    text = '{"a": [{"k": 1, "x": ["}", {"y": 2, "z": "\\""}], "b": "[,"}, 3, "open'
+    scan = js.Scan()
+    told = [c for c, _ in scan.feed(text, 3)]
+    assert told == ["{", ":", "[", "{", "[", "{", "}", "]", "}", ",", ","] and scan.inside and scan.partial == "open"
+    every = js.Scan()
+    assert len([c for c, _ in every.feed(text)]) == 20 and [f[0] for f in every.frames] == [f[0] for f in scan.frames]
