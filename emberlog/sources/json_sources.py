@@ -19,6 +19,11 @@ def _members(m: Column, prefix: Column | None = None) -> Column:
     return F.transform(F.map_entries(m), lambda e: F.struct((F.concat(prefix, F.lit("."), e["key"]) if prefix is not None else e["key"]).alias("k"), e["value"].alias("v")))
 
 
+def braces(text: Column) -> Column:
+    """How many { there are in a text: no value in it lies in more objects."""
+    return F.length(text) - F.length(F.replace(text, F.lit("{"), F.lit("")))
+
+
 def flat_members(v: Column, text: Column) -> Column:
     """Members of an object as (dotted name, value); objects in it give their own members, at any depth, lists stay.
 
@@ -31,9 +36,8 @@ def flat_members(v: Column, text: Column) -> Column:
     def step(members: Column, _: Column) -> Column:
         return F.when(F.exists(members, lambda e: as_object(e["v"]).isNotNull()), deeper(members)).otherwise(members)
 
-    braces = F.length(text) - F.length(F.replace(text, F.lit("{"), F.lit("")))
     first = _members(as_object(v))
-    return F.when(braces < 2, first).otherwise(F.aggregate(F.sequence(F.lit(2), braces), deeper(first), step))
+    return F.when(braces(text) < 2, first).otherwise(F.aggregate(F.sequence(F.lit(2), braces(text)), deeper(first), step))
 
 
 def with_fields(df: DataFrame, value: str, profile: Profile) -> DataFrame:
@@ -50,7 +54,8 @@ def with_fields(df: DataFrame, value: str, profile: Profile) -> DataFrame:
     ).drop("_members")
     # A custom path that names an object gets it whole.
     for p in {p.strip() for p in profile.custom.values()}:
-        whole = F.try_variant_get(F.col(value), "".join(f"[\"{s}\"]" for s in p.split(".")).join(["$", ""]), "variant")
+        # An object there lies in as many others as the path has steps; few texts have that many braces.
+        whole = F.when(braces(F.col("raw_source")) > len(p.split(".")), F.try_variant_get(F.col(value), "".join(f"[\"{s}\"]" for s in p.split(".")).join(["$", ""]), "variant"))
         odd = as_object(whole).isNotNull()
         out = out.withColumns(
             {

@@ -106,3 +106,12 @@ def test_severities_in_any_case_with_aliases_first(spark):
     texts = ["error", "ERROR", "Error", "eRRor", " warning", "Fatal", "Odd", "ODD", "oDD", "x", None]
     got = spark.createDataFrame([(t,) for t in texts], "t string").select(parse_severity(F.col("t"), {"odd ": "DEBUG", "Warning": "TRACE"})).collect()
     assert [r[0] for r in got] == ["ERROR"] * 4 + ["TRACE", "CRITICAL", "DEBUG", "DEBUG", "DEBUG", None, None]
+
+
+def test_custom_paths_that_name_objects_are_looked_for_only_where_there_can_be_one(spark):
+    profile = Profile(custom={"k": "props.k"})
+    texts = ['{"props": {"k": {"a": 1}}}', '{"props": {"k": {}}}', '{"props": {"k": 1}}', '{"props.k": 1, "props": {"k": {"b": {"c": 2}}}}', '{"props": 1, "x": "{{{"}']
+    made = ingest_json_lines(lines(session.prepared(spark), *texts), profile).records
+    assert [r["attributes"].get("k") for r in made.orderBy("record_number").collect()] == ['{"a":1}', "{}", "1", '{"b":{"c":2}}', None]
+    before = plan_of(made).lower().split("variant_get(")
+    assert len(before) > 1 and all("raw_source" in b[-120:] and "{" in b[-120:] for b in before[:-1])
