@@ -5,14 +5,19 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 from pathlib import Path
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ROOT = str(Path(__file__).resolve().parents[2])
 #: Rows in one Arrow batch. Texts may be very long, so batches are small.
 BATCH_ROWS = 256
+#: Edges that one task joins by itself before tasks exchange any.
+TASK_EDGES = 50_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -107,3 +112,37 @@ def connected_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(
         now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     )
+
+
+def forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links (a, b) of long nodes from each node of these edges to the smallest one that they join it with, that one left out."""
+    ends = [(np.empty(0, "<i8"), np.empty(0, "<i8"))]
+    ends += [(b.column("a").to_numpy(), b.column("b").to_numpy()) for b in batches]
+    a, b = (np.concatenate(x) for x in zip(*ends))
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    a, b, label = at[: len(a)], at[len(a) :], np.arange(len(nodes))
+    while True:
+        before = label.copy()
+        # A root goes below the smaller root that an edge joins it with; then all go to their roots.
+        ra, rb = label[a], label[b]
+        np.minimum.at(label, np.maximum(ra, rb), np.minimum(ra, rb))
+        while (label[label] != label).any():
+            label = label[label]
+        if (label == before).all():
+            break
+    far = np.flatnonzero(label != np.arange(len(nodes)))
+    yield pa.RecordBatch.from_arrays([pa.array(nodes[far]), pa.array(nodes[label[far]])], names=["a", "b"])
+
+
+def joined(edges: DataFrame) -> DataFrame:
+    """As connected_components(), of a table edges(a long, b long), for which tasks first join what they hold.
+
+    The edges are read by as many tasks as they are TASK_EDGES each. One task has then
+    joined all there is; what several have joined goes to connected_components().
+    """
+    edges = edges.where("a is not null and b is not null and a <> b").select("a", "b")
+    tasks = -(-edges.count() // TASK_EDGES) or 1
+    links = written(edges.coalesce(tasks).mapInArrow(forest, "a long, b long"), "near-forest")
+    if tasks > 1:
+        return connected_components(links)
+    return links.select(F.col("a").alias("node"), F.col("b").alias("component")).union(links.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import jaccard
-from .common import connected_components, free_name, small_batches, table, written
+from .common import connected_components, free_name, joined, small_batches, table, written
 
 #: Members of one bucket that a task holds at once; larger buckets are dealt out again.
 BUCKET_ROWS = 65_536
@@ -269,7 +269,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     once = written(once, "near-sketches")
 
     entries = rows.select("id", "size", F.posexplode("prefix").alias("pos", "key")).select("key", "id", (F.shiftleft("size", 32) + F.col("pos")).alias("at"))
-    comps = connected_components(jaccard.similar_links(entries, once, sets_of, alike))
+    comps = joined(jaccard.similar_links(entries, once, sets_of, alike))
     placed = nodes.join(comps, nodes["id"] == comps["node"], "left").groupBy(F.coalesce("component", "id")).agg(F.min("least").alias("least"))
     kept = placed.select("least.*").drop("z")
     gone = written(rows.select(*keys).join(kept, [rows[k].eqNullSafe(kept[k]) for k in keys], "left_anti").distinct(), "near-gone")

@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from emberlog.llm import jaccard, simhash
+from emberlog.llm import common, jaccard, simhash
 
 
 def shingles(text):
@@ -132,3 +132,39 @@ def test_hot_bucket_of_many_sizes_equals_brute_force(spark, monkeypatch):
     want = brute_kept(rows)
     assert 5 < len(want) < 80
     assert kept(spark, rows, 5) == want
+
+
+def test_shingles_of_few_of_many_texts_come_last_in_the_order(spark, monkeypatch):
+    """A sample of a fixed number of texts saw a shingle of 60 texts the less often the more texts there are."""
+    monkeypatch.setattr(jaccard, "SAMPLE_TEXTS", 16)
+    rows = [(f"text {i} " + " ".join(f"w{i}x{j}" for j in range(6)) + f" this line is in sixty texts {i % 40}",) for i in range(2400)]
+    hashes = lambda t: jaccard.shingle_set(simhash.words(t), jaccard.WordHashes())
+    sets = lambda batches: ([hashes(t) for t in b.column("_text").to_pylist()] for b in batches)
+    found, counts = jaccard.common_shingles(spark.createDataFrame(rows, "_text string"), sets)
+    shared = np.unique(np.concatenate([hashes(f"is in sixty texts {i}") for i in range(40)]))
+    assert len(np.intersect1d(found, shared)) >= 36 and (counts > 1).all()
+    monkeypatch.setattr(jaccard, "COMMON", 3)
+    fewer, times = jaccard.common_shingles(spark.createDataFrame(rows, "_text string"), sets)
+    assert 0 < len(fewer) <= 3 and times.min() > counts.min()
+
+
+def test_a_row_of_a_bucket_that_one_block_holds_is_dealt_once(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "BLOCK", 64)
+    cols = "key long, id long, comp long, todo boolean, major long, whole boolean, nm int, nr int"
+    one = spark.createDataFrame([(1, i, i if i % 3 else 0, True, 0, True, 1, 1) for i in range(60)], cols)
+    got = jaccard.dealt(one).collect()
+    assert len(got) == 60 and {(r.p, r.q) for r in got} == {(0, -2)} and {r.id for r in got if r.own == -1} == {*range(0, 60, 3)}
+    more = spark.createDataFrame([(1, i, i if i % 3 else 0, True, 0, False, 3, 5) for i in range(60)], cols)
+    assert jaccard.dealt(more).count() == 20 + 40 * (3 + 5)
+
+
+@pytest.mark.parametrize("most", [50_000, 7])
+def test_joined_edges_are_those_of_connected_components(spark, monkeypatch, most):
+    monkeypatch.setattr(common, "TASK_EDGES", most)
+    rng = random.Random(5)
+    edges = [(i, i + 1) for i in range(40)] + [(rng.randrange(-90, 90), rng.randrange(100, 160)) for _ in range(60)] + [(300, 300), (None, 3), (400, -400)]
+    df = spark.createDataFrame(edges, "a long, b long").repartition(5)
+    want = {(r.node, r.component) for r in common.connected_components(df).collect()}
+    got = [(r.node, r.component) for r in common.joined(df.cache()).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    assert common.joined(df.where("a > 1000")).count() == 0
